@@ -179,7 +179,7 @@ def ua_audit(captures: DataFrame, suffix: str, by: Sequence[str] = ("collection"
 
 # Charsets Spark can test without decoding errors: name → is the body valid.
 def _decodable(body: Column) -> dict[str, Column]:
-    ascii_only = F.decode(body, F.lit("ISO-8859-1")).rlike(r"^[\x00-\x7F]*$")
+    ascii_only = F.decode(body, "ISO-8859-1").rlike(r"^[\x00-\x7F]*$")
     return {
         "utf-8": F.is_valid_utf8(body.cast("string")),
         "iso-8859-1": F.lit(True),
@@ -205,7 +205,7 @@ def charsets(
     declared but not known is null in ``decodable`` unless unknown ones are
     ignored, when the try-list follows.  ``captures`` has ``content_type`` and
     ``body``."""
-    head = F.decode(F.substring("body", 1, header_bytes), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring("body", 1, header_bytes), "ISO-8859-1")
     declared = r"(?i)(?:charset|encoding)\s*=\s*[\"']?\s*([a-zA-Z0-9._:-]+)"
     in_head = r"(?is)<(?:meta\b[^>]*?\bcharset|\?xml\b[^>]*?\bencoding)\s*=\s*[\"']?\s*([a-zA-Z0-9._:-]+)"
     names = {k.lower(): v.lower() for k, v in (aliases or {}).items()}

@@ -22,7 +22,8 @@ def host(c: str) -> str:
 
 def unescape(c: str) -> str:
     for entity, char in html.ENTITIES:
-        c = f"replace({c}, '{entity}', '{char}')"
+        quoted = char.replace("'", "''")
+        c = f"replace({c}, '{entity}', '{quoted}')"
     return c
 
 
@@ -306,7 +307,7 @@ SQL["Q2_check_recipes"] = cte("recipes") + " union all ".join(
     f" select recipe_id, '{flag}' as flag, '{constraint}' as \"constraint\" from recipes where {test}"
     for flag, constraint, test in _checks
 )
-_words = "list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), w -> w <> '')"
+_words = "list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda w: w <> '')"
 _side = "select 'https://docs.example.org/' || doc_id as url, text, " + _words + " as words from {}"
 SQL["Q3_qa_compare"] = f"""{cte('replay')}, c as ({_side.format('documents')}), r as ({_side.format('replay')}),
 b as (select coalesce(c.url, r.url) as url, c.text as ct, r.text as rt, c.words as cw, r.words as rw,

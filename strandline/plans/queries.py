@@ -499,5 +499,7 @@ def _(spark, d):
 
 @query("T4_limit_monitor")
 def _(spark, d):
-    alerts = live.run_to_table(live.limit_monitor(event_stream(spark, d), 2_000_000, "10 minutes"), "alerts")
+    sums = live.bytes_per_window(event_stream(spark, d), "10 minutes")
+    stored = spark.readStream.schema(sums.schema).parquet(live.run(sums, "sums"))
+    alerts = live.run_to_table(live.limit_monitor(stored, 2_000_000), "alerts")
     return alerts.select("collection", F.unix_seconds("end").alias("end"), "bytes")

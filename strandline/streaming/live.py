@@ -60,19 +60,20 @@ def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, ts: str = "t
     return marked.dropDuplicatesWithinWatermark([*key, "salt"]).dropDuplicatesWithinWatermark(list(key)).drop("salt")
 
 
-def limit_monitor(
-    df: DataFrame, limit: int, watermark: str, window: str = "1 minute", by: str = "collection", ts: str = "ts"
+def bytes_per_window(
+    df: DataFrame, watermark: str, window: str = "1 minute", by: str = "collection", ts: str = "ts"
 ) -> DataFrame:
-    """(by, window end, bytes so far): once for each crawl that exceeds ``limit``.
+    """(by, end, bytes) of each closed window, for ``append`` mode."""
+    spans = df.withWatermark(ts, watermark).groupBy(by, F.window(ts, window).alias("span"))
+    return spans.agg(F.sum("bytes").alias("bytes")).select(by, F.col("span.end").alias("end"), "bytes")
 
-    Bytes are summed per window first, so the stateful step sees one row per
-    crawl and window; its state is two numbers."""
-    sums = (
-        df.withWatermark(ts, watermark)
-        .groupBy(F.window(ts, window).alias("span"), by)
-        .agg(F.sum("bytes").alias("bytes"))
-        .select(by, F.col("span.end").alias("end"), F.window_time("span").alias("at"), "bytes")
-    )
+
+def limit_monitor(sums: DataFrame, limit: int, by: str = "collection") -> DataFrame:
+    """(by, end, bytes so far): once for each crawl that exceeds ``limit``.
+
+    ``sums`` is a stream over the table that :func:`bytes_per_window` fills, so
+    this step sees one row per crawl and window however busy the crawl is; its
+    state is two numbers."""
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, reported = state.get if state.exists else (0, False)
@@ -90,10 +91,10 @@ def limit_monitor(
     )
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Process what is there and stop; the rows go to files in the shared folder."""
-    spark = stream.sparkSession
-    path = scratch(spark, label)
+def run(stream: DataFrame, label: str) -> str:
+    """Process what is there and stop.  The rows go to files in the shared
+    folder; the path comes back, for a batch read or the next stream."""
+    path = scratch(stream.sparkSession, label)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", path + "-state")
@@ -102,4 +103,8 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return path
+
+
+def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+    return stream.sparkSession.read.schema(stream.schema).parquet(run(stream, label))
