@@ -17,11 +17,11 @@ select e.event_id as capture_id, concat('crawl-', cast(e.event_id % 3 as string)
   case when e.event_type = 'view' then 'request' else 'response' end as rec_type,
   case e.event_type when 'error' then 500 when 'signup' then 404 when 'click' then 301 else 200 end as status,
   cast(round(e.value * 100) as bigint) as bytes,
-  md5(p.html) as digest, e.attempt,
+  p.digest, e.attempt,
   case when e.event_id % 17 = 0 then 'curl/8' else 'Mozilla/5.0 (X) +Bot test@example.com' end as user_agent
 from (select event_id, ts, event_type, value, event_id % (select count(*) from pages) as page_id,
         cast(floor(event_id / (1.0 * (select count(*) from pages))) as bigint) + 1 as attempt from events) e
-join pages p on p.page_id = e.page_id""",
+join (select page_id, url, md5(html) as digest from pages) p on p.page_id = e.page_id""",
     "site_seeds": f"""
 select f.pos, p.url from (select min(page_id) as pos from pages group by {HOST.format('url')}) f
 join pages p on p.page_id = f.pos""",

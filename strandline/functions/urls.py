@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +53,23 @@ def bad_url(url: Column | str) -> Column:
     return (url.rlike(HAS_PORT) & ~url.rlike(GOOD_PORT)) | url.rlike(UNPAIRED)
 
 
+def _plain(url: Column) -> Column:
+    """True only for URLs that :func:`clean_url` leaves alone.  Byte tests, so
+    most URLs never meet a regular expression."""
+    marks = [url.contains(c) for c in (";", "?#", "[", "]", "\t", "\r", "\n")]
+    marks += [url.endswith("#"), url.endswith("?"), F.locate(":", url, 7) > 0]
+    odd = marks[0]
+    for mark in marks[1:]:
+        odd = odd | mark
+    return (url.startswith("https://") | url.startswith("http://")) & ~odd
+
+
 def clean_url(url: Column | str) -> Column:
     """Drop the default port and re-serialise: scheme in lower case, no empty
     parameter, query or fragment mark.  The host keeps its letter case.  URLs
     with an unusable port give null."""
-    raw = F.regexp_replace(_col(url), EDGE_SPACE, "")
+    url = _col(url)
+    raw = F.regexp_replace(url, EDGE_SPACE, "")
     name = F.regexp_extract(raw, SCHEME, 1)
     out = F.concat(F.lower(name), F.substring(raw, F.length(name) + 1, F.length(raw)))
     for pattern, keep in (
@@ -65,12 +79,12 @@ def clean_url(url: Column | str) -> Column:
         (r"^([^?#]*/[^;/?#]*);([?#]|$)", "$1$2"),
     ):
         out = F.regexp_replace(out, pattern, keep)
-    return F.when(bad_url(raw), F.lit(None).cast("string")).otherwise(out)
+    return F.when(_plain(url), url).when(~bad_url(raw), out)
 
 
 def strip_fragment(url: Column | str, allow_hash: bool = False) -> Column:
     """Without ``#...`` unless hash URLs are allowed."""
-    return _col(url) if allow_hash else F.regexp_replace(_col(url), r"#.*$", "")
+    return _col(url) if allow_hash else F.substring_index(_col(url), "#", 1)
 
 
 def entry_path(url: Column | str) -> Column:
@@ -101,18 +115,37 @@ def _dotless(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(joined, tail)).otherwise(path)
 
 
-def resolve(base: Column | str, href: Column | str) -> Column:
+class Base(NamedTuple):
+    """What relative links need of their page's URL: take it once per page."""
+
+    scheme: Column
+    root: Column
+    folder: Column
+    bare: Column
+    whole: Column
+
+
+def base_of(url: Column | str) -> Base:
+    url = _col(url)
+    root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    folder = F.substring(directory(url), F.length(root) + 1, F.length(url) + 1)
+    return Base(scheme(url), root, folder, bare, strip_fragment(url))
+
+
+def resolve(base: Base | Column | str, href: Column | str) -> Column:
     """The absolute URL of a link found on page ``base``."""
-    base, href = _col(base), F.trim(_col(href))
-    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    if not isinstance(base, Base):
+        base = base_of(base)
+    href = F.trim(_col(href))
     path = F.regexp_extract(href, r"^([^?#]*)", 1)
     rest = F.substring(href, F.length(path) + 1, F.length(href))
-    base_path = F.regexp_replace(F.substring(directory(base), F.length(root) + 1, F.length(base) + 1), r"^$", "/")
     return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, _dotless(path), rest))
-        .when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
-        .when((href == "") | href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .otherwise(F.concat(root, _dotless(F.concat(base_path, path)), rest))
+        F.when(href.startswith("//"), F.concat(base.scheme, F.lit(":"), href))
+        .when(href.startswith("/") & ~href.contains("/."), F.concat(base.root, href))
+        .when(href.startswith("/"), F.concat(base.root, _dotless(path), rest))
+        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("?"), F.concat(base.bare, href))
+        .when((href == "") | href.startswith("#"), F.concat(base.whole, href))
+        .otherwise(F.concat(base.root, _dotless(F.concat(base.folder, path)), rest))
     )

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
 from strandline.operators.skew import lookup_join
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds a column that is costly to compute and drops the rows where it is
+    null.  A filter on a computed column is pushed below the projection, so its
+    expression would run twice per row and nest in the next one; a generator
+    computes it once."""
+    for name, value in columns.items():
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array_compact(F.array(value))).alias(name))
+    return df
+
+
+def clean_urls(df: DataFrame, url: str = "url") -> DataFrame:
+    """The distinct usable URLs of a table, cleaned: (url)."""
+    return once(df.select(F.col(url).alias("url")), url=U.clean_url("url")).distinct()
+
+
 def canonicalise(df: DataFrame, url: str = "url", allow_hash: bool = False) -> DataFrame:
     """Adds ``clean`` (default port dropped, fragment policy applied) and
     ``entry`` (host + path); ``clean`` is null for URLs that cannot be used."""

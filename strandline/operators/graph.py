@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import html as H
 from strandline.functions import urls as U
+from strandline.operators.canonical import clean_urls, once
 from strandline.operators.skew import hot_keys, lookup_join, replicated, salted
 from strandline.session import BucketedTable, written
 
@@ -35,10 +36,14 @@ def extract_links(
     leaves out the shuffle; a page may then repeat a target that it spells in
     two ways, and a page crawled twice gives its links twice."""
     found = F.array_distinct(F.flatten(F.array(*[H.link_values(F.col("html"), r) for r in rules])))
-    raw = pages.select(F.col("url").alias("src"), F.explode(found).alias("href"))
-    absolute = raw.select("src", U.resolve("src", "href").alias("dst"))
-    cleaned = absolute.select("src", U.strip_fragment(U.clean_url("dst"), allow_hash).alias("dst"))
-    links = cleaned.filter(F.col("dst").rlike("^https?://[^/?#]"))
+    base = U.base_of("url")._asdict()
+    raw = pages.select(
+        F.col("url").alias("src"), F.struct(*[c.alias(n) for n, c in base.items()]).alias("base"), F.explode(found).alias("href")
+    )
+    parts = U.Base(*[F.col(f"base.{n}") for n in base])
+    other = F.col("href").rlike(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*:") & ~F.col("href").rlike(r"^\s*(?i:https?)://[^/?#]")
+    absolute = raw.filter(~other).select("src", U.resolve(parts, "href").alias("to"))
+    links = once(absolute, dst=U.strip_fragment(U.clean_url("to"), allow_hash)).drop("to")
     return links.distinct() if dedupe else links
 
 
@@ -95,8 +100,8 @@ def redirect_map(captures: DataFrame) -> DataFrame:
     """(src, dst): the newest redirect of each URL, both cleaned."""
     hops = captures.filter(F.col("status").isin(*REDIRECTS) & F.col("redirect_to").isNotNull())
     located = hops.select("ts", "url", U.resolve("url", "redirect_to").alias("to"))
-    cleaned = located.select("ts", U.clean_url("url").alias("src"), U.clean_url("to").alias("dst"))
-    newest = cleaned.dropna(subset=["src", "dst"]).groupBy("src").agg(F.max(F.struct("ts", "dst")).alias("m"))
+    cleaned = once(located, src=U.clean_url("url"), dst=U.clean_url("to")).select("ts", "src", "dst")
+    newest = cleaned.groupBy("src").agg(F.max(F.struct("ts", "dst")).alias("m"))
     return newest.select("src", F.col("m.dst").alias("dst"))
 
 
@@ -147,6 +152,4 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
 def frontier(discovered: DataFrame, captures: DataFrame) -> DataFrame:
     """Discovered URLs that no capture has visited, cleaned and distinct.  Both
     sides shrink to distinct URLs before they meet."""
-    want = discovered.select(U.clean_url("url").alias("url")).filter(F.col("url").isNotNull()).distinct()
-    have = captures.select(U.clean_url("url").alias("url")).distinct()
-    return want.join(have, "url", "left_anti")
+    return clean_urls(discovered).join(clean_urls(captures), "url", "left_anti")

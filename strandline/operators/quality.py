@@ -87,8 +87,9 @@ def _broken(rule: Rule, value: Column, strict: bool) -> list[tuple[str, Column]]
     if rule.minimum is not None:
         checks.append(("min", value.try_cast("bigint") < rule.minimum))
     if rule.graphemes:
-        length = F.regexp_count(value, F.lit(r"\X"))
-        checks += [("min_graphemes", length < rule.graphemes[0]), ("max_graphemes", length > rule.graphemes[1])]
+        least, most = rule.graphemes  # never more graphemes than characters, so few values are counted
+        more = (F.length(value) > most) & value.rlike(rf"^\X{{{most + 1}}}")
+        checks += [("min_graphemes", ~value.rlike(rf"^\X{{{least}}}")), ("max_graphemes", more)]
     pattern = rule.pattern if strict else (rule.relaxed or rule.pattern)
     if pattern:
         checks.append(("pattern", ~value.rlike(pattern)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import hot_in, lookup_join
+from strandline.session import written
 
 # The policies, the default first.
 DEDUP_POLICIES = ("skip", "revisit", "keep")
@@ -45,9 +46,10 @@ def dedup(
         rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
         return keyed.withColumn("key_rank", rank).filter("key_rank = 1").select(*df.columns)
     uid = order[-1]
-    firsts = keyed.groupBy(*names).agg(F.min(F.struct(*order)).alias("first"))
-    firsts = firsts.select(*names, F.col(f"first.{uid}").alias("first_id"))
-    joined = lookup_join(keyed, firsts, names, "left", spread=[uid], measure=False)
+    firsts = keyed.groupBy(*names).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.select(*names, F.col(f"first.{uid}").alias("first_id"), "n"), "firsts")
+    hot = hot_in(firsts, names, "n")
+    joined = lookup_join(keyed, firsts.drop("n"), names, "left", spread=[uid], measure=False, hot=hot)
     repeat = F.when(F.col("first_id") != F.col(uid), F.col("first_id"))
     return joined.withColumn("revisit_of", repeat).select(*df.columns, "revisit_of")
 

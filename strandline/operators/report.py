@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import html as H
 from strandline.functions import languages as L
 from strandline.functions import urls as U
+from strandline.operators.canonical import clean_urls
 
 # Exit codes.
 EXIT_OK = 0
@@ -63,7 +64,7 @@ def pending_pages(df: DataFrame) -> DataFrame:
 
 def failed_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     """Seeds whose page failed (``pages`` has ``url`` and ``failed``)."""
-    failed = pages.filter("failed").select(U.clean_url("url").alias("clean")).distinct()
+    failed = clean_urls(pages.filter("failed")).withColumnRenamed("url", "clean")
     return seeds.withColumn("clean", U.clean_url("url")).join(failed, "clean", "left_semi").drop("clean")
 
 

@@ -25,13 +25,17 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
+def hot_in(counts: DataFrame, keys: Sequence[str], n: str) -> list[int]:
+    """Hashes of the hot keys of a table that counts rows per key in ``n``: at
+    most ``HOT_SHARE - 1`` numbers."""
+    total = counts.agg(F.sum(n)).scalar()
+    hot = counts.filter((F.col(n) >= HOT_ROWS) & (F.col(n) * HOT_SHARE > total))
+    return [row.h for row in hot.select(key_hash(keys).alias("h")).collect()]
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the hot keys.  Counting is partial before the shuffle and at
-    most ``HOT_SHARE - 1`` numbers come back."""
-    counts = df.groupBy(key_hash(keys).alias("h")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.filter((F.col("n") >= HOT_ROWS) & (F.col("n") * HOT_SHARE > total))
-    return [row.h for row in hot.select("h").collect()]
+    """The same, counting first (partially before the shuffle)."""
+    return hot_in(df.groupBy(*keys).agg(F.count("*").alias("row_count")), keys, "row_count")
 
 
 def salted(df: DataFrame, keys: Sequence[str], hot: list[int], spread: Sequence[str]) -> DataFrame:
@@ -58,17 +62,19 @@ def lookup_join(
     how: str = "inner",
     spread: Sequence[str] = (),
     measure: bool = True,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join ``df`` to ``table``, which has at most one row per key.
 
     A table within the broadcast bounds is broadcast.  Beyond them (or with
     ``measure=False``, for tables known to grow with the data) both sides
-    shuffle on the key, and hot keys of ``df`` are salted by ``spread``.
+    shuffle on the key, and hot keys of ``df`` (counted unless given) are
+    salted by ``spread``.
     """
     on = list(on)
     if measure and fits_broadcast(table):
         return df.join(F.broadcast(table), on, how)
-    hot = hot_keys(df, on)
+    hot = hot_keys(df, on) if hot is None else hot
     if not hot:
         return df.join(table, on, how)
     left = salted(df, on, hot, spread or df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
+from strandline.operators.canonical import clean_urls
 from strandline.operators.ordered import prefix_sum
 from strandline.operators.skew import lookup_join
 
@@ -73,8 +74,8 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
 
 def with_sitemap(seeds: DataFrame, sitemap: DataFrame) -> DataFrame:
     """Distinct URLs of both: what the crawl starts from."""
-    extra = sitemap.select(U.clean_url("loc").alias("url"))
-    return seeds.select("url").unionByName(extra).filter(F.col("url").isNotNull()).distinct()
+    extra = clean_urls(sitemap, "loc")
+    return seeds.select("url").filter(F.col("url").isNotNull()).unionByName(extra).distinct()
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
