@@ -53,7 +53,7 @@ def link_values(html: Column, rule: str) -> Column:
             cond = cond & t.rlike(pattern)
         return cond
 
-    return F.transform(F.filter(tags, keep), lambda t: attribute(t, wanted))
+    return F.transform(F.filter(tags, keep), lambda t: F.trim(attribute(t, wanted)))
 
 
 def language(html: Column) -> Column:

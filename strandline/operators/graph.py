@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions import html as H
 from strandline.functions import urls as U
 from strandline.operators.canonical import clean_urls, once
-from strandline.operators.skew import hot_keys, lookup_join, replicated, salted
+from strandline.operators.skew import key_profile, lookup_join, replicated, salted
 from strandline.session import BucketedTable, written
 
 # The redirect statuses followed.
@@ -37,9 +37,9 @@ def extract_links(
     two ways, and a page crawled twice gives its links twice."""
     found = F.array_distinct(F.flatten(F.array(*[H.link_values(F.col("html"), r) for r in rules])))
     base = U.base_of("url")._asdict()
-    raw = pages.select(
-        F.col("url").alias("src"), F.struct(*[c.alias(n) for n, c in base.items()]).alias("base"), F.explode(found).alias("href")
-    )
+    parts_of_page = F.struct(*[c.alias(n) for n, c in base.items()]).alias("base")
+    per_page = pages.select(F.col("url").alias("src"), parts_of_page, found.alias("hrefs"))
+    raw = per_page.select("src", "base", F.explode("hrefs").alias("href"))
     parts = U.Base(*[F.col(f"base.{n}") for n in base])
     other = F.col("href").rlike(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*:") & ~F.col("href").rlike(r"^\s*(?i:https?)://[^/?#]")
     absolute = raw.filter(~other).select("src", U.resolve(parts, "href").alias("to"))
@@ -62,8 +62,8 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int = -1, extra_hops: int =
     spark = links.sparkSession
     cost = F.when(F.col("in_scope"), 0).otherwise(1) if "in_scope" in links.columns else F.lit(0)
     steps = links.select("src", "dst", cost.alias("cost")).filter(F.col("cost") <= extra_hops)
-    hot = hot_keys(steps, ["src"])
-    buckets = min(MAX_BUCKETS, 1 + steps.count() // ROWS_PER_BUCKET)
+    rows, hot = key_profile(steps, ["src"])
+    buckets = min(MAX_BUCKETS, 1 + rows // ROWS_PER_BUCKET)
     graph = BucketedTable(spark, "links", ("src", "salt"), buckets).add(salted(steps, ["src"], hot, ["dst"]))
     states = BucketedTable(spark, "reached", ("url",), buckets)
     start = seeds.select("url").filter(F.col("url").isNotNull()).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
-from strandline.operators.skew import hot_in, lookup_join
+from strandline.operators.skew import first_n, hot_in, lookup_join
 from strandline.session import written
 
 # The policies, the default first.
@@ -59,8 +59,8 @@ def final_attempt(
 ) -> DataFrame:
     """One row per page: its first success within 1 + ``max_retries`` attempts,
     else the last permitted one.  Needs ``failed``; adds ``attempts_used``."""
-    rank = F.row_number().over(Window.partitionBy(url).orderBy(*order))
-    tries = df.withColumn("nth", rank).filter(F.col("nth") <= 1 + max_retries)
+    permitted = first_n(df, [url], [F.col(c) for c in order], 1 + max_retries, spread=order)
+    tries = permitted.withColumn("nth", F.row_number().over(Window.partitionBy(url).orderBy(*order)))
     preference = F.struct(F.col("failed"), F.when(F.col("failed"), -F.col("nth")).otherwise(F.col("nth")))
     rest = F.struct(*[c for c in df.columns if c != url], F.col("nth").cast("bigint").alias("attempts_used"))
     picked = tries.groupBy(url).agg(F.min_by(rest, preference).alias("pick"))
@@ -71,8 +71,7 @@ def retain_latest(
     df: DataFrame, n: int = 5, per: Sequence[str] = ("crawl_id",), order: Sequence[str] = ("ts", "state_id")
 ) -> DataFrame:
     """The newest ``n`` states of each crawl."""
-    rank = F.row_number().over(Window.partitionBy(*per).orderBy(*[F.col(c).desc() for c in order]))
-    return df.withColumn("age_rank", rank).filter(F.col("age_rank") <= n).drop("age_rank")
+    return first_n(df, per, [F.col(c).desc() for c in order], n, spread=order)
 
 
 def homepage(seeds: DataFrame, resolved: DataFrame) -> DataFrame:

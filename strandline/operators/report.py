@@ -12,6 +12,7 @@ from strandline.functions import html as H
 from strandline.functions import languages as L
 from strandline.functions import urls as U
 from strandline.operators.canonical import clean_urls
+from strandline.operators.skew import lookup_join
 
 # Exit codes.
 EXIT_OK = 0
@@ -254,11 +255,13 @@ def site_metadata(pages: DataFrame, seeds: DataFrame, overrides: DataFrame | Non
 
     A site's homepage is its first seed.  Language and title come from that
     page unless ``overrides`` (one row per ``site``, columns as in METADATA)
-    says otherwise; the language falls back to ``eng``.  Only the short
-    extracts of a page are shuffled, never its HTML."""
+    says otherwise; the language falls back to ``eng``.  Other pages go before
+    any shuffle when the homepages are few enough to broadcast, and only the
+    short extracts of a page are shuffled, never its HTML."""
     spark = pages.sparkSession
     homes = seeds.groupBy(U.host("url").alias("site")).agg(F.min_by("url", "pos").alias("url"))
     extracts = pages.select("url", H.language(F.col("html")).alias("code"), H.title(F.col("html")).alias("page_title"))
+    extracts = lookup_join(extracts, homes.select("url"), ["url"], "left_semi", spread=["code", "page_title"])
     extracts = extracts.groupBy("url").agg(F.min(F.struct("code", "page_title")).alias("x")).select("url", "x.*")
     known = spark.createDataFrame(L.PAIRS, "code string, iso3 string")
     own = spark.createDataFrame([(three, three) for _, three in L.PAIRS], "code string, iso3 string")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from strandline.functions import urls as U
 from strandline.operators.ordered import running_cut
 from strandline.operators.skew import lookup_join
+from strandline.session import written
 
 # The scope types.
 SCOPE_TYPES = ("page", "page-spa", "prefix", "host", "domain", "any", "custom")
 
-LITERAL_KEYS = 10_000  # up to this many seed keys become a literal set
+LITERAL_KEYS = 1_000  # up to this many seed keys become a literal set
 TOP_K = 100_000  # up to this many pages come from a top-k sort
 
 
@@ -81,9 +82,10 @@ def in_scope(
     if kind in ("prefix", "domain"):
         owners = keyed.select("scope_key").distinct()
         owners = owners.withColumn("key", F.explode(_covering_keys(kind, F.col("scope_key"))))
-        covered = lookup_join(owners, keys, ["key"], "left_semi", spread=["scope_key"]).select("scope_key").distinct()
-        return lookup_join(keyed, covered, ["scope_key"], "left_semi", [url], measure=False).drop("scope_key")
-    covered = keys.withColumnRenamed("key", "scope_key")
+        hits = lookup_join(owners, keys, ["key"], "left_semi", spread=["scope_key"])
+        covered = written(hits.select("scope_key").distinct(), "scope")
+    else:
+        covered = keys.withColumnRenamed("key", "scope_key")
     return lookup_join(keyed, covered, ["scope_key"], "left_semi", [url]).drop("scope_key")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import written
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 256  # a key is hot above 1/256 of the rows, so at most 255 keys are
@@ -38,6 +40,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return hot_in(df.groupBy(*keys).agg(F.count("*").alias("row_count")), keys, "row_count")
 
 
+def key_profile(df: DataFrame, keys: Sequence[str]) -> tuple[int, list[int]]:
+    """Number of rows and hot keys, in one pass over ``df``."""
+    counts = written(df.groupBy(*keys).agg(F.count("*").alias("row_count")), "counts")
+    return counts.agg(F.sum("row_count")).first()[0] or 0, hot_in(counts, keys, "row_count")
+
+
 def salted(df: DataFrame, keys: Sequence[str], hot: list[int], spread: Sequence[str]) -> DataFrame:
     """Adds ``salt``: hot keys spread over ``SALTS`` values by the ``spread``
     columns (a hash, so a re-run task gives the same value), others 0."""
@@ -79,3 +87,22 @@ def lookup_join(
         return df.join(table, on, how)
     left = salted(df, on, hot, spread or df.columns)
     return left.join(replicated(table, on, hot), [*on, "salt"], how).drop("salt")
+
+
+GROUP_LIMIT = 1_000  # up to this rank Spark trims groups before the shuffle
+
+
+def first_n(df: DataFrame, per: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    For small ``n`` each task trims its groups before the shuffle.  For larger
+    ones a salted pass first leaves at most ``n`` rows per salt and group."""
+
+    def keep(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("group_rank", rank).filter(F.col("group_rank") <= n).drop("group_rank")
+
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS))
+        df = keep(df.withColumn("salt", salt), [*per, "salt"]).drop("salt")
+    return keep(df, per)
