@@ -311,12 +311,12 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+        return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         if overwrite:
             raise ValueError("the warc sink only appends")
-        return WarcWriter(dict(self.options))
+        return WarcWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:

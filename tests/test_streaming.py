@@ -1,0 +1,75 @@
+import json
+from uuid import uuid4
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.streaming import live
+
+
+def test_progress_files(spark, tmp_path):
+    """Both inputs grow while the stream runs; broken updates never clear it."""
+    crawl, convert = tmp_path / "crawl", tmp_path / "convert"
+    crawl.mkdir()
+    convert.mkdir()
+    streams = (live.read_updates(spark, str(crawl), live.CRAWL_UPDATES), live.read_updates(spark, str(convert), live.CONVERT_UPDATES))
+    name = "p_" + uuid4().hex
+    query = live.progress_stream(*streams).writeStream.format("memory").queryName(name).outputMode("complete").start()
+
+    def after(folder, text, when):
+        body = text if isinstance(text, str) else json.dumps({"ts": f"2024-01-01T00:00:{when:02d}Z", **text})
+        (folder / f"{when}.json").write_text(body + "\n")
+        query.processAllAvailable()
+        return [tuple(r) for r in spark.table(name).collect()]
+
+    try:
+        assert after(crawl, '{"crawled": 1', 1) == []
+        assert after(crawl, {"crawled": 10, "total": 20, "pending": 3}, 2) == [(10, 22)]
+        assert after(crawl, {"crawled": 17, "total": 35}, 3) == [(17, 38)]
+        assert after(convert, {"written": 0, "total": 0}, 4) == [(17, 38)]
+        assert after(convert, {"written": 3, "total": 6}, 5) == [(5, 6)]
+        assert after(convert, "not json", 6) == [(5, 6)]
+        assert after(convert, {"written": 6, "total": 6}, 7) == [(6, 6)]
+    finally:
+        query.stop()
+
+
+@pytest.fixture
+def source(spark, tmp_path):
+    df = spark.range(600).select(
+        F.col("id").alias("capture_id"), F.timestamp_seconds(F.col("id") * 10).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "busy").otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("collection"),
+        F.lit(10).cast("bigint").alias("bytes"), (F.col("id") % 4 == 0).alias("failed"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("url"),
+    )
+    path = str(tmp_path / "in")
+    df.repartitionByRange(4, "capture_id").write.parquet(path)
+    return df, spark.readStream.schema(df.schema).parquet(path)
+
+
+def test_windowed_stats(spark, source):
+    df, stream = source
+    got = live.run_to_table(live.crawl_stats_stream(stream, "10 minutes", "1 minute"), "stats")
+    want = df.groupBy(F.window("ts", "10 minutes").alias("w")).agg(
+        F.count_if(~F.col("failed")).alias("crawled"), F.count_if("failed").alias("failed"), F.count("*").alias("total")
+    ).select("w.start", "w.end", "crawled", "failed", "total").filter(F.col("end") <= F.timestamp_seconds(F.lit(5990 - 60)))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 9
+    sliding = live.run_to_table(live.crawl_stats_stream(stream, "10 minutes", "1 minute", "5 minutes", by=["collection"]), "sliding")
+    assert sliding.filter("total = 60").count() == 0 and sliding.count() > 30
+
+
+def test_dedup(spark, source):
+    df, stream = source
+    got = live.run_to_table(live.dedup_stream(stream, ["url"], "10 days"), "firsts")
+    assert got.count() == df.select("url").distinct().count() == got.select("url").distinct().count()
+    assert got.columns == df.columns
+
+
+def test_limit_monitor(spark, source):
+    df, stream = source
+    sums = live.bytes_per_window(stream, "1 minute")
+    stored = spark.readStream.schema(sums.schema).option("maxFilesPerTrigger", 1).parquet(live.run(sums, "sums"))
+    alerts = live.run_to_table(live.limit_monitor(stored, 700), "alerts").collect()
+    totals = {r.collection: r.s for r in df.groupBy("collection").agg(F.sum("bytes").alias("s")).collect()}
+    assert sorted(r.collection for r in alerts) == sorted(c for c, s in totals.items() if s > 700)
+    assert all(700 < r.bytes <= 700 + 60 for r in alerts)
