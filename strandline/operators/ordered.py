@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.skew import lookup_join
-from strandline.session import BucketedTable, shuffle_partitions
+from strandline.session import BucketedTable, shuffle_partitions, written
 
 
 def _earlier(value: str, window) -> Column:
@@ -62,13 +62,14 @@ def running_cut(
 
     if per:
         edges = edge.select(*per, F.col("hour").alias("edge_hour"), F.col("offset").alias("edge_offset"))
+        edges = written(edges, "edges")  # at most one row per group
         marked = lookup_join(sized, edges, per, "left", spread=[uid])
         inside = marked.filter(hour == F.col("edge_hour"))
         exact = prefix_sum(inside, "cut_value", order, per).filter(
             F.col("edge_offset") + F.col("before") <= limit
         )
         whole = marked.filter(F.col("edge_hour").isNull() | (hour < F.col("edge_hour")))
-        return whole.select(*df.columns).unionByName(exact.select(*df.columns)), not edge.isEmpty()
+        return whole.select(*df.columns).unionByName(exact.select(*df.columns)), not edges.isEmpty()
 
     row = edge.select("hour", "offset").first()  # at most one
     if row is None:

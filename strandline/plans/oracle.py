@@ -46,6 +46,17 @@ select host, count(distinct page) as pages, count(*) filter (where status < 400)
   count(*) filter (where status >= 400) as failed, count(*) as total, cast(sum(bytes) as bigint) as bytes
 from kept where rn = 1 group by host"""
 
+SQL["archive_build"] = f"""{cte('captures', 'seeds', 'blocklist')},
+scoped as (select capture_id, ts, {NOFRAG.format('url')} as url, bytes, digest from captures
+  where not regexp_matches(url, '\\?utm_') and not regexp_matches(url, '/96[0-9]')
+    and host in (select {host('url')} from seeds) and host not in (select host from blocklist)),
+firsts as (select * from scoped qualify row_number() over (partition by url, digest order by ts, capture_id) = 1),
+page_starts as (select url, ts, capture_id from firsts qualify row_number() over (partition by url order by ts, capture_id) = 1),
+allowed as (select url from page_starts order by ts, capture_id limit 100),
+summed as (select *, sum(bytes) over (order by ts, capture_id) - bytes as before, sum(bytes) over () as total
+  from firsts where url in (select url from allowed))
+select capture_id, url, bytes, total > {SIZE_LIMIT // 10} as partial from summed where before <= {SIZE_LIMIT // 10}"""
+
 # --- sources and sinks -------------------------------------------------------
 
 SQL["S1_load_seeds"] = "select row_number() over (order by page_id) - 1 as pos, url from pages"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline import fixtures
 from strandline.functions import urls as U
 from strandline.operators import canonical, graph, quality, rank, report, scope
+from strandline.plans.archive_build import Recipe, build_archive
 from strandline.plans.archive_report import host_report
 from strandline.session import scratch
 from strandline.sources import seeds as sources
@@ -48,6 +49,17 @@ def _(spark, d):
     return host_report(table(spark, d, "captures"), table(spark, d, "blocklist"), EXCLUDE)
 
 
+@query("archive_build")
+def _(spark, d):
+    recipe = Recipe(
+        output=scratch(spark, "built"), scope_type="host", exclude=EXCLUDE, page_limit=100, size_soft_limit=SIZE_LIMIT // 10, buckets=8
+    )
+    captures = table(spark, d, "captures").select("capture_id", "ts", "url", "status", "bytes", "digest")
+    built = build_archive(captures, table(spark, d, "seeds"), recipe, table(spark, d, "blocklist"))
+    kept = spark.read.parquet(recipe.output).select("capture_id", "url", "bytes")
+    return kept.withColumn("partial", F.lit(built.partial))
+
+
 # --- sources and sinks ------------------------------------------------------
 
 
