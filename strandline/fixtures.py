@@ -86,12 +86,13 @@ select o_orderkey as run_id, o_custkey as recipe_id,
   case when o_orderkey % 7 = 0 then '1,137' else null end as accepted_codes from orders""",
     "states": """
 select o_custkey as crawl_id, o_orderkey as state_id, o_orderdate as ts from orders""",
-    "recipes": r"""
+    "recipes": """
 select doc_id as recipe_id, concat(case when doc_id % 9 = 0 then 'BAD' else source end, '_', lang, '_', cast(doc_id as string)) as name,
-  regexp_extract(text, '^([^ ]* ?[^ ]* ?[^ ]* ?[^ ]*)', 1) as title, regexp_extract(text, '^([^.\n]*)', 1) as description,
-  text as long_description, cast(cast(doc_id % 7 - 1 as int) as string) as workers,
+  cast(null as string) as title, cast(null as string) as description, text as long_description,
+  cast(cast(doc_id % 7 - 1 as int) as string) as workers,
   case doc_id % 5 when 0 then 'page' when 1 then 'host' when 2 then 'prefix' when 3 then 'everything' else null end as scope_type
-from documents""",
+from documents union all
+select -1 - conv_id * 1000 - turn, concat(role, '_en_', cast(conv_id as string)), text, text, text, cast(turn as string), role from conversations""",
     "replay": """
 select d.doc_id, case when l.toxic = 1 then replace(d.text, 'e', 'a') when l.quality = 0 then concat(d.text, ' ', d.source) else d.text end as text
 from documents d join labels l on l.doc_id = d.doc_id

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import html as H
 from strandline.functions import urls as U
+from strandline.operators import skew
 from strandline.operators.canonical import clean_urls, once
 from strandline.operators.skew import key_profile, lookup_join, replicated, salted
 from strandline.session import BucketedTable, written
@@ -129,7 +130,8 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
         ahead = state.select(
             F.col("src").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("done").alias("done2")
         )
-        moved = lookup_join(state.filter(~F.col("done")), ahead, ["at"], "left", spread=["src"], measure=False)
+        few = [] if active < skew.HOT_ROWS else None  # too few rows for any key to be hot
+        moved = lookup_join(state.filter(~F.col("done")), ahead, ["at"], "left", ["src"], measure=False, hot=few)
         moved = moved.select(
             "src",
             F.coalesce("at2", "at").alias("at"),

@@ -65,9 +65,10 @@ def select_captures(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts
         kept = scope.block_hosts(kept, hosts, recipe.ad_message).drop("blocked")
     kept = rank.dedup(kept, recipe.dedup_policy)
     if recipe.page_limit or recipe.max_page_limit:
+        kept = written(kept, "selected")
         firsts = rank.dedup(kept.select("url", "ts", "capture_id"), "skip", key=("url",))
         pages = scope.page_limit(firsts, recipe.page_limit, recipe.max_page_limit)
-        kept = lookup_join(kept, pages.select("url"), ["url"], "left_semi", spread=["capture_id"])
+        kept = lookup_join(kept, written(pages.select("url"), "pages"), ["url"], "left_semi", spread=["capture_id"])
     return kept
 
 
@@ -81,7 +82,9 @@ def build_archive(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts:
     except sinks.ArchiveExists as refused:
         return Built(refused.exit_code, "rejected", False)
 
-    kept = written(select_captures(captures, seeds, recipe, hosts), "kept")
+    kept = select_captures(captures, seeds, recipe, hosts)
+    if not (recipe.page_limit or recipe.max_page_limit):  # else what they come from is stored already
+        kept = written(kept, "kept")
     partial = False
     for limit, by, code in ((size, "bytes", report.EXIT_SIZE_LIMIT), (time, "elapsed", report.EXIT_TIME_LIMIT)):
         if limit:

@@ -343,5 +343,5 @@ SQL["T4_limit_monitor"] = f"""with {_captured},
 minutes as (select collection, date_trunc('minute', ts) + interval 1 minute as m, sum(bytes) as b
   from captured where {_closed.format('minute')} group by all),
 sums as (select collection, m, sum(b) over (partition by collection order by m) as total from minutes)
-select collection, cast(epoch(m) as bigint) as "end", cast(total as bigint) as bytes from sums where total > 2000000
+select collection, cast(epoch(m) as bigint) as "end", cast(total as bigint) as bytes from sums where total > 500000
 qualify row_number() over (partition by collection order by m) = 1"""

@@ -513,5 +513,5 @@ def _(spark, d):
 def _(spark, d):
     sums = live.bytes_per_window(event_stream(spark, d), "10 minutes")
     stored = spark.readStream.schema(sums.schema).parquet(live.run(sums, "sums"))
-    alerts = live.run_to_table(live.limit_monitor(stored, 2_000_000), "alerts")
+    alerts = live.run_to_table(live.limit_monitor(stored, 500_000), "alerts")
     return alerts.select("collection", F.unix_seconds("end").alias("end"), "bytes")

@@ -18,8 +18,7 @@ def walk(seeds, links, depth, extra_hops):
     return {a for a in states if not any(b != a and b[0] == a[0] and b[1] <= a[1] and b[2] <= a[2] for b in states)}
 
 
-@pytest.mark.parametrize("depth,extra", [(-1, 0), (2, 0), (0, 0), (-1, 2), (4, 1)])
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("depth,extra,hot", [(-1, 0, True), (2, 0, False), (0, 0, False), (-1, 2, True), (4, 1, False)])
 def test_reach(spark, monkeypatch, depth, extra, hot):
     if hot:
         monkeypatch.setattr(skew, "HOT_ROWS", 5)
@@ -35,10 +34,10 @@ def test_reach(spark, monkeypatch, depth, extra, hot):
 
 
 def test_reach_grows_with_depth(spark):
-    links = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    links = spark.range(6).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     seeds = spark.createDataFrame([(0,)], "url bigint")
-    sizes = [graph.reach(seeds, links, d).count() for d in (0, 1, 5, -1)]
-    assert sizes == [1, 2, 6, 21]
+    sizes = [graph.reach(seeds, links, d).count() for d in (1, 3, -1)]
+    assert sizes == [2, 4, 7]
 
 
 @pytest.mark.parametrize("hot", [False, True])

@@ -69,7 +69,7 @@ def test_prefix_sum_equals_window(spark, bursts, per):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("limit", [0, 1, 1000, 60_000, 150_000, 191_999, 10**9])
+@pytest.mark.parametrize("limit", [0, 1000, 60_000, 150_000, 10**9])
 @pytest.mark.parametrize("per", [[], ["g"]])
 def test_running_cut_is_exact(spark, bursts, limit, per):
     window = Window.partitionBy(*per).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
