@@ -12,7 +12,7 @@ HOST = r"regexp_extract({}, '^[a-z]+://([^/:?#]+)', 1)"
 
 SQL = {
     "captures": f"""
-select e.event_id as capture_id, concat('crawl-', cast(e.event_id % 3 as string)) as collection,
+select /*+ SHUFFLE_HASH(p) */ e.event_id as capture_id, concat('crawl-', cast(e.event_id % 3 as string)) as collection,
   e.ts, p.page_id, p.url, {HOST.format('p.url')} as host,
   case when e.event_type = 'view' then 'request' else 'response' end as rec_type,
   case e.event_type when 'error' then 500 when 'signup' then 404 when 'click' then 301 else 200 end as status,

@@ -120,7 +120,8 @@ def union_collections(
     """The captures of one collection, or of every ``crawl-*`` run under
     ``root``/collections in order of last change, with ``collection`` and ``run_no``.
 
-    The order comes from the file listing alone: no file is read for it."""
+    The order comes from the file listing alone: no file is read for it.
+    ``format`` may be ``warc`` once that source is registered."""
     glob = f"{root}/collections/{collection or 'crawl-*'}/archive"
     try:
         files = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")

@@ -12,6 +12,8 @@ Small files are read several to a task.
 from __future__ import annotations
 
 import gzip
+import io
+import re
 import sys
 import tarfile
 from collections.abc import Iterator
@@ -70,13 +72,22 @@ def _filesystem(path: str):
 
 
 def list_files(paths: str) -> list[tuple[str, int]]:
-    """(path, size) of a comma list of files and folders."""
+    """(path, size) of a comma list of files, folders and globs."""
     from pyarrow import fs
 
     found = []
     for path in (p.strip() for p in paths.split(",")):
         system, inner = _filesystem(path)
         prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+        if "*" in inner:
+            base = inner[: inner.index("*")].rpartition("/")[0]
+            wanted = re.compile(re.escape(inner).replace(r"\*", "[^/]*") + "(/.*)?")
+            inside = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+            matched = [f for f in inside if f.is_file and wanted.fullmatch(f.path) and f.path.endswith(SUFFIXES)]
+            if not matched:
+                raise FileNotFoundError(f"no archive at {path}")
+            found += [(prefix + f.path, f.size) for f in matched]
+            continue
         info = system.get_file_info(inner)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(f"no archive at {path}")
@@ -107,8 +118,6 @@ def _headers(stream) -> list[tuple[str, str]]:
 
 def _http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     """Start line, headers (lower case, repeats joined) and body of a message."""
-    import io
-
     stream = io.BytesIO(block)
     start = stream.readline().decode("utf-8", "replace").strip()
     fields: dict[str, str] = {}
@@ -173,8 +182,6 @@ def open_streams(path: str) -> Iterator[tuple[str, object]]:
         elif path.endswith(".gz"):
             yield path, gzip.open(raw)
         else:
-            import io
-
             yield path, io.BufferedReader(raw)
 
 

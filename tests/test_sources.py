@@ -85,6 +85,17 @@ def test_union_collections(spark, tmp_path):
         S.union_collections(spark, str(tmp_path / "nothing"))
 
 
+def test_union_collections_of_warc_files(spark, tmp_path):
+    warc.register(spark)
+    for n, name in enumerate(["crawl-2", "crawl-1"]):
+        folder = tmp_path / "collections" / name / "archive"
+        folder.mkdir(parents=True)
+        (folder / "x.warc").write_bytes(b"".join(RECORDS[: n + 2]))
+        os.utime(folder / "x.warc", (1_700_000_000 + n, 1_700_000_000 + n))
+    rows = S.union_collections(spark, str(tmp_path), format="warc").groupBy("run_no", "collection").count().collect()
+    assert sorted(map(tuple, rows)) == [(1, "crawl-2", 2), (2, "crawl-1", 3)]
+
+
 # --- WARC ---------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urljoin, urlparse
 
 import pytest
@@ -22,7 +23,7 @@ def one_column(spark, rows):
 
 def expected(url):
     p = urlparse(url)
-    if (p.scheme, p.port) in (("https", 443), ("http", 80)):
+    if p.scheme in ("http", "https") and p.port == {"http": 80, "https": 443}[p.scheme]:
         p = p._replace(netloc=p.netloc[: p.netloc.rindex(":")])
     return p.geturl()
 
@@ -32,6 +33,25 @@ def test_clean_url_agrees_with_standard_library(spark):
     assert {r.url: r.c for r in rows} == {u: expected(u) for u in CASES}
 
 
+def test_clean_url_agrees_on_random_urls(spark):
+    rng = random.Random(5)
+    parts = [
+        ["http", "https", "HTTP", "Https", "ftp"], ["://"], ["", "u@", "u:p@", "u:80@"], ["h", "Ex.org", "[::1]", "1.2.3.4"],
+        ["", "", ":", ":80", ":443", ":0080", ":00443", ":8080", ":65535", ":65536", ":99999", ":x", ":80x", ":-1"],
+        ["", "/", "/a", "/a;", "/a;b", "/;", "/a;/b", "/a:80/"], ["", "?", "?q", "??", "?u=http://x:80/", "?a;"], ["", "#", "#f", "##", "#:443/"],
+    ]
+    urls = sorted({"".join(rng.choice(p) for p in parts) for _ in range(6000)})
+
+    def want(url):
+        try:
+            return expected(url)
+        except ValueError:
+            return None
+
+    rows = one_column(spark, urls).select("url", U.clean_url("url").alias("c")).collect()
+    assert [(r.url, r.c, want(r.url)) for r in rows if r.c != want(r.url)] == []
+
+
 def test_clean_url_is_idempotent(spark):
     once = written(one_column(spark, CASES).select(U.clean_url("url").alias("a")), "once")
     assert once.filter(~U.clean_url("a").eqNullSafe(F.col("a"))).count() == 0
