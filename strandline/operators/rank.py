@@ -15,13 +15,14 @@ from strandline.session import written
 DEDUP_POLICIES = ("skip", "revisit", "keep")
 
 
-def _keyed(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """URL keys are compared cleaned; unusable URLs as they are."""
+def _keyed(df: DataFrame, key: Sequence[str], uid: str) -> tuple[DataFrame, list[str]]:
+    """URL keys are compared cleaned, unusable URLs as they are.  A capture
+    without a key value (no digest) equals no other."""
     names = []
     for i, column in enumerate(key):
-        value = F.coalesce(U.clean_url(column), F.col(column)) if column == "url" else F.col(column)
+        value = F.coalesce(U.clean_url(column), F.col(column)) if column == "url" else F.col(column).cast("string")
         names.append(f"key_{i}")
-        df = df.withColumn(names[-1], value)
+        df = df.withColumn(names[-1], F.coalesce(value, F.concat(F.lit("\0"), F.col(uid).cast("string"))))
     return df, names
 
 
@@ -41,11 +42,11 @@ def dedup(
         raise ValueError(f"policy is one of {', '.join(DEDUP_POLICIES)}")
     if policy == "keep":
         return df
-    keyed, names = _keyed(df, key)
+    uid = order[-1]
+    keyed, names = _keyed(df, key, uid)
     if policy == "skip":
         rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
         return keyed.withColumn("key_rank", rank).filter("key_rank = 1").select(*df.columns)
-    uid = order[-1]
     firsts = keyed.groupBy(*names).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.select(*names, F.col(f"first.{uid}").alias("first_id"), "n"), "firsts")
     hot = hot_in(firsts, names, "n")

@@ -106,6 +106,7 @@ def test_frontier(spark):
 CAPTURES = [
     (1, 10, "http://h/a", "x"), (2, 11, "http://h:80/a", "x"), (3, 9, "http://h/a", "y"), (4, 12, "http://h/b", "x"),
     (5, 10, "http://h/a", "x"), (6, 13, "http://h:bad/", "x"), (7, 14, "http://h:bad2/", "x"),
+    (8, 15, "http://h/n", None), (9, 16, "http://h/n", None),
 ]
 
 
@@ -119,12 +120,12 @@ def test_dedup(spark, monkeypatch, hot):
         return sorted(r.capture_id for r in d.collect())
 
     skip = rank.dedup(df)
-    assert ids(skip) == [1, 3, 4, 6, 7]
-    assert ids(rank.dedup(skip)) == [1, 3, 4, 6, 7]
-    assert ids(rank.dedup(df, key=("digest",))) == [1, 3]
-    assert ids(rank.dedup(df, "keep")) == [1, 2, 3, 4, 5, 6, 7]
+    assert ids(skip) == [1, 3, 4, 6, 7, 8, 9]
+    assert ids(rank.dedup(skip)) == [1, 3, 4, 6, 7, 8, 9]
+    assert ids(rank.dedup(df, key=("digest",))) == [1, 3, 8, 9]
+    assert ids(rank.dedup(df, "keep")) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
     again = {r.capture_id: r.revisit_of for r in rank.dedup(df, "revisit").collect()}
-    assert again == {1: None, 2: 1, 3: None, 4: None, 5: 1, 6: None, 7: None}
+    assert again == {1: None, 2: 1, 3: None, 4: None, 5: 1, 6: None, 7: None, 8: None, 9: None}
     with pytest.raises(ValueError):
         rank.dedup(df, "maybe")
 
