@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact_dedup, mixing, url_filter
+from strandline.llm import bpe_transducer, exact_dedup, mixing, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_token_files")
+def _(spark, d):
+    return token_files.token_digest(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op5_bpe_codec")
+def _(spark, d):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_transducer.encode_decode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op6_mix_sources")
 def _(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"))
