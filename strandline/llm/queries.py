@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe_transducer, exact_dedup, mixing, token_files, url_filter
+from strandline.llm import bpe_transducer, exact_dedup, mixing, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,12 @@ def _(spark, d):
     return token_files.token_digest(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op2_simhash")
+def _(spark, d):
+    found = simhash.near_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op5_bpe_codec")
 def _(spark, d):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -1,0 +1,107 @@
+"""SimHash near-duplicates against fingerprints and components by definition."""
+
+import random
+
+import numpy as np
+import xxhash
+
+from strandline.llm import simhash
+from strandline.llm.components import components
+
+SCHEMA = "doc_id bigint, text string, fp string, tag string, least string"
+
+
+def slow_fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in lower).split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if linked(a, b):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {n: root(n) for n in nodes}
+
+
+def expected(rows):
+    fps = {r[0]: slow_fingerprint(r[1]) for r in rows}
+    found = slow_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    return sorted((d, simhash.signed(fps[d]), found[d]) for d in fps)
+
+
+def test_documents_as_by_definition(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(400)) for _ in range(6)]
+    texts = [None, "", " \t", "One", "one", "ONE two", "A b c", "a b c", "É é x y", "é É x y", base[0].upper()]
+    for text in base:
+        words = text.split()
+        for _ in range(8):
+            words[rng.randrange(400)] = "zz"
+            texts.append("\n ".join(words))
+    texts += texts[:15]
+    rows = [(i + 3, t, "x", None, "y") for i, t in enumerate(texts)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, found.collect())) == expected(rows)
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "fp", "tag", "least"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in expected(rows)})
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d", None, None, None), (None, "zz y x w", None, None, None)] * 2 + [(4, "q r s t", None, None, None)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len(simhash.near_duplicates(docs).collect()) == 6
+    assert sorted(r.text for r in simhash.drop_near_copies(docs).collect()) == ["a b c d", "q r s t", "zz y x w"]
+
+
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert simhash.near_duplicates(docs).collect() == []
+    assert simhash.drop_near_copies(docs).collect() == []
+
+
+def test_crowded_postings_link_alike(spark):
+    """A cluster beyond the posting bound gives the links of pairwise comparison."""
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 1 << 24, 400, dtype=np.uint64) | np.uint64(0xABCDEF1234 << 24)
+    far = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    chain = [np.uint64(0x1111)]
+    for _ in range(200):
+        chain.append(chain[-1] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3, dtype=np.uint64)))
+    fps = sorted({simhash.signed(int(x)) for x in np.concatenate([near, far, chain])})
+    want = slow_components(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    frame = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    for posting in (2_000, 20):
+        found = {x: x for x in fps}
+        found |= dict(map(tuple, components(simhash.fingerprint_links(frame, posting=posting)).collect()))
+        assert found == want
+
+
+def test_lookup_finds_the_pairs_of_the_tally():
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64) << np.uint64(8))
+    pairs = lambda found: sorted((int(a), int(b)) for x, y in found for a, b in zip(x, y))
+    assert pairs(simhash.counted_pairs(fps)) == pairs(simhash.looked_up_pairs(fps, (0, 1, 2)))
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5, 5), (-7, 1200)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(16)
+    found = dict(map(tuple, components(frame).collect()))
+    assert found == {i: 0 for i in range(1, 301)} | {1000 + i: -7 for i in range(0, 500)}
