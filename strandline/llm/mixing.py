@@ -25,7 +25,7 @@ WORDS = "[^ \\t-\\r]+"
 SHARE = 1.5  # size of the mix, as a share of all sizes
 EPOCHS = 2  # no document is taken more often
 WEIGHTS = (3.0, 1.0, 2.0)  # of sources by code point, repeating
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 KEY = ["mix_none", "mix_source"]  # the source, safe for nulls
 
 
