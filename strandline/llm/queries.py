@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe_transducer, exact_dedup, mixing, simhash, token_files, url_filter
+from strandline.llm import bpe_transducer, exact_dedup, language_id, mixing, ordinal_quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,13 @@ def _(spark, d):
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op4_language_id")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_bpe_codec")
 def _(spark, d):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -105,6 +112,12 @@ from normal window best as (partition by text_sha256 order by chars desc, doc_id
 """
 
 
+@query("op8_quality_classifier")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return ordinal_quality.rate(docs, ordinal_quality.train(docs, table(spark, d, "labels")))
+
+
 @query("op10_url_filter")
 def _(spark, d):
     return url_filter.filter_urls(table(spark, d, "pages"), keep=("page_id",))
