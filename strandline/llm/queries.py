@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe_transducer, exact_dedup, language_id, mixing, ordinal_quality, simhash, token_files, url_filter
+from strandline.llm import bpe_transducer, cross_polytope, exact_dedup, language_id, mixing, ordinal_quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,12 @@ def _(spark, d):
     return ordinal_quality.rate(docs, ordinal_quality.train(docs, table(spark, d, "labels")))
 
 
+@query("op9_nearest_vectors")
+def _(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return cross_polytope.nearest_rows(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @query("op10_url_filter")
 def _(spark, d):
     return url_filter.filter_urls(table(spark, d, "pages"), keep=("page_id",))
