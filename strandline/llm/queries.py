@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe_transducer, cross_polytope, exact_dedup, language_id, mixing, ordinal_quality, simhash, token_files, url_filter
+from strandline.llm import bpe_transducer, cross_polytope, exact_dedup, language_id, lm_score, mixing, ordinal_quality, simhash, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,12 @@ def _(spark, d):
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op3_lm_score")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return lm_score.score(docs, lm_score.train(docs, F.col("source") == "src1"))
+
+
 @query("op4_language_id")
 def _(spark, d):
     docs = table(spark, d, "documents")
