@@ -35,9 +35,9 @@ def uniform(id_col: str, text_col: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def plausibility(text_col: str) -> Column:
+def plausibility() -> Column:
     """Quality weight in (0, 1]: 1 at six characters a word, less the further off."""
-    mean = F.char_length(F.col(text_col)) / F.greatest(F.col("size"), F.lit(1))
+    mean = F.col("mix_chars") / F.greatest(F.col("mix_size"), F.lit(1))
     return F.coalesce(1 / (1 + F.abs(mean - 6)), F.lit(1.0))
 
 
@@ -59,43 +59,36 @@ def targets(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> D
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(
+def _taken(
     docs: DataFrame,
+    keep: Sequence[str],
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: Sequence[str] = ("doc_id",),
     quality: Column | None = None,
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     epochs: int = EPOCHS,
 ) -> DataFrame:
-    """The ``keep`` columns of every row of ``docs`` and mix_size, mix_source_size,
-    mix_target and mix_copies: how often the mix takes the row.
-
-    Size is the number of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have
-    0 and are never short of their target.  A null source is a source of its own,
-    last in order.  The document in which the target falls is taken if at least
-    half of it is below, so a source is off by half a document at most.  Rows equal
-    in id and text are interchangeable; each counts.  ``quality`` (default: a
-    plausible mean word length) must be in (0, 1].  No rows give no rows.
-    """
-    sized = docs.select(
-        *keep,
+    """mix_kept (the ``keep`` columns as a struct, so that no names clash),
+    mix_size, mix_source_size, mix_target, mix_copies."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("bigint")
+    rows = docs.select(
+        F.struct(*keep).alias("mix_kept"),
         F.col(source_col).isNull().alias("mix_none"),
         F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
-        uniform(id_col, text_col).alias("mix_u"),
+        size.alias("mix_size"),
         F.col(id_col).alias("mix_id"),
-        F.col(text_col).alias("mix_text"),
+        F.char_length(F.col(text_col)).alias("mix_chars"),
+        uniform(id_col, text_col).alias("mix_u"),
         *([] if quality is None else [quality.alias("mix_quality")]),
     )
-    worth = plausibility("mix_text") if quality is None else F.col("mix_quality")
-    rows = sized.withColumn("mix_worth", worth).withColumn("mix_key", -F.log("mix_u") / F.col("mix_worth"))
-    rows = rows.withColumnRenamed("size", "mix_size").drop("mix_text", "mix_quality", "mix_u")
+    worth = plausibility() if quality is None else F.col("mix_quality")
+    rows = rows.withColumn("mix_worth", worth).withColumn("mix_key", -F.log("mix_u") / F.col("mix_worth"))
+    rows = rows.drop("mix_chars", "mix_quality", "mix_u")
     rows = written(rows.withColumn("mix_rid", F.monotonically_increasing_id()), "mix-rows")
 
-    plan = written(_plan(rows, weights, share, epochs), "mix-plan")
+    plan = written(_plan(rows.drop("mix_kept"), weights, share, epochs), "mix-plan")
     hot = hot_in(plan.select(*KEY, "mix_rows"), KEY, "mix_rows")
     wanted = [*KEY, "mix_source_size", "mix_target", "mix_full", "mix_edge", "mix_ranges", "mix_rate", "mix_last"]
     taken = lookup_join(rows, plan.select(*wanted), KEY, spread=["mix_rid"], hot=hot)
@@ -103,7 +96,22 @@ def mix(
     order = F.struct("mix_key", "mix_id", "mix_size", "mix_rid")
     more = (at < F.col("mix_edge")) | ((at == F.col("mix_edge")) & (order <= F.col("mix_last")))
     copies = F.col("mix_full") + F.coalesce(more, F.lit(False)).cast("bigint")
-    return taken.select(*keep, "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+    return taken.select("mix_kept", "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
+
+
+def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+    """The ``keep`` columns of every row of ``docs`` and mix_size, mix_source_size,
+    mix_target and mix_copies: how often the mix takes the row.
+
+    Size is the number of words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have
+    0 and are never short of their target.  A null source is a source of its own,
+    last in order.  The document in which the target falls is taken if at least
+    half of it is below, so a source is off by half a document at most.  Rows equal
+    in id and text are interchangeable; each counts.  ``quality`` (default: a
+    plausible mean word length) must be in (0, 1].  No rows give no rows.  Other
+    options: the columns' names, weights, share and epochs.
+    """
+    return _taken(docs, keep, **options).select("mix_kept.*", "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def _range(key: Column, rate: Column, ranges: Column) -> Column:
@@ -151,8 +159,8 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, epochs: int)
     return planned.join(edges.drop("below"), KEY, "left").join(last, KEY, "left")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken."""
-    mixed = mix(docs, id_col, text_col, source_col, keep=docs.columns, **options).filter("mix_copies > 0")
+    taken = _taken(docs, docs.columns, **options).filter("mix_copies > 0")
     each = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
-    return mixed.select(*docs.columns, each).select(*docs.columns)
+    return taken.select("mix_kept", each).select("mix_kept.*")
