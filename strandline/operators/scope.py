@@ -63,12 +63,14 @@ def in_scope(
     include: str | None = None,
     url: str = "url",
 ) -> DataFrame:
-    """The rows of ``urls`` that lie in the scope of at least one seed."""
+    """The rows of ``urls`` that lie in the scope of at least one seed, or match
+    ``include``: with a named scope type the pattern widens that scope."""
     kind = scope_type_of(scope_type, include)
     if kind == "custom":
         return include_rx(urls, include, url) if include else urls
     if kind == "any":
         return urls
+    also = F.coalesce(F.col(url).rlike(include), F.lit(False)) if include else F.lit(False)
     keys = seeds.select(_scope_key(kind, F.col("url")).alias("key")).filter("key <> ''").distinct()
     few = keys.limit(LITERAL_KEYS + 1).collect()
     keyed = urls.withColumn("scope_key", _scope_key(kind, F.col(url)))
@@ -78,7 +80,7 @@ def in_scope(
             hit = F.exists(_covering_keys(kind, F.col("scope_key")), lambda k: k.isin(values))
         else:
             hit = F.col("scope_key").isin(values)
-        return keyed.filter(hit).drop("scope_key")
+        return keyed.filter(F.coalesce(hit, F.lit(False)) | also).drop("scope_key")
     if kind in ("prefix", "domain"):
         owners = keyed.select("scope_key").distinct()
         owners = owners.withColumn("key", F.explode(_covering_keys(kind, F.col("scope_key"))))
@@ -86,7 +88,10 @@ def in_scope(
         covered = written(hits.select("scope_key").distinct(), "scope")
     else:
         covered = keys.withColumnRenamed("key", "scope_key")
-    return lookup_join(keyed, covered, ["scope_key"], "left_semi", [url]).drop("scope_key")
+    if not include:
+        return lookup_join(keyed, covered, ["scope_key"], "left_semi", [url]).drop("scope_key")
+    marked = lookup_join(keyed, covered.withColumn("covered", F.lit(True)), ["scope_key"], "left", [url])
+    return marked.filter(F.col("covered").isNotNull() | also).drop("scope_key", "covered")
 
 
 def flag_scope(
@@ -170,7 +175,11 @@ def period_start(text: Column | str) -> Column:
 
 def sitemap_between(df: DataFrame, lo: str | None = None, hi: str | None = None, lastmod: str = "lastmod") -> DataFrame:
     """Dates in [lo, hi], both inclusive; undated rows stay.  A ``lastmod``
-    stored as a timestamp is compared as it is, which reaches the scan."""
+    stored as a timestamp is compared as it is, which reaches the scan.  A bound
+    that is no ISO date is an error."""
+    for bound in filter(None, (lo, hi)):
+        if df.sparkSession.range(1).select(period_start(F.lit(bound))).first()[0] is None:
+            raise ValueError(f"unreadable date {bound!r}")
     typed = df.schema[lastmod].dataType.typeName() != "string"
     when = F.col(lastmod) if typed else period_start(lastmod)
     for bound, test in ((lo, when.__ge__), (hi, when.__le__)):
@@ -192,7 +201,8 @@ def page_limit(
 
     ``max_limit`` replaces ``limit`` if both are set; 0 means no limit.  Small
     limits (up to ``top_k``) are a top-k; larger ones find the cut from hourly counts, so no task
-    holds more than its share."""
+    holds more than its share.  Either way rows without a time come first, and a
+    null group is a group."""
     n = max_limit or limit
     if not n:
         return df
@@ -230,7 +240,7 @@ def limit_cut(
         span = df.agg(F.min(ts).cast("timestamp").alias("lo"), F.max(ts).cast("timestamp").alias("hi")).first()
         end = (F.lit(span["lo"]) + F.make_dt_interval(secs=F.lit(limit))).cast(kind)
         hit = span["lo"] is not None and (span["hi"] - span["lo"]).total_seconds() > limit
-        kept = df.filter(F.col(ts) <= end) if hit else df
+        kept = df.filter(F.col(ts).isNull() | (F.col(ts) <= end)) if hit else df  # rows without time come first
     else:
         raise ValueError("by is bytes or elapsed")
     if hit and mode == "hard":

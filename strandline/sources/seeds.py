@@ -93,8 +93,9 @@ def filter_logs(
     contexts: str | Sequence[str] | None = None,
     exclude: str | Sequence[str] | None = LOG_EXCLUDED,
 ) -> DataFrame:
-    """Keep the listed levels and contexts, drop the excluded contexts.  Plain
-    set tests on columns, so they reach a parquet scan."""
+    """Keep the listed levels and contexts, drop the excluded contexts; a row
+    without context is none of them.  Plain set tests on columns, so they reach a
+    parquet scan."""
     keep, drop = _names(contexts), _names(exclude)
     unknown = set(keep + drop) - set(LOG_CONTEXTS)
     if unknown:
@@ -103,7 +104,7 @@ def filter_logs(
         df = df.filter(F.col("level").isin(_names(levels)))
     if keep:
         df = df.filter(F.col("context").isin(keep))
-    return df.filter(~F.col("context").isin(drop)) if drop else df
+    return df.filter(F.col("context").isNull() | ~F.col("context").isin(drop)) if drop else df
 
 
 def run_order(files: DataFrame) -> DataFrame:

@@ -72,9 +72,12 @@ def build_index(captures: DataFrame) -> DataFrame:
 def rollover(df: DataFrame, max_bytes: int = ROLLOVER_BYTES, order: Sequence[str] = ("ts", "capture_id")) -> DataFrame:
     """Adds ``shard``: a new one starts at every multiple of ``max_bytes`` of
     the bytes before.  (A writer that fills files one by one lets each run over
-    by its last record, so its cuts come slightly later.)"""
-    summed = prefix_sum(df, "bytes", order)
-    return summed.withColumn("shard", F.expr(f"before div {int(max_bytes)}")).drop("before")
+    by its last record, so its cuts come slightly later.)  ``order`` ends in a
+    unique id."""
+    uid = order[-1]
+    summed = prefix_sum(df.select(*order, "bytes"), "bytes", order)  # bodies stay where they are
+    shards = summed.select(uid, F.expr(f"before div {int(max_bytes)}").alias("shard"))
+    return df.join(shards, uid).select(*df.columns, "shard")
 
 
 def compact(
