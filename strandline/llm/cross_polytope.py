@@ -237,7 +237,7 @@ def nearest_rows(
     nearest first, ties by the smaller id.
 
     A row with the query's own id is no neighbour.  Rows repeated with id and vector
-    count once.  Vectors that are null, zero, of another length than most, or that
+    count once; an id with several vectors is several queries.  Vectors that are null, zero, of another length than most, or that
     hold null or non-finite components take no part, as rows or queries; a null id
     takes part as a row and sorts first among ties.  No rows give no rows.
     """
@@ -253,7 +253,7 @@ def nearest_rows(
     asked = written(stored.join(wanted.select("gid").distinct(), "gid", "left_semi"), "query-vectors")
     n, length = stored.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n or asked.isEmpty():
-        return _ranked(stored.sparkSession.createDataFrame([], PAIRS), stored, wanted, k)
+        return _ranked(stored.sparkSession.createDataFrame([], PAIRS), stored, wanted, k).drop("gid")
     width = 2 << max(0, length - 1).bit_length()
     axes = max(1, round(math.log(max(1, n / BUCKET)) / math.log(width)))
     many = visits_needed(stored, asked, axes, width, k)
@@ -261,14 +261,15 @@ def nearest_rows(
     result = written(_ranked(pairs, stored, wanted, k), "neighbours")
 
     rows_in_all = sound.select("vec_id").distinct().count()
-    full = result.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, rows_in_all - 1))
-    short = wanted.join(full.select("query_id"), "query_id", "left_anti")
+    full = result.groupBy("query_id", "gid").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, rows_in_all - 1))
+    short = wanted.join(full.select("query_id", "gid"), ["query_id", "gid"], "left_anti")
     if rows_in_all < 2 or short.isEmpty():
-        return result
+        return result.drop("gid")
     short = written(short, "short")
     again = stored.join(short.select("gid").distinct(), "gid", "left_semi")
     pairs = _best(_visits(stored, again, 1, axes, width**axes, k + 1), k + 1)
-    return result.join(short.select("query_id"), "query_id", "left_anti").unionByName(_ranked(pairs, stored, short, k))
+    result = result.join(short, ["query_id", "gid"], "left_anti").unionByName(_ranked(pairs, stored, short, k))
+    return result.drop("gid")
 
 
 def _ranked(pairs: DataFrame, stored: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -276,6 +277,6 @@ def _ranked(pairs: DataFrame, stored: DataFrame, wanted: DataFrame, k: int) -> D
     rows = pairs.join(stored.select(F.col("gid").alias("found"), "ids"), "found")
     rows = rows.select(F.col("query").alias("gid"), "square", F.explode("ids").alias("id"))
     rows = wanted.join(rows, "gid").filter(F.col("id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("square", "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "gid").orderBy("square", "id"))
     rows = rows.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return rows.select("query_id", "rank", F.nullif("id", F.lit(-(1 << 63))).alias("vec_id"), F.sqrt("square").alias("score"))
+    return rows.select("query_id", "gid", "rank", F.nullif("id", F.lit(-(1 << 63))).alias("vec_id"), F.sqrt("square").alias("score"))
