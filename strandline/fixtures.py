@@ -22,6 +22,19 @@ select /*+ SHUFFLE_HASH(p) */ e.event_id as capture_id, concat('crawl-', cast(e.
 from (select event_id, ts, event_type, value, event_id % (select count(*) from pages) as page_id,
         cast(floor(event_id / (1.0 * (select count(*) from pages))) as bigint) + 1 as attempt from events) e
 join (select page_id, url, md5(html) as digest from pages) p on p.page_id = e.page_id""",
+    "timeless": """
+select capture_id, case when capture_id % 50 = 7 then null else ts end as ts,
+  case when capture_id % 47 = 3 then null else collection end as collection, bytes from captures""",
+    "odd_pages": """
+select page_id, url, concat('<html><head><base href="/c/', cast(page_id as string), '/x"><title>T&#39;</title></head>',
+  case page_id % 6
+    when 0 then '<p title=''a>b''>caf&eacute; &#8217;x &#x2014; &amp;lt; &nosuch; &copy;</p><a href="one&#x2f;two?a=1&amp;b=2">go</a>'
+    when 1 then '<p>before</p><!-- open <a href="/no">'
+    when 2 then '<script>var a = "<p>no</p>";</script ><a href=''/abs''>in</a><script>never closed <a href="/no2">'
+    when 3 then '<a title="x > y" href="../up">1 < 2</a><area class="big nav" shape="rect" href="map"><area class="nav" href="no3">'
+    when 4 then '<a href="./here#frag">&euro;&#128;</a><p class="open <a href="/no4">'
+    else '<style>p { }</style><a href="//other.example.org/y">plain</a> text' end) as html
+from pages""",
     "site_seeds": f"""
 select f.pos, p.url from (select min(page_id) as pos from pages group by {HOST.format('url')}) f
 join pages p on p.page_id = f.pos""",
@@ -113,6 +126,7 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 NEEDS = {
     "variants": ("captures",),
+    "timeless": ("captures",),
     "scoped_edges": ("edges",),
     "url_redirects": ("redirects",),
     "crawl_updates": ("captures",),

@@ -23,6 +23,14 @@ uk ukr  ur urd  uz uzb  ve ven  vi vie  vo vol  wa wln  wo wol  xh xho  yi yid
 yo yor  za zha  zh zho  zu zul
 """
 
+# Bibliographic codes and the terminological ones in use.
+BIBLIOGRAPHIC = """
+alb sqi  arm hye  baq eus  bur mya  chi zho  cze ces  dut nld  fre fra  geo kat  ger deu  gre ell  ice isl
+mac mkd  mao mri  may msa  per fas  rum ron  slo slk  tib bod  wel cym
+"""
+
 _CODES = ISO_639.split()
 PAIRS = list(zip(_CODES[::2], _CODES[1::2]))
+_OLD = BIBLIOGRAPHIC.split()
+TO_ISO3 = {**dict(PAIRS), **dict(zip(_OLD[::2], _OLD[1::2]))}
 FALLBACK = "eng"

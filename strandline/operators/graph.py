@@ -31,13 +31,16 @@ def extract_links(
     allow_hash: bool = False,
     dedupe: bool = True,
 ) -> DataFrame:
-    """(src, dst) of every link the rules select, resolved and cleaned.
+    """(src, dst) of every link the rules select, resolved (against the page's
+    ``<base href>`` if it has one) and cleaned.
 
     Repeats within a page go before anything is shuffled.  ``dedupe=False``
     leaves out the shuffle; a page may then repeat a target that it spells in
     two ways, and a page crawled twice gives its links twice."""
     found = F.array_distinct(F.flatten(F.array(*[H.link_values(F.col("html"), r) for r in rules])))
-    base = U.base_of("url")._asdict()
+    pages = pages.withColumn("base_href", H.base_href(F.col("html")))
+    origin = F.when(F.col("base_href") == "", F.col("url")).otherwise(U.resolve("url", "base_href"))
+    base = U.base_of(origin)._asdict()
     parts_of_page = F.struct(*[c.alias(n) for n, c in base.items()]).alias("base")
     per_page = pages.select(F.col("url").alias("src"), parts_of_page, found.alias("hrefs"))
     raw = per_page.select("src", "base", F.explode("hrefs").alias("href"))

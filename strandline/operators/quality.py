@@ -114,20 +114,26 @@ def check_recipes(recipes: DataFrame, rules: Sequence[Rule], id: str = "recipe_i
     return recipes.select(id, F.inline(violations))
 
 
-def qa_compare(crawl: DataFrame, replay: DataFrame) -> DataFrame:
+def qa_compare(crawl: DataFrame, replay: DataFrame, ts: str | None = None) -> DataFrame:
     """Each page in the crawl against its replay: (url, presence, same_text,
-    size_permille, shared, tokens).  Both sides have ``url`` and ``text`` with
-    one row per URL.  Sizes and digests travel for all pages, and in place of
-    the text its distinct tokens.  Jaccard is shared / tokens."""
+    size_permille, shared, tokens).  Both sides have ``url`` and ``text``.  Of
+    several rows of one cleaned URL the newest by ``ts`` counts, without ``ts``
+    the longest text (then the smallest digest).  Sizes and digests travel for all
+    pages, and in place of the text hashes of its distinct tokens.  Jaccard is
+    shared / tokens."""
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
         words = F.filter(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: w != "")
-        return df.select(
+        thin = df.select(
             U.clean_url("url").alias("url"),
-            F.md5("text").alias(f"digest_{suffix}"),
-            F.length("text").cast("bigint").alias(f"size_{suffix}"),
-            words.alias(f"words_{suffix}"),
+            *([F.col(ts).alias("at")] if ts else []),
+            F.md5("text").alias("digest"),
+            F.length("text").cast("bigint").alias("size"),
+            F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
         )
+        order = F.struct(*["at"] * bool(ts), F.col("size"), F.col("digest"))
+        one = thin.groupBy("url").agg(F.max_by(F.struct("digest", "size", "words"), order).alias("x"))
+        return one.select("url", *[F.col(f"x.{c}").alias(f"{c}_{suffix}") for c in ("digest", "size", "words")])
 
     both = side(crawl, "c").join(side(replay, "r"), "url", "full_outer")
     c, r = F.col("size_c"), F.col("size_r")

@@ -250,23 +250,29 @@ def charset_audit(captures: DataFrame, by: Sequence[str] = ("host",), **options)
     )
 
 
+def iso3(code: str) -> Column:
+    """The ISO 639-3 code for a two-letter or bibliographic code; others of three
+    letters stand for themselves, the rest is null."""
+    known = F.create_map(*[F.lit(x) for pair in L.TO_ISO3.items() for x in pair])
+    code = F.lower(F.trim(F.col(code)))
+    return F.coalesce(F.element_at(known, code), F.when(code.rlike("^[a-z]{3}$"), code))
+
+
 def site_metadata(pages: DataFrame, seeds: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """The eight metadata fields of each site (host).
 
     A site's homepage is its first seed.  Language and title come from that
     page unless ``overrides`` (one row per ``site``, columns as in METADATA)
-    says otherwise; the language falls back to ``eng``.  Other pages go before
+    says otherwise.  Languages get their ISO 639-3 code; a page that declares none,
+    or a two-letter code that is none, has ``eng``.  Other pages go before
     any shuffle when the homepages are few enough to broadcast, and only the
     short extracts of a page are shuffled, never its HTML."""
-    spark = pages.sparkSession
     homes = seeds.groupBy(U.host("url").alias("site")).agg(F.min_by("url", "pos").alias("url"))
     extracts = pages.select("url", H.language(F.col("html")).alias("code"), H.title(F.col("html")).alias("page_title"))
     extracts = lookup_join(extracts, homes.select("url"), ["url"], "left_semi", spread=["code", "page_title"])
     extracts = extracts.groupBy("url").agg(F.min(F.struct("code", "page_title")).alias("x")).select("url", "x.*")
-    known = spark.createDataFrame(L.PAIRS, "code string, iso3 string")
-    own = spark.createDataFrame([(three, three) for _, three in L.PAIRS], "code string, iso3 string")
-    found = homes.join(extracts, "url", "left").join(F.broadcast(known.unionByName(own)), "code", "left")
-    given = {"name": F.col("site"), "title": F.nullif("page_title", F.lit("")), "language": F.coalesce("iso3", F.lit(L.FALLBACK))}
+    found = homes.join(extracts, "url", "left")
+    given = {"name": F.col("site"), "title": F.nullif("page_title", F.lit("")), "language": F.coalesce(iso3("code"), F.lit(L.FALLBACK))}
     columns = [c for _, c in METADATA]
     base = found.select("site", "url", *[given.get(c, F.lit(None).cast("string")).alias(f"found_{c}") for c in columns])
     if overrides is not None:
@@ -274,6 +280,8 @@ def site_metadata(pages: DataFrame, seeds: DataFrame, overrides: DataFrame | Non
         have = overrides.columns
     else:
         have = []
+    if "language" in have:
+        base = base.withColumn("language", F.coalesce(iso3("language"), F.col("language")))
     picked = [
         (F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"found_{c}")) if c in have else F.col(f"found_{c}")).alias(name)
         for name, c in METADATA

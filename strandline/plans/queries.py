@@ -146,6 +146,16 @@ def _(spark, d):
     return sinks.page_text(table(spark, d, "pages"))
 
 
+@query("S10_page_text_hostile")
+def _(spark, d):
+    return sinks.page_text(table(spark, d, "odd_pages"))
+
+
+@query("G1_extract_links_hostile")
+def _(spark, d):
+    return graph.extract_links(table(spark, d, "odd_pages"), ("a[href]->href", "area.nav[shape=rect]->href"))
+
+
 # --- URL projections --------------------------------------------------------
 
 
@@ -249,6 +259,17 @@ def _(spark, d):
     return scope.page_limit(thin, limit=50, max_limit=500).drop("ts")
 
 
+@query("F7_page_limit_nulls")
+def _(spark, d):
+    thin = table(spark, d, "timeless").select("capture_id", "ts", "collection")
+    return scope.page_limit(thin, limit=120, per=["collection"], top_k=0).select("capture_id", "collection")
+
+
+@query("F8_size_nulls")
+def _(spark, d):
+    return scope.limit_cut(table(spark, d, "timeless").select("capture_id", "ts", "bytes"), SIZE_LIMIT).df.select("capture_id", "bytes")
+
+
 @query("F7_page_limit_large")
 def _(spark, d):
     thin = table(spark, d, "captures").select("capture_id", "ts", "url")
@@ -458,6 +479,15 @@ def _(spark, d):
     return quality.check_recipes(table(spark, d, "recipes"), quality.recipe_rules("arc"))
 
 
+@query("Q3_qa_compare_spellings")
+def _(spark, d):
+    pages, texts = table(spark, d, "pages"), sinks.page_text(table(spark, d, "odd_pages"))
+    spelled = pages.select(F.concat(F.lit("HTTPS"), F.regexp_replace("url", "^[a-z]+", "")).alias("url"), "html")
+    both = spelled.unionByName(pages.select(F.regexp_replace("url", "^[a-z]+", "https").alias("url"), F.reverse("html").alias("html")))
+    crawl = both.select("url", F.substring("html", 1, 40).alias("text"))
+    return quality.qa_compare(crawl, texts.select(F.regexp_replace("url", "^[a-z]+", "https").alias("url"), "text"))
+
+
 @query("Q3_qa_compare")
 def _(spark, d):
     sides = [table(spark, d, t) for t in ("documents", "replay")]
@@ -505,8 +535,9 @@ def _(spark, d):
 
 @query("T3_dedup_stream")
 def _(spark, d):
-    kept = live.dedup_stream(event_stream(spark, d), ["url"], "3650 days")
-    return live.run_to_table(kept, "firsts").select("url")
+    firsts = live.firsts_per_window(event_stream(spark, d), ["url"], "10 minutes")
+    stored = spark.readStream.schema(firsts.schema).parquet(live.run(firsts, "firsts"))
+    return live.run_to_table(live.first_of_key(stored, ["url"]), "first").select("url", "capture_id")
 
 
 @query("T4_limit_monitor")

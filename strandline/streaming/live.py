@@ -53,13 +53,50 @@ def crawl_stats_stream(
 
 
 def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, ts: str = "ts", spread: str = "capture_id") -> DataFrame:
-    """The first capture of each key within the watermark.  A first pass per
-    (key, salt) leaves at most one row per salt of a hot key for the second."""
+    """One capture of each key within the watermark, as soon as it arrives: which
+    one depends on the order of arrival.  :func:`firsts_per_window` and
+    :func:`first_of_key` keep the earliest.  A first pass per (key, salt) leaves at
+    most one row per salt of a hot key for the second."""
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
     marked = df.withWatermark(ts, watermark).withColumn("salt", salt)
     return marked.dropDuplicatesWithinWatermark([*key, "salt"]).dropDuplicatesWithinWatermark(list(key)).drop("salt")
 
 
+def firsts_per_window(
+    df: DataFrame, key: Sequence[str], watermark: str, window: str = "1 hour", ts: str = "ts", uid: str = "capture_id"
+) -> DataFrame:
+    """(key, ts, uid) of the earliest capture of each key in each closed window,
+    for ``append`` mode.  A partial minimum comes before the shuffle."""
+    spans = df.withWatermark(ts, watermark).groupBy(*key, F.window(ts, window).alias("span"))
+    firsts = spans.agg(F.min(F.struct(F.col(ts).alias("t"), F.col(uid).alias("u"))).alias("first"))
+    return firsts.select(*key, F.col("first.t").alias(ts), F.col("first.u").alias(uid))
+
+
+def first_of_key(firsts: DataFrame, key: Sequence[str], horizon: str = "30 days", ts: str = "ts", uid: str = "capture_id") -> DataFrame:
+    """The earliest capture of each key, once; a key not seen for ``horizon`` is
+    forgotten, which bounds the state.
+
+    ``firsts`` is a stream over the table that :func:`firsts_per_window` fills: one
+    row per key and window, and windows close in order, so the first row of a key
+    is its earliest.  The state of a key is one flag."""
+    columns = [*key, ts, uid]
+    schema = firsts.select(*columns).schema
+    keep_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
+
+    def watch(names: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values([ts, uid], ignore_index=True)
+        if not state.exists:
+            yield rows.iloc[:1][columns]
+        state.update((True,))
+        state.setTimeoutTimestamp(max(int(rows[ts].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+
+    seen = firsts.select(*columns).withWatermark(ts, "0 seconds")
+    return seen.groupBy(*key).applyInPandasWithState(watch, schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def bytes_per_window(
     df: DataFrame, watermark: str, window: str = "1 minute", by: str = "collection", ts: str = "ts"
 ) -> DataFrame:
