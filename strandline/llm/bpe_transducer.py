@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 250_000  # stretches kept; then the next generation starts
-STATES = 400_000  # transitions kept; then the machine starts anew
+MEMO = 400_000  # stretches kept; then the next generation starts
+STATES = 250_000  # states kept; others are worked out again whenever they are met
 PAIRS = 1_000_000
 DECODE_TOKENS = 8192
 
@@ -51,6 +51,18 @@ def merge_ranks(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class State:
+    """A state of the deterministic machine: the last token emitted and the open
+    paths, each a trie node and the tokens ended but not yet emitted.  The last path
+    has just ended a token and stands at the root."""
+
+    __slots__ = ("last", "paths", "steps")
+
+    def __init__(self, last: int, paths: tuple[tuple[int, tuple[int, ...]], ...]):
+        self.last, self.paths = last, paths
+        self.steps: dict[int, tuple[State, tuple[int, ...]]] = {}
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -70,11 +82,10 @@ class Transducer:
         self.restart()
 
     def restart(self) -> None:
-        """Forget the deterministic machine.  State 0 is the start of a word."""
-        start = (-1, ((0, ()),))
-        self.states = [start]
-        self.numbers = {start: 0}
-        self.steps: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
+        """Forget the deterministic machine but for the start of a word."""
+        self.start = State(-1, ((0, ()),))
+        self.states = {(-1, ((0, ()),)): self.start}
+        self.unkept = 0
 
     def adjacent(self, left: int, right: int) -> bool:
         """Does BPE leave these two tokens side by side?  -1 is the word's start."""
@@ -87,48 +98,48 @@ class Transducer:
             known = self.pairs[left, right] = merge_ranks(self.ranks, before + self.tokens[right]) == want
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Next state and the tokens emitted.
-
-        A state is the last token emitted and the open paths: a trie node, and the
-        tokens ended but not yet emitted.  One path has just ended a token and
-        stands at the root."""
-        last, paths = self.states[state]
+    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """Next state and the tokens emitted, when first met."""
+        last, child, ends = state.last, self.child, self.ends
         moved, ended = [], None
-        for node, pending in paths:
-            node = self.child[node].get(byte)
+        for node, pending in state.paths:
+            node = child[node].get(byte)
             if node is None:
                 continue
-            if self.child[node]:
+            if child[node]:
                 moved.append((node, pending))
-            token = self.ends[node]
+            token = ends[node]
             if ended is None and token >= 0 and self.adjacent(pending[-1] if pending else last, token):
                 ended = (*pending, token)
-        moved.append((0, ended))
         agreed = len(ended)
-        for _, pending in moved[:-1]:
+        for _, pending in moved:
             agreed = min(agreed, len(pending))
             while pending[:agreed] != ended[:agreed]:
                 agreed -= 1
         emitted = ended[:agreed]
         if agreed:
             last, moved = ended[agreed - 1], [(node, pending[agreed:]) for node, pending in moved]
-        following = (last, tuple(moved))
-        number = self.numbers.setdefault(following, len(self.states))
-        if number == len(self.states):
-            self.states.append(following)
-        self.steps[state, byte] = number, emitted
-        return number, emitted
+        key = last, (*moved, (0, ended[agreed:]))
+        following = self.states.get(key)
+        if following is None:
+            following = State(*key)
+            if len(self.states) >= STATES:
+                self.unkept += 1
+                return following, emitted
+            self.states[key] = following
+        state.steps[byte] = following, emitted
+        return following, emitted
 
     def encode_word(self, word: bytes) -> list[int]:
-        if len(self.steps) >= STATES:
+        if self.unkept > 16 * STATES:  # the words are others than when the states were met
             self.restart()
-        state, out, steps = 0, [], self.steps
+        state, out = self.start, []
         for byte in word:
-            known = steps.get((state, byte))
+            known = state.steps.get(byte)
             state, emitted = known if known is not None else self.step(state, byte)
-            out += emitted
-        out += self.states[state][1][-1][1]  # the path that ends here
+            if emitted:
+                out += emitted
+        out += state.paths[-1][1]  # the path that ends here
         return out
 
 

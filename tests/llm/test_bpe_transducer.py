@@ -75,7 +75,7 @@ def test_other_ranks_by_definition():
 
 def test_lookahead_is_bounded(codec):
     """Tokens come out on the way through a long word, not all at its end."""
-    machine, state, waiting = codec.machine, 0, 0
+    machine, state, waiting = codec.machine, codec.machine.start, 0
     longest = max(len(t) for t in machine.tokens.values())
     for byte in (b"incomprehensibilities" * 50):
         state, emitted = machine.step(state, byte)
