@@ -301,6 +301,9 @@ select *, requests > 0 and no_mozilla = 0 and no_suffix = 0 as passed from count
 
 SQL["A6_ua_audit"] = _agents("collection")
 SQL["A6_ua_audit_by_host"] = _agents("host")
+SQL["S2_warc_to_ua_audit"] = _agents("host")
+SQL["S2_warc_to_dedup"] = f"""{cte('captures')} select 'capture ' || capture_id as capture_id, url, digest from captures
+qualify row_number() over (partition by url, digest order by ts, 'capture ' || capture_id) = 1"""
 SQL["A7_charset_audit"] = f"""{cte('typed')}, declared as (select *,
   nullif(lower(regexp_extract(content_type, '(?i)charset="?([a-zA-Z0-9_-]+)', 1)), '') as in_http,
   nullif(lower(regexp_extract(html, '(?i)<meta charset="?([a-zA-Z0-9_-]+)', 1)), '') as in_html from typed),

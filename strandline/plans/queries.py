@@ -84,6 +84,28 @@ def _(spark, d):
     return found.select("url", "status", "mime", F.octet_length("body").alias("size"), F.md5("body").alias("digest"))
 
 
+def _scanned(spark, d) -> DataFrame:
+    """All captures written to WARC files and read back."""
+    warc.register(spark)
+    path = scratch(spark, "warc")
+    rows = table(spark, d, "captures").select(
+        "rec_type", "url", "ts", "status", "digest", "user_agent", F.concat(F.lit("capture "), "capture_id").alias("record_id")
+    )
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.format("warc").mode("append").save(path)
+    return spark.read.format("warc").option("types", "request,response").load(path)
+
+
+@query("S2_warc_to_ua_audit")
+def _(spark, d):
+    hosts = _scanned(spark, d).withColumn("host", U.host("url"))
+    return report.ua_audit(hosts, report.user_agent_suffix("+Bot", "test@example.com"), ["host"])
+
+
+@query("S2_warc_to_dedup")
+def _(spark, d):
+    return rank.dedup(_scanned(spark, d).select("capture_id", "url", "digest", "ts")).drop("ts")
+
+
 @query("S3_union_collections")
 def _(spark, d):
     root = scratch(spark, "runs")

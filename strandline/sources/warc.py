@@ -11,12 +11,16 @@ Small files are read several to a task.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import re
 import sys
 import tarfile
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from uuid import uuid4
@@ -26,8 +30,8 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -35,7 +39,8 @@ from pyspark.sql.datasource import (
 SUFFIXES = (".warc", ".warc.gz", ".tar", ".tar.gz")
 SCHEMA = (
     "file string, record_id string, rec_type string, ts timestamp, url string, status int, mime string,"
-    " bytes bigint, digest string, redirect_to string, user_agent string, headers map<string,string>, body binary"
+    " bytes bigint, digest string, redirect_to string, user_agent string, headers map<string,string>, body binary,"
+    " capture_id string, concurrent_to string, refers_to_url string, refers_to_ts timestamp"
 )
 ARROW = pa.schema(
     [
@@ -52,11 +57,17 @@ ARROW = pa.schema(
         ("user_agent", pa.string()),
         ("headers", pa.map_(pa.string(), pa.string())),
         ("body", pa.binary()),
+        ("capture_id", pa.string()),
+        ("concurrent_to", pa.string()),
+        ("refers_to_url", pa.string()),
+        ("refers_to_ts", pa.timestamp("us", tz="UTC")),
     ]
 )
 BATCH_BYTES = 16 << 20
 TASK_BYTES = 128 << 20
 ROLLOVER_BYTES = 1_000_000_000
+# Kinds of record whose block is an HTTP message.
+HTTP_KINDS = ("request", "response", "revisit")
 
 
 class UnsupportedArchive(ValueError):
@@ -133,39 +144,81 @@ def _timestamp(text: str | None) -> datetime | None:
         return None
 
 
-def records(stream, file: str) -> Iterator[dict]:
-    """The records of one WARC stream, as rows of SCHEMA."""
+def _chunks(body: bytes) -> bytes:
+    """A chunked body put together; what is no chunk ends it."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,8}", size) or not int(size, 16):
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def decoded(body: bytes, fields: dict[str, str]) -> bytes:
+    """The body without transfer and content coding; as it is where it is coded
+    otherwise than its headers say."""
+    if "chunked" in fields.get("transfer-encoding", "").lower() and re.match(rb"[0-9a-fA-F]{1,8}\s*(;[^\r]*)?\r\n", body):
+        body = _chunks(body)
+    coding = fields.get("content-encoding", "").lower().strip()
+    windows = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
+    for bits in windows:
+        try:
+            return zlib.decompressobj(bits).decompress(body)
+        except zlib.error:
+            continue
+    return body
+
+
+def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
+    """The records of one WARC stream, as rows of SCHEMA.  A payload digest that
+    the header lacks is taken of the body; a record without id is named by its file
+    and number."""
+    number = -1
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"{file}: expected a record, found {line[:40]!r}")
+        number += 1
         head = dict(_headers(stream))
         size = int(head["content-length"])
         block = stream.read(size)
         if len(block) < size:
             raise ValueError(f"{file}: the last record is cut short")
         status, fields, body = None, {}, block
-        if head.get("content-type", "").startswith("application/http"):
+        is_http = head.get("content-type", "").startswith("application/http")
+        if is_http:
             start, fields, body = _http(block)
             code = start.split(" ")[1:2]
             if start.startswith("HTTP/") and code and code[0].isdigit():
                 status = int(code[0])
-        mime = fields.get("content-type") if fields else head.get("content-type")
+        digest = head.get("warc-payload-digest")
+        if digest is None and head.get("warc-type") in ("response", "resource"):
+            digest = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        if decode:
+            body = decoded(body, fields)
+        record_id = head.get("warc-record-id")
+        mime = fields.get("content-type") if is_http else head.get("content-type")
         yield {
             "file": file,
-            "record_id": head.get("warc-record-id"),
+            "record_id": record_id,
             "rec_type": head.get("warc-type"),
             "ts": _timestamp(head.get("warc-date")),
             "url": head.get("warc-target-uri", "").strip("<>") or None,
             "status": status,
             "mime": mime.split(";")[0].strip().lower() if mime else None,
             "bytes": size,
-            "digest": head.get("warc-payload-digest"),
+            "digest": digest,
             "redirect_to": fields.get("location"),
             "user_agent": fields.get("user-agent"),
             "headers": list(fields.items()),
             "body": body,
+            "capture_id": record_id or f"{file}#{number}",
+            "concurrent_to": head.get("warc-concurrent-to"),
+            "refers_to_url": head.get("warc-refers-to-target-uri", "").strip("<>") or None,
+            "refers_to_ts": _timestamp(head.get("warc-refers-to-date")),
         }
 
 
@@ -193,6 +246,7 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.files = list_files(options["path"])
+        self.decode = options.get("decode", "false").lower() == "true"
         self.body = options.get("body", "true").lower() == "true"
         self.types = {t.strip() for t in options.get("types", "").split(",") if t.strip()}
         self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
@@ -212,7 +266,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             for name, stream in open_streams(path):
-                for row in records(stream, name):
+                for row in records(stream, name, self.decode):
                     if self.types and row["rec_type"] not in self.types:
                         continue
                     if not self.body:
@@ -231,9 +285,13 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     """One or more ``.warc.gz`` files per task, a gzip member per record.  Files
-    get their final name only when the whole job commits."""
+    get their final name only when the whole job commits.
+
+    Nothing is made up: what a row does not say is left out.  A message without
+    status has ``-`` in its place, which reads back as null; kinds that are no HTTP
+    message are written with their own type and body only."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
@@ -257,6 +315,19 @@ class WarcWriter(DataSourceWriter):
 
     def _record(self, row: dict) -> bytes:
         kind = row.get("rec_type") or "response"
+        body = bytes(row.get("body") or b"")
+        head = [
+            ("WARC-Type", kind),
+            ("WARC-Record-ID", row.get("record_id") or f"<urn:uuid:{uuid4()}>"),
+            ("WARC-Date", _stamp(row.get("ts"))),
+            ("WARC-Target-URI", row.get("url")),
+            ("WARC-Payload-Digest", row.get("digest")),
+            ("WARC-Concurrent-To", row.get("concurrent_to")),
+            ("WARC-Refers-To-Target-URI", row.get("refers_to_url")),
+            ("WARC-Refers-To-Date", _stamp(row.get("refers_to_ts"))),
+        ]
+        if kind not in HTTP_KINDS:
+            return self._member([*head, ("Content-Type", row.get("mime"))], body)
         fields = dict(row.get("headers") or {})
         if row.get("mime") and "content-type" not in fields:
             fields["content-type"] = row["mime"]
@@ -264,49 +335,58 @@ class WarcWriter(DataSourceWriter):
             fields.setdefault("user-agent", row["user_agent"])
         if row.get("redirect_to"):
             fields.setdefault("location", row["redirect_to"])
-        start = "GET / HTTP/1.1" if kind == "request" else f"HTTP/1.1 {row.get('status') or 200} -"
+        status = row.get("status")
+        start = f"HTTP/1.1 {'-' if status is None else status} -"
+        if kind == "request":
+            target = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "", row.get("url") or "").partition("#")[0]
+            start = f"GET {target if target.startswith('/') else '/' + target} HTTP/1.1"
         http = "\r\n".join([start, *[f"{k}: {v}" for k, v in fields.items()], "", ""]).encode()
-        stamp = row.get("ts")
-        head = [
-            ("WARC-Type", kind),
-            ("WARC-Record-ID", f"<urn:uuid:{uuid4()}>"),
-            ("WARC-Date", (stamp or datetime.now()).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")),
-            ("WARC-Target-URI", row.get("url")),
-            ("WARC-Payload-Digest", row.get("digest")),
-            ("Content-Type", f"application/http; msgtype={'request' if kind == 'request' else 'response'}"),
-        ]
-        return self._member(head, http + bytes(row.get("body") or b""))
+        message = "request" if kind == "request" else "response"
+        return self._member([*head, ("Content-Type", f"application/http; msgtype={message}")], http + body)
 
-    def write(self, iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = _filesystem(self.path)
         files: list[tuple[str, str]] = []
         out, size = None, 0
-        for row in iterator:
-            if out is None or size > self.limit:
-                if out:
-                    out.close()
-                final = f"{folder}/part-{uuid4().hex}.warc.gz"
-                files.append((final + ".tmp", final))
-                out, size = system.open_output_stream(final + ".tmp", compression=None), 0
-                out.write(self._warcinfo())
-            data = self._record(row.asDict())
-            out.write(data)
-            size += len(data)
-        if out:
-            out.close()
+        try:
+            for batch in iterator:
+                for at in range(batch.num_rows):
+                    if out is None or size > self.limit:
+                        if out:
+                            out.close()
+                        final = f"{folder}/part-{uuid4().hex}.warc.gz"
+                        files.append((final + ".tmp", final))
+                        out, size = system.open_output_stream(final + ".tmp", compression=None), 0
+                        out.write(self._warcinfo())
+                    data = self._record(batch.slice(at, 1).to_pylist(maps_as_pydicts="lossy")[0])
+                    out.write(data)
+                    size += len(data)
+            if out:
+                out.close()
+        except BaseException:
+            if out:
+                out.close()
+            _each(system.delete_file, [(temporary,) for temporary, _ in files])
+            raise
         return Written(files)
 
     def commit(self, messages) -> None:
         system, _ = _filesystem(self.path)
-        for message in messages:
-            for temporary, final in message.files if message else []:
-                system.move(temporary, final)
+        _each(system.move, [pair for message in messages if message for pair in message.files])
 
     def abort(self, messages) -> None:
         system, _ = _filesystem(self.path)
-        for message in messages:
-            for temporary, _ in message.files if message else []:
-                system.delete_file(temporary)
+        _each(system.delete_file, [(temporary,) for message in messages if message for temporary, _ in message.files])
+
+
+def _each(act, arguments: list[tuple]) -> None:
+    """Many small calls to a store, side by side."""
+    with ThreadPoolExecutor(32) as pool:
+        list(pool.map(lambda a: act(*a), arguments))
+
+
+def _stamp(ts: datetime | None) -> str | None:
+    return None if ts is None else ts.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
 class WarcSource(DataSource):

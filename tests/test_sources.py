@@ -183,6 +183,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert got.exceptAll(df.select(columns)).count() == 0 and got.count() == 200
 
 
+def test_warc_keeps_what_rows_say(spark, tmp_path):
+    """All kinds of record, without status or time, come back as they were."""
+    warc.register(spark)
+    rows = [
+        ("response", "http://h/1", "2024-01-02 03:04:05", 404, "text/html", "x", None), ("response", "http://h/2", None, None, None, "", None),
+        ("response", "http://h/3", "2024-01-02 03:04:05", 0, "text/plain", "z", None), ("resource", "urn:pageinfo:h", None, None, "text/plain", "HTTP/1.1 500 -", None),
+        ("metadata", "http://h/4", "2024-01-02 03:04:05", None, "application/json", "{}", None), ("request", "http://h/a/b?c=1#d", None, None, None, "", None),
+        ("revisit", "http://h/5", "2024-01-02 03:04:05", 200, "text/html", "", "http://h/1"),
+    ]
+    names = ["rec_type", "url", "ts", "status", "mime", "body", "refers_to_url"]
+    df = spark.createDataFrame(rows, "rec_type string, url string, ts string, status int, mime string, body string, refers_to_url string")
+    df = df.withColumns({"ts": F.col("ts").cast("timestamp"), "body": F.encode("body", "UTF-8")}).select(names)
+    out = str(tmp_path / "out")
+    df.write.format("warc").mode("append").save(out)
+    back = spark.read.format("warc").load(out).filter("rec_type <> 'warcinfo'")
+    assert back.select(names).exceptAll(df).count() == 0 and back.count() == len(rows)
+    assert back.filter("capture_id is null").count() == 0
+    raw = b"".join(gzip.open(os.path.join(out, f)).read() for f in os.listdir(out))
+    assert b"GET /a/b?c=1 HTTP/1.1" in raw and raw.count(b"WARC-Date") == 4
+    assert not [f for f in os.listdir(out) if f.endswith(".tmp")]
+
+
+@pytest.mark.parametrize(
+    "headers, body, want",
+    [
+        ({"transfer-encoding": "chunked"}, b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n", b"abcde"),
+        ({"transfer-encoding": "chunked"}, b"not chunked", b"not chunked"),
+        ({"content-encoding": "gzip"}, gzip.compress(b"text"), b"text"),
+        ({"content-encoding": "gzip"}, b"plain", b"plain"),
+        ({"content-encoding": "br"}, b"coded", b"coded"),
+        ({}, b"x", b"x"),
+    ],
+)
+def test_decoded_bodies(headers, body, want):
+    assert warc.decoded(body, headers) == want
+
+
 # --- sinks --------------------------------------------------------------------
 
 
