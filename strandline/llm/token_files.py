@@ -16,6 +16,7 @@ The width of a block is the bits that 90 % of its ids need.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,9 @@ BLOCK = 256
 PERCENT = 90
 SEGMENT = 1 << 16  # a segment ends with the document that reaches so many ids
 MEMO = 300_000  # words kept; then the next generation starts
+#: A run of ASCII punctuation that ends a word; the vocabulary cuts before it.
+TAIL = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~]+(?:[\t-\r ]|$))")
+MARKS = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+036F
 
 HEAD = struct.Struct("<4sII")
 BLOCK_HEAD = struct.Struct("<IBH")
@@ -123,11 +127,21 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return out[first - lo * BLOCK : last - lo * BLOCK]
 
 
+def pieces(text: bytes) -> list[bytes]:
+    """Pieces that may be encoded one by one."""
+    if MARKS[0] not in text and MARKS[1] not in text:
+        text = text.lower()
+    return TAIL.sub(b" ", text).split()
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
     The vocabulary drops white space before it cuts words, so words between ASCII
-    white space are encoded one by one, each once while it stays in the memo."""
+    white space are encoded one by one, each once while it stays in the memo.  It
+    also lowers all letters and cuts a word from the punctuation after it; both are
+    done before, so that fewer words differ (letters not where a mark may follow,
+    since some letters compose with a mark in one case only)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
@@ -135,26 +149,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # of tokens that end a word
+        self.ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Make sure that the memo holds these words."""
-        new = []
+        """Make sure that the memo holds these words.  Words of letters only have
+        one token that ends a word each, so many are encoded in one text."""
+        plain, other = [], []
         for word in words:
             known = self.older.get(word)
-            if known is None:
-                new.append(word)
-            else:
+            if known is not None:
                 self.memo[word] = known
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
+            else:
+                (plain if word.decode().isalpha() else other).append(word)
+        ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) == len(plain):
+            whole, start = ids.tobytes(), 0
+            for word, end in zip(plain, ends.tolist()):
+                self.memo[word] = whole[start:end]
+                start = end
+        else:
+            other += plain
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        for word, encoding in zip(other, found):
             self.memo[word] = np.array(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32."""
         for at in range(0, len(texts), 64):
-            cut = [t.split() for t in texts[at : at + 64]]
+            cut = [pieces(t) for t in texts[at : at + 64]]
             if len(self.memo) >= MEMO:
                 self.memo, self.older = {}, self.memo
             self.learn({w for words in cut for w in words}.difference(self.memo))
@@ -216,12 +243,12 @@ KINDS = [
 
 def read_segments(spark, out: str) -> DataFrame:
     """The segments with ``start``, the ids of all segments before.  Only totals of
-    the written partitions are summed in one place."""
+    the written partitions, one number each, are summed in one place and broadcast."""
     stored = spark.read.parquet(out)
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return stored.join(base, "part").withColumn("start", F.col("base") + F.col("part_start")).drop("base")
+    return stored.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("part_start")).drop("base")
 
 
 def read_documents(spark, out: str, ids: bool = False) -> DataFrame:
