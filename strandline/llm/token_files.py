@@ -33,7 +33,7 @@ from strandline.session import scratch
 BLOCK = 256
 PERCENT = 90
 SEGMENT = 1 << 16  # a segment ends with the document that reaches so many ids
-MEMO = 300_000  # words kept; then the next generation starts
+MEMO = 400_000  # words kept; then the next generation starts
 #: A run of ASCII punctuation that ends a word; the vocabulary cuts before it.
 TAIL = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~]+(?:[\t-\r ]|$))")
 MARKS = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+036F
@@ -44,13 +44,17 @@ BLOCK_HEAD = struct.Struct("<IBH")
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values as rows of bytes, ``width`` bits each, low bits first."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    rows, count = values.shape
+    whole = values.astype("<u2" if width <= 16 else "<u4")
+    bits = np.unpackbits(whole.view(np.uint8).reshape(rows, count, -1), axis=2, bitorder="little")
+    return np.packbits(bits[:, :, :width].reshape(rows, -1), axis=1, bitorder="little")
 
 
 def _unpacked(rows: np.ndarray, width: int, count: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, bitorder="little")[:, : count * width].reshape(len(rows), count, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    bits = np.zeros((len(rows), count, 16 if width <= 16 else 32), np.uint8)
+    bits[:, :, :width] = np.unpackbits(rows, axis=1, bitorder="little")[:, : count * width].reshape(len(rows), count, width)
+    whole = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    return whole.view("<u2" if width <= 16 else "<u4").astype(np.uint32)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -165,7 +169,8 @@ class Encoder:
                 self.memo[word] = known
             else:
                 (plain if word.decode().isalpha() else other).append(word)
-        ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+        (whole,) = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) == len(plain):
             whole, start = ids.tobytes(), 0
@@ -182,11 +187,14 @@ class Encoder:
         """Ids of each text as little-endian uint32."""
         for at in range(0, len(texts), 64):
             cut = [pieces(t) for t in texts[at : at + 64]]
-            if len(self.memo) >= MEMO:
-                self.memo, self.older = {}, self.memo
-            self.learn({w for words in cut for w in words}.difference(self.memo))
-            for words in cut:
-                yield b"".join(map(self.memo.__getitem__, words))
+            found = [list(map(self.memo.get, words)) for words in cut]
+            short = [None in ids for ids in found]
+            if any(short):
+                if len(self.memo) >= MEMO:
+                    self.memo, self.older = {}, self.memo
+                self.learn({w for words, missing in zip(cut, short) if missing for w in words}.difference(self.memo))
+            for words, ids, missing in zip(cut, found, short):
+                yield b"".join(map(self.memo.__getitem__, words) if missing else ids)
 
 
 @lru_cache(maxsize=2)
