@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -17,6 +18,28 @@ GOOD_PORT = rf"^(?i:https?){_HOST_PART}:" + (
     r"(?:0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?(?:[/?#]|$)"
 )
 UNPAIRED = r"^[^:/?#]*://(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)"
+BRACKETED = r"^[^:/?#]*://(?:[^/?#]*@)?\["
+_H = "[0-9a-fA-F]{1,4}"
+_V4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+
+
+def _six() -> str:
+    """An IPv6 address: eight groups, or fewer around one '::'; the last two may
+    be dotted."""
+    forms = [f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{6}}{_V4}"]
+    for left in range(8):
+        before = f"{_H}(?::{_H}){{{left - 1}}}" if left else ""
+        after = [f"{_H}(?::{_H}){{0,{6 - left}}}"] * (left < 7) + [f"(?:{_H}:){{0,{5 - left}}}{_V4}"] * (left < 6)
+        forms.append(f"{before}::(?:{'|'.join(after)})?" if after else f"{before}::")
+    return "|".join(forms)
+
+
+#: A bracketed host that is one: an IPv6 address, with a zone maybe, or a later kind.
+GOOD_BRACKETS = rf"^[^:/?#]*://(?:[^/?#]*@)?\[(?:(?:{_six()})(?:%[^\]/?#]+)?|v[0-9a-fA-F]+\.[^\]/?#]+)\](?:[:/?#]|$)"
+INNER_BRACKET = r"^[^:/?#]*://(?:[^/?#]*@)?[^/?#@\[]+\["
+#: Characters that compatibility normalisation turns into marks of a URL.
+_TURNING = "".join(c for c in map(chr, range(0x80, 0x10000)) if set(unicodedata.normalize("NFKC", c)) & set("/?#@:"))
+TURNED_MARK = rf"^[^:/?#]*://[^/?#]*[{_TURNING}]"
 EDGE_SPACE = r"^[\x00-\x20]+|[\t\r\n]"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]*)"
 FILE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)"
@@ -48,9 +71,11 @@ def directory(url: Column | str) -> Column:
 
 
 def bad_url(url: Column | str) -> Column:
-    """An http(s) port that is no number up to 65535, or unpaired brackets."""
+    """An http(s) port that is no number up to 65535, brackets that are unpaired or
+    hold no address, or a host that normalisation would cut elsewhere."""
     url = _col(url)
-    return (url.rlike(HAS_PORT) & ~url.rlike(GOOD_PORT)) | url.rlike(UNPAIRED)
+    brackets = url.rlike(UNPAIRED) | url.rlike(INNER_BRACKET) | (url.rlike(BRACKETED) & ~url.rlike(GOOD_BRACKETS))
+    return (url.rlike(HAS_PORT) & ~url.rlike(GOOD_PORT)) | brackets | url.rlike(TURNED_MARK)
 
 
 def _plain(url: Column) -> Column:
@@ -61,6 +86,7 @@ def _plain(url: Column) -> Column:
     odd = marks[0]
     for mark in marks[1:]:
         odd = odd | mark
+    odd = odd | (F.octet_length(url) != F.length(url))
     return (url.startswith("https://") | url.startswith("http://")) & ~odd
 
 

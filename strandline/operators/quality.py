@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
+from strandline.functions.devices import DEVICES
 from strandline.operators.rank import DEDUP_POLICIES
 from strandline.operators.scope import SCOPE_TYPES
 
@@ -35,19 +36,18 @@ def recipe_rules(extension: str) -> list[Rule]:
     """The constraints on a job recipe's flags; ``extension`` is the archive
     file's.  Flags without a constraint are not listed."""
     # Fixed values from here on.
-    part = r"[a-z0-9\-\.]+"
-    name = rf"^({part}_)([a-z\-]+_)({part})$"
-    file = rf"^({part}_)([a-z\-]+_)({part}_)({part}_|)([\d]{{4}}-[\d]{{2}}|\{{period\}}).{extension}$"
+    name = r"^([a-z0-9\-\.]+_)([a-z\-]+_)([a-z0-9\-\.]+)$"
+    file = r"^([a-z0-9\-\.]+_)([a-z\-]+_)([a-z0-9\-\.]+_)([a-z0-9\-\.]+_|)([\d]{4}-[\d]{2}|\{period\})." + extension + "$"
     relaxed = r"^[A-Za-z0-9._-]+$"
     zero_up = (
-        "extra_hops page_limit max_page_limit page_load_timeout behavior_timeout post_load_delay page_extra_delay"
-        " size_soft_limit size_hard_limit disk_utilization time_soft_limit time_hard_limit max_page_retries"
-        " fail_on_failed_limit content_header_bytes_length"
-    ).split()
+        "extra_hops", "page_limit", "max_page_limit", "page_load_timeout", "behavior_timeout", "post_load_delay", "page_extra_delay",
+        "size_soft_limit", "size_hard_limit", "disk_utilization", "time_soft_limit", "time_hard_limit", "max_page_retries",
+        "fail_on_failed_limit", "content_header_bytes_length",
+    )
     switches = (
-        "allow_hash_urls block_ads fail_on_failed_seed fail_on_invalid_status verbose keep overwrite"
-        " ignore_content_header_charsets ignore_http_header_charsets ignore_unknown_charsets"
-    ).split()
+        "allow_hash_urls", "block_ads", "fail_on_failed_seed", "fail_on_invalid_status", "verbose", "keep", "overwrite",
+        "ignore_content_header_charsets", "ignore_http_header_charsets", "ignore_unknown_charsets",
+    )
     return [
         Rule("name", required=True, pattern=name, relaxed=relaxed),
         Rule("archive_file", pattern=file, relaxed=relaxed),
@@ -59,6 +59,8 @@ def recipe_rules(extension: str) -> list[Rule]:
         Rule("scope_type", "string-enum", choices=SCOPE_TYPES),
         Rule("dedup_policy", "string-enum", choices=DEDUP_POLICIES),
         Rule("save_state", "string-enum", choices=("never", "partial", "always")),
+        Rule("mobile_device", "string-enum", choices=DEVICES),
+        Rule("language", "language"),
         Rule("admin_email", "email"),
         Rule("replay_viewer_source", "url"),
         Rule("workers", "integer", minimum=1),
@@ -72,6 +74,7 @@ def recipe_rules(extension: str) -> list[Rule]:
 KINDS = {
     "integer": r"^[+-]?[0-9]+$",
     "boolean": r"(?i)^(true|false)$",
+    "language": r"^[a-z]{3}(,[a-z]{3})*$",
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "url": r"^https?://[^/?#\s]+",
 }

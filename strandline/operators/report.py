@@ -179,17 +179,27 @@ def ua_audit(captures: DataFrame, suffix: str, by: Sequence[str] = ("collection"
     )
 
 
+# Bodies as hexadecimal digits: units that are no surrogate, or pairs of them; code
+# points up to 10FFFF that are no surrogate.
+_X = "[0-9A-F]"
+WIDE_BE = rf"^(?:(?:[0-9A-CEF]{_X}|D[0-7]){_X}{{2}}|D[89AB]{_X}{{2}}D[C-F]{_X}{{2}})*+$"
+WIDE_LE = rf"^(?:{_X}{{2}}(?:[0-9A-CEF]{_X}|D[0-7])|{_X}{{2}}D[89AB]{_X}{{2}}D[C-F])*+$"
+WIDER_BE = rf"^(?:0000(?:[0-9A-CEF]{_X}|D[0-7]){_X}{{2}}|00(?:0[1-9A-F]|10){_X}{{4}})*+$"
+WIDER_LE = rf"^(?:{_X}{{2}}(?:[0-9A-CEF]{_X}|D[0-7])0000|{_X}{{4}}(?:0[1-9A-F]|10)00)*+$"
+
+
 # Charsets Spark can test without decoding errors: name → is the body valid.
 def _decodable(body: Column) -> dict[str, Column]:
+    digits = F.hex(body)
     ascii_only = F.decode(body, "ISO-8859-1").rlike(r"^[\x00-\x7F]*$")
     return {
         "utf-8": F.is_valid_utf8(body.cast("string")),
         "iso-8859-1": F.lit(True),
         "us-ascii": ascii_only,
-        "utf-16": F.length(body) % 2 == 0,
-        "utf-16be": F.length(body) % 2 == 0,
-        "utf-16le": F.length(body) % 2 == 0,
-        "utf-32": F.length(body) % 4 == 0,
+        "utf-16": F.when(digits.startswith("FEFF"), digits.rlike(WIDE_BE)).otherwise(digits.rlike(WIDE_LE)),
+        "utf-16be": digits.rlike(WIDE_BE),
+        "utf-16le": digits.rlike(WIDE_LE),
+        "utf-32": F.when(digits.startswith("0000FEFF"), digits.rlike(WIDER_BE)).otherwise(digits.rlike(WIDER_LE)),
     }
 
 

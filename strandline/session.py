@@ -8,6 +8,8 @@ costs a re-read and never the whole lineage.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,28 @@ def work_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path below the working folder."""
-    return f"{work_dir(spark)}/{label}-{uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables made inside when it ends, after errors too.
+    Write or collect results inside: what is still lazy reads those tables."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

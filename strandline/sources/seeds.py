@@ -18,10 +18,11 @@ MORE_LINE_ENDS = r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 # Log contexts, and those left out unless asked for.
 LOG_CONTEXTS = (
-    "general worker recorder recorderNetwork writer state redis storage text exclusion screenshots screencast"
-    " originOverride healthcheck browser blocking behavior behaviorScript jsError fetch pageStatus memoryStatus"
-    " crawlStatus links sitemap wacz replay proxy"
-).split()
+    "general", "worker", "recorder", "recorderNetwork", "writer", "state", "redis", "storage",
+    "text", "exclusion", "screenshots", "screencast", "originOverride", "healthcheck", "browser", "blocking",
+    "behavior", "behaviorScript", "jsError", "fetch", "pageStatus", "memoryStatus", "crawlStatus", "links",
+    "sitemap", "wacz", "replay", "proxy",
+)
 LOG_EXCLUDED = ("recorderNetwork", "jsError", "screencast")
 LOG_SCHEMA = "ts timestamp, level string, context string, message string"
 
@@ -123,12 +124,16 @@ def union_collections(
 
     The order comes from the file listing alone: no file is read for it.
     ``format`` may be ``warc`` once that source is registered."""
-    glob = f"{root}/collections/{collection or 'crawl-*'}/archive"
-    try:
-        files = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")
-        df = spark.read.format(format).load(glob)
-    except AnalysisException as error:
-        raise NoRunsError(f"no archive folder at {glob}") from error
+    globs = [f"{root}/{between}collections/{collection or 'crawl-*'}/archive" for between in ("", "*/", "*/*/")]
+    for glob in globs:  # runs may lie one or two folders down
+        try:
+            files = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")
+            df = spark.read.format(format).load(glob)
+            break
+        except (AnalysisException, FileNotFoundError) as error:
+            missing = error
+    else:
+        raise NoRunsError(f"no archive folder at {globs[0]}") from missing
     source = F.col("_metadata.file_path") if format != "warc" else F.col("file")
     name = F.regexp_extract(source, r"/collections/([^/]+)/archive/", 1)
     return lookup_join(df.withColumn("collection", name), run_order(files), ["collection"])

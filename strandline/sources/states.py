@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.rank import retain_latest
+from strandline.sources.sinks import exists
 
 # When a state is saved, the default first.
 SAVE_STATES = ("partial", "never", "always")
@@ -43,6 +43,11 @@ def saved_states(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_state(spark: SparkSession, root: str, crawl_id: str) -> DataFrame | None:
-    """The newest saved frontier of a crawl, to go on from."""
-    newest = retain_latest(saved_states(spark, root).filter(F.col("crawl_id") == crawl_id), 1, order=("state_id",)).first()
-    return spark.read.parquet(f"{root}/{crawl_id}/{newest.state_id}") if newest else None
+    """The newest complete frontier of a crawl, to go on from.  A folder without
+    the writer's success mark was left half done."""
+    of_crawl = saved_states(spark, root).filter(F.col("crawl_id") == crawl_id)
+    for state in of_crawl.orderBy(F.desc("state_id")).toLocalIterator():  # a handful are kept
+        path = f"{root}/{crawl_id}/{state.state_id}"
+        if exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path)
+    return None
