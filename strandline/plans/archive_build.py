@@ -1,4 +1,8 @@
-"""From captures to a finished archive, in one job."""
+"""From captures to a finished archive, in one job.
+
+Everything is decided on a thin table of ids, URLs, times and sizes.  Bodies are
+read where a text rule needs them and once more at the end, when the captures kept
+are written."""
 
 from __future__ import annotations
 
@@ -7,9 +11,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
-from strandline.operators import rank, report, scope
+from strandline.operators import canonical, graph, rank, report, scope
 from strandline.operators.skew import lookup_join
 from strandline.session import written
 from strandline.sources import sinks
@@ -34,6 +39,11 @@ class Recipe:
     size_hard_limit: int | None = None
     time_soft_limit: int | None = None
     time_hard_limit: int | None = None
+    depth: int = -1  # with links: how far from the seeds
+    extra_hops: int = 0
+    sitemap_from: str | None = None
+    sitemap_to: str | None = None
+    max_retries: int | None = None  # with an ``attempt`` column: one attempt a page stays
     invalid_status_fails: bool = False
     fail_on_failed_seed: bool = False
     fail_on_failed_limit: int = 0
@@ -48,33 +58,87 @@ class Built:
     outcome: str
     partial: bool
     stats: dict[str, Any] | None = None
+    progress: DataFrame | None = None  # done, total, partial
+    metadata: DataFrame | None = None  # one row per site
 
 
 FAILED_PAGES = 1  # fixed value: the exit code when seeds or pages fail
-
-
-def select_captures(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts: DataFrame | None = None) -> DataFrame:
-    """The captures a recipe keeps, before its size and time limits: cheap tests
-    of the URL alone come first, then joins, then deduplication."""
+THIN = ("capture_id", "ts", "url", "status", "bytes", "digest", "attempt")
+
+
+def candidates(
+    captures: DataFrame,
+    seeds: DataFrame,
+    recipe: Recipe,
+    hosts: DataFrame | None = None,
+    mapping: DataFrame | None = None,
+    hopping: bool = False,
+) -> DataFrame:
+    """The captures whose URL and text a recipe allows: cheap tests of the URL
+    alone come first, then joins.  ``hopping``: links decide what is out of scope."""
     kept = scope.exclude_rx(captures, recipe.exclude)
+    if mapping is not None:
+        kept = canonical.override_origin(kept, mapping)
     kept = kept.withColumn("url", U.strip_fragment("url", recipe.allow_hash))
-    kept = scope.in_scope(kept, seeds, recipe.scope_type, recipe.include)
+    if not hopping:
+        kept = scope.in_scope(kept, seeds, recipe.scope_type, recipe.include)
     if recipe.block_rules:
         kept = scope.block(kept, recipe.block_rules, recipe.block_message).drop("blocked")
     if hosts is not None:
         kept = scope.block_hosts(kept, hosts, recipe.ad_message).drop("blocked")
-    kept = rank.dedup(kept, recipe.dedup_policy)
+    return kept
+
+
+def decide(allowed: DataFrame, seeds: DataFrame, recipe: Recipe, links: DataFrame | None = None) -> DataFrame:
+    """Which candidates stay, before size and time limits, as a thin stored table
+    (with ``revisit_of`` if the policy is revisit)."""
+    thin = allowed.select(*[c for c in THIN if c in allowed.columns])
+    if links is not None:
+        marked = scope.flag_scope(links.select("src", "dst"), seeds, recipe.scope_type, recipe.include)
+        reached = graph.reach(seeds, marked, recipe.depth, recipe.extra_hops).select("url").distinct()
+        thin = lookup_join(thin, reached, ["url"], "left_semi", spread=["capture_id"], measure=False)
+    if recipe.max_retries is not None and "attempt" in thin.columns:
+        tried = scope.with_failed(thin, recipe.invalid_status_fails)
+        thin = rank.final_attempt(tried, recipe.max_retries).select(*thin.columns)
+    kept = written(rank.dedup(thin, recipe.dedup_policy), "kept")
     if recipe.page_limit or recipe.max_page_limit:
-        kept = written(kept, "selected")
         firsts = rank.dedup(kept.select("url", "ts", "capture_id"), "skip", key=("url",))
         pages = scope.page_limit(firsts, recipe.page_limit, recipe.max_page_limit)
         kept = lookup_join(kept, written(pages.select("url"), "pages"), ["url"], "left_semi", spread=["capture_id"])
     return kept
 
 
-def build_archive(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts: DataFrame | None = None) -> Built:
+def bodies(allowed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The candidates that stay, with all their columns."""
+    more = [c for c in kept.columns if c == "revisit_of"]
+    return lookup_join(allowed, kept.select("capture_id", *more), ["capture_id"], spread=["capture_id"])
+
+
+def select_captures(
+    captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts: DataFrame | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """The captures a recipe keeps, before its size and time limits."""
+    allowed = candidates(captures, seeds, recipe, hosts, hopping=links is not None and recipe.extra_hops > 0)
+    return bodies(allowed, decide(allowed, seeds, recipe, links))
+
+
+def build_archive(
+    captures: DataFrame,
+    seeds: DataFrame,
+    recipe: Recipe,
+    hosts: DataFrame | None = None,
+    links: DataFrame | None = None,
+    sitemap: DataFrame | None = None,
+    mapping: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+) -> Built:
     """Select, judge and store.  The target and the limits are checked before
-    any costly step; a hard limit or too many failures leave no archive."""
+    any costly step; a hard limit or too many failures leave no archive.
+
+    ``captures`` has a unique ``capture_id``.  ``links`` (src, dst) confine the
+    crawl to what the seeds reach; pages of ``sitemap`` (loc, lastmod) within the
+    recipe's dates are seeds too; ``mapping`` moves origins; ``overrides`` are
+    metadata.  With ``html`` among the columns, metadata come from the homepages."""
     size = scope.exclusive(recipe.size_soft_limit, recipe.size_hard_limit)
     time = scope.exclusive(recipe.time_soft_limit, recipe.time_hard_limit)
     try:
@@ -82,9 +146,13 @@ def build_archive(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts:
     except sinks.ArchiveExists as refused:
         return Built(refused.exit_code, "rejected", False)
 
-    kept = select_captures(captures, seeds, recipe, hosts)
-    if not (recipe.page_limit or recipe.max_page_limit):  # else what they come from is stored already
-        kept = written(kept, "kept")
+    if sitemap is not None:
+        dated = scope.sitemap_between(sitemap, recipe.sitemap_from, recipe.sitemap_to)
+        more = canonical.clean_urls(dated, "loc").join(seeds.select("url"), "url", "left_anti")
+        last = seeds.agg(F.max("pos")).first()[0] or 0  # after the seeds given, so the homepage stays
+        seeds = written(seeds.select("pos", "url").unionByName(more.select(F.lit(last + 1).alias("pos"), "url")), "seeds")
+    allowed = candidates(captures, seeds, recipe, hosts, mapping, hopping=links is not None and recipe.extra_hops > 0)
+    kept = decide(allowed, seeds, recipe, links)
     partial = False
     for limit, by, code in ((size, "bytes", report.EXIT_SIZE_LIMIT), (time, "elapsed", report.EXIT_TIME_LIMIT)):
         if limit:
@@ -99,5 +167,11 @@ def build_archive(captures: DataFrame, seeds: DataFrame, recipe: Recipe, hosts:
         return Built(FAILED_PAGES, "failed", partial, stats)
     if recipe.fail_on_failed_limit and stats["failed"] > recipe.fail_on_failed_limit:
         return Built(FAILED_PAGES, "failed", partial, stats)
-    sinks.write_archive(kept, recipe.output, recipe.overwrite, recipe.buckets, recipe.made_by)
-    return Built(report.EXIT_OK, "partial" if partial else "complete", partial, stats)
+    sinks.write_archive(bodies(allowed, kept), recipe.output, recipe.overwrite, recipe.buckets, recipe.made_by)
+
+    stored = captures.sparkSession.read.parquet(recipe.output)
+    sinks.build_index(stored).write.mode("overwrite").parquet(recipe.output + "-index")
+    done = stored.agg(F.count("*").alias("done"))
+    progress = done.withColumns({"total": F.lit(stats["total"]).cast("bigint"), "partial": F.lit(partial)})
+    metadata = report.site_metadata(stored, seeds, overrides) if "html" in stored.columns else None
+    return Built(report.EXIT_OK, "partial" if partial else "complete", partial, stats, progress, metadata)

@@ -63,6 +63,25 @@ summed as (select *, sum(bytes) over (order by ts, capture_id) - bytes as before
   from firsts where url in (select url from allowed))
 select capture_id, url, bytes, total > {SIZE_LIMIT // 10} as partial from summed where before <= {SIZE_LIMIT // 10}"""
 
+SQL["archive_build_full"] = f"""{cte('captures', 'seeds', 'blocklist', 'sitemap', 'edges', recursive=True)},
+starts as (select url from seeds union select loc from (select loc,
+    cast(case length(lastmod) when 4 then lastmod || '-01-01' when 7 then lastmod || '-01' else lastmod end as date) as day
+  from sitemap where loc like '%/en/1%') t where day is null or day between date '2021-01-01' and date '2022-12-31'),
+hosts as (select distinct {host('url')} as host from starts),
+hops as (select a.url as src, b.url as dst from edges e join pages a on a.page_id = e.src join pages b on b.page_id = e.dst
+  where {host('b.url')} in (select host from hosts)),
+reached(url, depth) as (select url, 0 from starts union select h.dst, r.depth + 1 from reached r join hops h on h.src = r.url where r.depth < 3),
+tried as (select capture_id, ts, {NOFRAG.format('url')} as url, bytes, digest, attempt, status >= 400 as failed from captures
+  where not regexp_matches(url, '\\?utm_') and not regexp_matches(url, '/96[0-9]')
+    and host in (select host from hosts) and host not in (select host from blocklist)),
+numbered as (select *, row_number() over (partition by url order by attempt, capture_id) as nth from tried
+  where url in (select url from reached)),
+final as (select * from numbered where nth <= 2
+  qualify row_number() over (partition by url order by failed, case when failed then -nth else nth end) = 1),
+summed as (select *, sum(bytes) over (order by ts, capture_id) - bytes as before, sum(bytes) over () as total_bytes from final),
+kept as (select * from summed where before <= {SIZE_LIMIT})
+select capture_id, url, bytes, count(*) over () as done, count(*) over () as total, total_bytes > {SIZE_LIMIT} as partial from kept"""
+
 # --- sources and sinks -------------------------------------------------------
 
 SQL["S1_load_seeds"] = "select row_number() over (order by page_id) - 1 as pos, url from pages"

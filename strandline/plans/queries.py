@@ -60,6 +60,22 @@ def _(spark, d):
     return kept.withColumn("partial", F.lit(built.partial))
 
 
+@query("archive_build_full")
+def _(spark, d):
+    recipe = Recipe(
+        output=scratch(spark, "built"), scope_type="host", exclude=EXCLUDE, depth=3, sitemap_from="2021", sitemap_to="2022-12-31",
+        max_retries=1, invalid_status_fails=True, size_soft_limit=SIZE_LIMIT, buckets=8,
+    )
+    pages = table(spark, d, "pages")
+    links = table(spark, d, "edges").select(F.col("src").alias("page_id"), "dst").join(pages.select("page_id", F.col("url").alias("src")), "page_id")
+    links = links.join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+    captures = table(spark, d, "captures").select("capture_id", "ts", "url", "status", "bytes", "digest", "attempt")
+    sitemap = table(spark, d, "sitemap").filter("loc like '%/en/1%'")
+    built = build_archive(captures, table(spark, d, "seeds"), recipe, table(spark, d, "blocklist"), links, sitemap)
+    kept = spark.read.parquet(recipe.output).select("capture_id", "url", "bytes")
+    return kept.crossJoin(F.broadcast(built.progress.select("done", "total", "partial")))
+
+
 # --- sources and sinks ------------------------------------------------------
 
 

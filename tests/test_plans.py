@@ -76,3 +76,33 @@ def test_host_report(spark, crawl):
     with_host = captures.withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
     got = {r.host: tuple(r)[1:] for r in host_report(with_host, hosts, ["utm_"]).collect()}
     assert got == {"site.org": (3, 1, 2, 3, 120), "other.org": (1, 1, 0, 1, 40)}
+
+
+def test_whole_run(spark, crawl, tmp_path, monkeypatch):
+    """Depth over links, sitemap dates, retries, another origin, index, metadata,
+    progress; no body in any intermediate table."""
+    from strandline.plans import archive_build
+
+    stored = []
+    for module in (archive_build, archive_build.lookup_join.__globals__):
+        keep = module["written"] if isinstance(module, dict) else module.written
+        spy = lambda df, label, keep=keep: stored.append(df.columns) or keep(df, label)
+        monkeypatch.setitem(module, "written", spy) if isinstance(module, dict) else monkeypatch.setattr(module, "written", spy)
+    captures, start = crawl
+    captures = captures.withColumns({"attempt": F.lit(1), "html": F.concat(F.lit("<html lang=fr><title>"), "url", F.lit("</title>"))})
+    again = captures.filter("capture_id = 7").withColumns({"capture_id": F.lit(8).cast("bigint"), "attempt": F.lit(2), "status": F.lit(200), "digest": F.lit("new")})
+    links = [("https://site.org/", "https://site.org/a"), ("https://site.org/a", "https://site.org/d"), ("https://site.org/d", "https://site.org/c")]
+    links = spark.createDataFrame(links, "src string, dst string")
+    sitemap = spark.createDataFrame([("https://other.org/", "2024-05-01"), ("https://ads.site.net/", "2019")], "loc string, lastmod string")
+    recipe = Recipe(str(tmp_path / "out"), buckets=2, depth=2, sitemap_from="2020", max_retries=1)
+    built = build_archive(captures.unionByName(again), start, recipe, links=links, sitemap=sitemap)
+    kept = {r.capture_id: r.url for r in spark.read.parquet(recipe.output).collect()}
+    assert sorted(kept) == [1, 6, 8]
+    assert (built.exit_code, built.outcome, tuple(built.progress.first())) == (0, "complete", (3, 3, False))
+    assert [r.key for r in spark.read.parquet(recipe.output + "-index").orderBy("key").collect()] == ["org,other)/", "org,site)/a", "org,site)/d"]
+    assert {(r.site, r["Language"]) for r in built.metadata.collect()} == {("site.org", "eng"), ("other.org", "fra")}
+    assert stored and not [c for c in stored if {"html", "text", "body"} & set(c)]
+
+    mapping = spark.createDataFrame([("https://other.org", "https://site.org")], "origin string, replacement string")
+    moved = build_archive(captures, start, Recipe(str(tmp_path / "moved"), buckets=2, exclude=["utm_"]), mapping=mapping)
+    assert moved.stats["total"] == 4 and spark.read.parquet(str(tmp_path / "moved")).filter("url = 'https://site.org/'").count() == 1
