@@ -29,13 +29,14 @@ SAMPLE = 6_000  # labelled rows that are fitted on, about
 PENALTY = 1e-3
 ROUNDS = 250
 KEEP = 0.6
+FAR, GAP = 12.0, 1e-2  # bounds of the thresholds: a grade that no row has ends at the first, not at infinity
 
 TOKEN = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^a-z0-9\x80-\xff\s]+")
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """0: bad in both respects, 1: in one, 2: good."""
-    return quality + (1 - toxic)
+    """0: toxic, 1: not toxic but poor, 2: good."""
+    return (1 - toxic) * (1 + quality)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +91,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     owner, places, values = owner[places >= 0], places[places >= 0], values[places >= 0]
 
     above = np.array([(grades > k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
-    free = np.log((1 - above) / above)
-    free[1:] = np.log(np.maximum(np.diff(free), 1e-3))  # first threshold, then logs of the gaps
-    w, momentum_w, momentum_f, t = np.zeros(len(known)), np.zeros(len(known)), free.copy(), 1.0
+    thresholds = _ordered(np.log((1 - above) / above))
+    w, momentum_w, momentum_t, t = np.zeros(len(known)), np.zeros(len(known)), thresholds, 1.0
     n = len(rows)
     step = 4 / max(1.0, _norm(owner, places, values, n, len(known)))
     for _ in range(rounds):
         score = np.bincount(owner, values * momentum_w[places], n)
-        slope, slope_free = _gradient(score, momentum_f, grades, n_grades)
+        slope, slope_t = _gradient(score, momentum_t, grades, n_grades)
         gradient = np.bincount(places, values * slope[owner], len(known)) / n
         new = momentum_w - step * gradient
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        new_free = momentum_f - 0.5 * slope_free / n
+        new_t = _ordered(np.clip(momentum_t - slope_t / n, -FAR, FAR))
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        momentum_w, momentum_f = new + (t - 1) / t_new * (new - w), new_free + (t - 1) / t_new * (new_free - free)
-        w, free, t = new, new_free, t_new
+        momentum_w, momentum_t = new + (t - 1) / t_new * (new - w), _ordered(new_t + (t - 1) / t_new * (new_t - thresholds))
+        w, thresholds, t = new, new_t, t_new
     weights[known] = w
-    return OrdinalModel(weights, _ordered(free))
+    return OrdinalModel(weights, thresholds)
 
 
 def _norm(owner, places, values, n: int, width: int) -> float:
@@ -120,21 +120,21 @@ def _norm(owner, places, values, n: int, width: int) -> float:
     return size
 
 
-def _ordered(free: np.ndarray) -> np.ndarray:
-    return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+def _ordered(thresholds: np.ndarray) -> np.ndarray:
+    """Each threshold at least ``GAP`` above the one before."""
+    steps = GAP * np.arange(len(thresholds))
+    return np.maximum.accumulate(thresholds - steps) + steps
 
 
-def _gradient(score: np.ndarray, free: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the negative log likelihood, by score and by the free thresholds."""
-    ends = np.concatenate([[-np.inf], _ordered(free), [np.inf]])
+def _gradient(score: np.ndarray, thresholds: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log likelihood, by score and by threshold."""
+    ends = np.concatenate([[-np.inf], thresholds, [np.inf]])
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     high, low = sigmoid(ends[grades + 1] - score), sigmoid(ends[grades] - score)
     high, low = np.where(grades + 1 == n_grades, 1.0, high), np.where(grades == 0, 0.0, low)
     mass = np.maximum(high - low, 1e-9)
     by_end = np.bincount(grades + 1, -high * (1 - high) / mass, n_grades + 1) + np.bincount(grades, low * (1 - low) / mass, n_grades + 1)
-    by_end = by_end[1:-1]
-    by_free = np.concatenate([[by_end.sum()], [by_end[k:].sum() * np.exp(free[k]) for k in range(1, n_grades - 1)]])
-    return 1 - high - low, by_free
+    return 1 - high - low, by_end[1:-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel:

@@ -85,7 +85,7 @@ def test_quality(spark):
     by_id = {r.doc_id: r for r in found}
     right = [by_id[d].keep == (q == 1 and t == 0) for d, q, t, _ in labels[1_000:]]
     assert np.mean(right) > 0.95
-    worst = [by_id[d].expected_grade for d, q, t, _ in labels[1_000:] if q == 0 and t == 1]
+    worst = [by_id[d].expected_grade for d, q, t, _ in labels[1_000:] if t == 1]
     best = [by_id[d].expected_grade for d, q, t, _ in labels[1_000:] if q == 1 and t == 0]
     assert np.mean(worst) + 0.5 < np.mean(best)
     kept = ordinal_quality.keep_clean(frame, spark.createDataFrame(known, LABELS))
@@ -95,10 +95,10 @@ def test_quality(spark):
 
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(0)
-    score, grades, free = rng.normal(size=9), rng.integers(0, 3, 9), np.array([-0.4, 0.2])
+    score, grades, free = rng.normal(size=9), rng.integers(0, 3, 9), np.array([-0.4, 0.8])
 
     def loss(score, free):
-        ends = np.concatenate([[-50], ordinal_quality._ordered(free), [50]])
+        ends = np.concatenate([[-50], free, [50]])
         at = lambda k: 1 / (1 + np.exp(-(ends[k] - score)))
         return -np.log(at(grades + 1) - at(grades)).sum()
 
@@ -111,6 +111,21 @@ def test_gradient_is_that_of_the_likelihood():
         assert (loss(score, free + step) - loss(score, free - step)) / 2e-6 == pytest.approx(by_free[i], abs=1e-4)
 
 
+@pytest.mark.parametrize("missing", [0, 1, 2])
+def test_a_grade_that_no_row_has(missing):
+    """The others are still told apart."""
+    rng = random.Random(missing)
+    docs, labels = rated(rng, 900)
+    graded = [(ordinal_quality.features(d[1]), (1 - t) * (1 + q)) for d, (_, q, t, _) in zip(docs, labels)]
+    graded = [(f, g) for f, g in graded if g != missing]
+    model = ordinal_quality.fit([f for f, _ in graded[:500]], np.array([g for _, g in graded[:500]]), 3)
+    tails = np.array([model.tails(float(v @ model.weights[p])) for p, v in (f for f, _ in graded[500:])])
+    expected, truth = tails.sum(axis=1), np.array([g for _, g in graded[500:]])
+    high, low = sorted({0, 1, 2} - {missing})[::-1]
+    assert (expected[truth == high][:, None] > expected[truth == low][None]).mean() > 0.97
+    assert (np.abs(expected - truth) < 0.5).mean() > 0.9
+
+
 def test_quality_without_rows_or_labels(spark):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], LABELS)
     assert ordinal_quality.rate(docs, ordinal_quality.train(docs, labels)).collect() == []
