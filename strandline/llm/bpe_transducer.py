@@ -26,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000  # stretches kept; then the next generation starts
-STATES = 250_000  # states kept; others are worked out again whenever they are met
-PAIRS = 1_000_000
+MEMO = 200_000  # stretches kept; then the next generation starts
+STATES = 120_000  # states kept; others are worked out again whenever they are met
+PAIRS = 300_000
 DECODE_TOKENS = 8192
 
 
