@@ -22,6 +22,10 @@ select /*+ SHUFFLE_HASH(p) */ e.event_id as capture_id, concat('crawl-', cast(e.
 from (select event_id, ts, event_type, value, event_id % (select count(*) from pages) as page_id,
         cast(floor(event_id / (1.0 * (select count(*) from pages))) as bigint) + 1 as attempt from events) e
 join (select page_id, url, md5(html) as digest from pages) p on p.page_id = e.page_id""",
+    "moved": """
+select capture_id, ts, url, cast(case capture_id % 6 when 0 then 301 when 1 then 302 when 2 then 307 when 3 then 308 else 200 end as int) as status,
+  case capture_id % 4 when 0 then '/moved/x' when 1 then '?p=1' when 2 then 'https://m.example.org/' else url end as redirect_to
+from captures""",
     "timeless": """
 select capture_id, case when capture_id % 50 = 7 then null else ts end as ts,
   case when capture_id % 47 = 3 then null else collection end as collection, bytes from captures""",
@@ -127,6 +131,7 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 NEEDS = {
     "variants": ("captures",),
     "timeless": ("captures",),
+    "moved": ("captures",),
     "scoped_edges": ("edges",),
     "url_redirects": ("redirects",),
     "crawl_updates": ("captures",),

@@ -7,6 +7,7 @@ the executors; each round's rows are written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,25 +129,27 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
         ),
         "redirects",
     )
-    active = state.filter(~F.col("done")).count()
-    while active:
-        ahead = state.select(
+    finished, active = [state.filter("done")], state.filter(~F.col("done"))
+    left = active.count()
+    while left:
+        ahead = reduce(DataFrame.unionByName, [*finished, active]).select(
             F.col("src").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("done").alias("done2")
         )
-        few = [] if active < skew.HOT_ROWS else None  # too few rows for any key to be hot
-        moved = lookup_join(state.filter(~F.col("done")), ahead, ["at"], "left", ["src"], measure=False, hot=few)
+        few = [] if left < skew.HOT_ROWS else None  # too few rows for any key to be hot
+        moved = lookup_join(active, ahead, ["at"], "left", ["src"], measure=False, hot=few)
         moved = moved.select(
             "src",
             F.coalesce("at2", "at").alias("at"),
             (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
             F.coalesce("done2", F.lit(True)).alias("done"),
         )
-        state = written(state.filter("done").unionByName(moved), "redirects")
-        left = state.filter(~F.col("done")).count()
-        if left == active:
+        moved = written(moved, "redirects")  # finished rows stay where they were first written
+        finished.append(moved.filter("done"))
+        active = moved.filter(~F.col("done"))
+        before, left = left, active.count()
+        if left == before:
             break
-        active = left
-    return state.select(
+    return reduce(DataFrame.unionByName, [*finished, active]).select(
         "src",
         F.when(F.col("done"), F.col("at")).alias("target"),
         F.when(F.col("done"), F.col("hops")).alias("hops"),
@@ -154,6 +157,19 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
     )
 
 
+def chain_end(redirects: DataFrame, url: str) -> str | None:
+    """Where one URL leads, hop by hop: a filtered read each, and no other chain is
+    followed.  A URL without redirect is its own end; a loop has none."""
+    seen = [url]
+    while True:
+        hop = redirects.filter(F.col("src") == seen[-1]).select("dst").first()
+        if hop is None or hop.dst == seen[-1]:
+            return seen[-1]
+        if hop.dst in seen:
+            return None
+        seen.append(hop.dst)
+
+
 def frontier(discovered: DataFrame, captures: DataFrame) -> DataFrame:
     """Discovered URLs that no capture has visited, cleaned and distinct.  Both
     sides shrink to distinct URLs before they meet."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
+from strandline.operators.graph import chain_end
 from strandline.operators.skew import first_n, hot_in, lookup_join
 from strandline.session import written
 
@@ -75,9 +76,10 @@ def retain_latest(
     return first_n(df, per, [F.col(c).desc() for c in order], n, spread=order)
 
 
-def homepage(seeds: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The first seed and where it leads: one row (url, homepage).  ``resolved``
-    is the output of ``resolve_redirects``; a looping seed stays itself."""
-    first = seeds.agg(F.min_by("url", "pos").alias("url"))
-    target = resolved.filter(F.col("src") == first.scalar()).agg(F.max("target").alias("target"))
-    return first.select("url", F.coalesce(target.scalar(), F.col("url")).alias("homepage"))
+def homepage(seeds: DataFrame, redirects: DataFrame) -> DataFrame:
+    """The first seed and where it leads: one row (url, homepage).  ``redirects``
+    has src and dst, one row per src; only the seed's own chain is followed.  A
+    looping seed stays itself."""
+    first = seeds.agg(F.min_by("url", "pos").alias("url")).first().url
+    end = chain_end(redirects, first) if first is not None else None
+    return seeds.sparkSession.createDataFrame([(first, end or first)], "url string, homepage string")

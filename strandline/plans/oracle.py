@@ -243,6 +243,13 @@ ends as (select w.src, max(case when r.src is null or r.dst = r.src then w.at en
   from walk w left join {0} r on r.src = w.at group by w.src)"""
 SQL["G4_resolve_redirects"] = f"""{cte('redirects', recursive=True)}, {_ends.format('redirects')}
 select src, target, case when target is not null then steps end as hops, target is null as loop from ends"""
+SQL["G4_redirect_map_resolved"] = f"""{cte('moved', recursive=True)},
+placed as (select ts, url as src, case when starts_with(redirect_to, '/') then regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || redirect_to
+    when starts_with(redirect_to, '?') then regexp_replace(url, '[?#].*$', '') || redirect_to else redirect_to end as dst
+  from moved where status in (301, 302, 307, 308)),
+map as (select src, dst from placed qualify row_number() over (partition by src order by ts desc, dst desc) = 1),
+{_ends.format('map')}
+select src, target, case when target is not null then steps end as hops, target is null as loop from ends"""
 SQL["G5_frontier"] = f"{cte('captures')}, {_links} select dst as url from links except select url from captures"
 
 # --- deduplication and ranking -----------------------------------------------
@@ -271,8 +278,8 @@ SQL["D2_final_attempt"] = f"""{cte('captures')}, {_attempts(2)}
 select url, capture_id, attempt, status, failed, nth as attempts_used from final"""
 SQL["D3_retain_latest"] = f"""{cte('states')} select crawl_id, state_id from states
 qualify row_number() over (partition by crawl_id order by ts desc, state_id desc) <= 5"""
-SQL["D4_homepage"] = f"""{cte('seeds', 'url_redirects', recursive=True)}, {_ends.format('url_redirects')}
-select s.url, coalesce(e.target, s.url) as homepage from (select min_by(url, pos) as url from seeds) s left join ends e on e.src = s.url"""
+SQL["D4_homepage"] = f"""{cte('site_seeds', 'url_redirects', recursive=True)}, {_ends.format('url_redirects')}
+select s.url, coalesce(e.target, s.url) as homepage from (select min_by(url, pos) as url from site_seeds) s left join ends e on e.src = s.url"""
 
 # --- reports -----------------------------------------------------------------
 

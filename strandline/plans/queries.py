@@ -425,9 +425,14 @@ def _(spark, d):
     return rank.retain_latest(table(spark, d, "states")).select("crawl_id", "state_id")
 
 
+@query("G4_redirect_map_resolved")
+def _(spark, d):
+    return graph.resolve_redirects(graph.redirect_map(table(spark, d, "moved")))
+
+
 @query("D4_homepage")
 def _(spark, d):
-    return rank.homepage(table(spark, d, "seeds"), graph.resolve_redirects(table(spark, d, "url_redirects")))
+    return rank.homepage(table(spark, d, "site_seeds"), table(spark, d, "url_redirects"))
 
 
 # --- reports ----------------------------------------------------------------
