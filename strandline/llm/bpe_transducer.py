@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import small
+
 MEMO = 200_000  # stretches kept; then the next generation starts
 STATES = 120_000  # states kept; others are worked out again whenever they are met
 PAIRS = 300_000
@@ -223,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         names = own.names
-        for batch in batches:
+        for batch in small(batches):
             counts, hashes, decoded, lists = [], [], [], []
             for text in batch.column(len(keep)).to_pylist():
                 found = own.encode(text)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import small
 from strandline.llm.sampling import sampled_ids, texts_of
 
 BUCKETS = 1 << 12
@@ -138,7 +139,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.select("label_lang", F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [features(t).astype("<f2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["lang", "x"])
 
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text in batch.column(len(keep)).to_pylist():
                 letters = own is not None and text is not None and any(map(str.isalpha, text))

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import small
 from strandline.session import written
 
 WORD_SHARE = 1e-5
@@ -128,7 +129,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(sides[0].keys() | sides[1].keys())
         return _count_batch([word_hash(w) for w in words], [sides[0][w] for w in words], [sides[1][w] for w in words])
 
-    for batch in batches:
+    for batch in small(batches):
         for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sides[0 if target else 1].update(text.lower().split())
             if len(sides[0]) + len(sides[1]) >= HELD:
@@ -175,7 +176,7 @@ def train(
                 out[side, np.searchsorted(both, keys[side])] = counts[side]
             return _count_batch(both, *out)
 
-        for batch in batches:
+        for batch in small(batches):
             for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = text.lower().split()
                 if found:
@@ -215,7 +216,7 @@ def score(docs: DataFrame, model: PairModel, text_col: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         lookup = own.vocabulary.lookup()
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in batch.column(len(keep)).to_pylist():
                 words = text.lower().split()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import small
 from strandline.llm.sampling import hashed_share, texts_of
 
 BUCKETS = 1 << 16
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.select(grade(F.col("quality"), F.col("toxic")).cast("int").alias("grade"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [features(t) for t in batch.column(1).to_pylist()]
             places = pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary())
             values = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
@@ -173,7 +174,7 @@ def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             tails = []
             for text in batch.column(len(keep)).to_pylist():
                 places, values = features(text)
@@ -196,7 +197,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             kept = []
             for text in batch.column(names.index("text")).to_pylist():
                 places, values = features(text or "")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import small
+
 #: (host and path, verdict); a rule fits its host and all subdomains.
 RULES = (
     ("org/", "allow"),
@@ -112,7 +114,7 @@ def filter_urls(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(*terms)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for host, path, url in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "url_lower"))):
                 rule, verdict = longest_rule(host, path, by_host)
