@@ -25,8 +25,10 @@ from strandline.llm.batches import small
 from strandline.llm.sampling import hashed_share, texts_of
 
 BUCKETS = 1 << 16
+PREFIXES = (4, 5)  # bytes of a word's beginning that are hashed too, as words are inflected
 RATES = 8
-SAMPLE = 6_000  # labelled rows that are fitted on, about
+WIDTH = BUCKETS * (1 + len(PREFIXES)) + RATES
+SAMPLE = 5_000  # labelled rows that are fitted on, about
 PENALTY = 1e-3
 ROUNDS = 250
 KEEP = 0.6
@@ -41,12 +43,16 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values: log(1 + count) of hashed words, digit runs and symbol
-    runs, and the rates of things that whole texts show."""
+    """Places and values: log(1 + count) of hashed words and their beginnings,
+    digit runs and symbol runs, and the rates of things that whole texts show."""
     raw = text.encode()
+    tokens = TOKEN.findall(raw.lower())
     counts: Counter[int] = Counter()
-    for token, n in Counter(TOKEN.findall(raw.lower())).items():
+    for token, n in Counter(tokens).items():
         counts[zlib.crc32(token) % BUCKETS] += n
+    for part, size in enumerate(PREFIXES, 1):
+        for token, n in Counter([t[:size] for t in tokens if len(t) > size]).items():
+            counts[BUCKETS * part + zlib.crc32(token) % BUCKETS] += n
     places = np.fromiter(counts, np.int64, len(counts))
     values = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
     words = raw.split()
@@ -62,7 +68,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         1 - len(set(lower)) / total,
         min(1.0, len(raw.split(b"\n")) / total),
     ])
-    return np.concatenate([places, BUCKETS + np.arange(RATES)]), np.concatenate([values, 4 * rates])
+    return np.concatenate([places, WIDTH - RATES + np.arange(RATES)]), np.concatenate([values, 4 * rates])
 
 
 @dataclass
@@ -79,7 +85,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     """Proximal gradient (FISTA) on the cumulative-link likelihood.  Without rows
     the thresholds are even and the weights zero."""
     thresholds = np.arange(n_grades - 1) - (n_grades - 2) / 2.0
-    weights = np.zeros(BUCKETS + RATES)
+    weights = np.zeros(WIDTH)
     if not rows:
         return OrdinalModel(weights, thresholds)
     seen = np.bincount(np.concatenate([p for p, _ in rows]), minlength=len(weights))
