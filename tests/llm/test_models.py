@@ -118,9 +118,10 @@ def test_a_grade_that_no_row_has(missing):
     docs, labels = rated(rng, 900)
     graded = [(ordinal_quality.features(d[1]), (1 - t) * (1 + q)) for d, (_, q, t, _) in zip(docs, labels)]
     graded = [(f, g) for f, g in graded if g != missing]
-    model = ordinal_quality.fit([f for f, _ in graded[:500]], np.array([g for _, g in graded[:500]]), 3)
-    tails = np.array([model.tails(float(v @ model.weights[p])) for p, v in (f for f, _ in graded[500:])])
-    expected, truth = tails.sum(axis=1), np.array([g for _, g in graded[500:]])
+    half = len(graded) // 2
+    model = ordinal_quality.fit([f for f, _ in graded[:half]], np.array([g for _, g in graded[:half]]), 3)
+    tails = np.array([model.tails(float(v @ model.weights[p])) for p, v in (f for f, _ in graded[half:])])
+    expected, truth = tails.sum(axis=1), np.array([g for _, g in graded[half:]])
     high, low = sorted({0, 1, 2} - {missing})[::-1]
     assert (expected[truth == high][:, None] > expected[truth == low][None]).mean() > 0.97
     assert (np.abs(expected - truth) < 0.5).mean() > 0.9
