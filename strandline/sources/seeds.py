@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,24 +116,37 @@ def run_order(files: DataFrame) -> DataFrame:
     return dirs.select("collection", nth.alias("run_no"))
 
 
+def run_folders(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Every collections/``pattern``/archive folder below ``root``, at any depth; an
+    archive is not searched further."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [(s.getPath(), 0) for s in system.globStatus(top) or () if s.isDirectory()]
+    found = []
+    while left:
+        at, depth = left.pop()
+        between, run, name = ["", "", *at.toUri().getPath().split("/")][-3:]
+        if depth >= 3 and name == "archive" and between == "collections" and fnmatchcase(run, pattern):
+            found.append(at.toString())
+        else:
+            left += [(s.getPath(), depth + 1) for s in system.listStatus(at) if s.isDirectory()]
+    return sorted(found)
+
+
 def union_collections(
     spark: SparkSession, root: str, collection: str | None = None, format: str = "parquet"
 ) -> DataFrame:
-    """The captures of one collection, or of every ``crawl-*`` run under
-    ``root``/collections in order of last change, with ``collection`` and ``run_no``.
+    """The captures of one collection, or of every collections/``crawl-*`` run
+    below ``root``, at any depth, in order of last change, with ``collection`` and
+    ``run_no``; runs of one name are one.
 
     The order comes from the file listing alone: no file is read for it.
     ``format`` may be ``warc`` once that source is registered."""
-    globs = [f"{root}/{between}collections/{collection or 'crawl-*'}/archive" for between in ("", "*/", "*/*/")]
-    for glob in globs:  # runs may lie one or two folders down
-        try:
-            files = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")
-            df = spark.read.format(format).load(glob)
-            break
-        except (AnalysisException, FileNotFoundError) as error:
-            missing = error
-    else:
-        raise NoRunsError(f"no archive folder at {globs[0]}") from missing
+    folders = run_folders(spark, root, collection or "crawl-*")
+    if not folders:
+        raise NoRunsError(f"no archive folder at {root}/**/collections/{collection or 'crawl-*'}/archive")
+    files = spark.read.format("binaryFile").load(folders).select("path", "modificationTime")
+    df = spark.read.format(format).load(folders if format != "warc" else ",".join(folders))
     source = F.col("_metadata.file_path") if format != "warc" else F.col("file")
     name = F.regexp_extract(source, r"/collections/([^/]+)/archive/", 1)
     return lookup_join(df.withColumn("collection", name), run_order(files), ["collection"])

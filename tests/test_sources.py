@@ -271,3 +271,11 @@ def test_page_text(spark, tmp_path):
     assert spark.read.json(path).first().url == "http://h/"
     with pytest.raises(sinks.ArchiveExists):
         sinks.write_page_list(pages, path)
+
+
+def test_union_collections_at_mixed_depths(spark, tmp_path):
+    for n, place in enumerate(("", "a/", "a/b/c/", "d/e/f/g/")):
+        spark.range(n + 1).write.parquet(str(tmp_path / f"{place}collections/crawl-{n}/archive"))
+    spark.range(9).write.parquet(str(tmp_path / "collections/other/archive"))
+    rows = S.union_collections(spark, str(tmp_path)).groupBy("collection").count().collect()
+    assert sorted(map(tuple, rows)) == [(f"crawl-{n}", n + 1) for n in range(4)]
