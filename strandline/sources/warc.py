@@ -165,12 +165,25 @@ def decoded(body: bytes, fields: dict[str, str]) -> bytes:
     windows = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
     for bits in windows:
         try:
-            return zlib.decompressobj(bits).decompress(body)
+            return _inflated(body, bits)
         except zlib.error:
             continue
     return body
 
 
+def _inflated(body: bytes, bits: int) -> bytes:
+    """All members of a coded body; what follows the last one is no content."""
+    coder = zlib.decompressobj(bits)
+    out = [coder.decompress(body)]
+    while bits == 31 and coder.eof and (rest := coder.unused_data.lstrip(b"\0")):
+        coder = zlib.decompressobj(bits)
+        try:
+            out.append(coder.decompress(rest))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
     """The records of one WARC stream, as rows of SCHEMA.  A payload digest that
     the header lacks is taken of the body; a record without id is named by its file

@@ -279,3 +279,11 @@ def test_union_collections_at_mixed_depths(spark, tmp_path):
     spark.range(9).write.parquet(str(tmp_path / "collections/other/archive"))
     rows = S.union_collections(spark, str(tmp_path)).groupBy("collection").count().collect()
     assert sorted(map(tuple, rows)) == [(f"crawl-{n}", n + 1) for n in range(4)]
+
+
+def test_decoded_bodies_of_several_members():
+    two = gzip.compress(b"first ") + gzip.compress(b"second")
+    assert warc.decoded(two, {"content-encoding": "gzip"}) == b"first second"
+    assert warc.decoded(two + b"\0\0", {"content-encoding": "x-gzip"}) == b"first second"
+    assert warc.decoded(two + b"no member", {"content-encoding": "gzip"}) == b"first second"
+    assert warc.decoded(two[:-12], {"content-encoding": "gzip"}).startswith(b"first ")
