@@ -1,12 +1,15 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model counts the documents that a condition names, the background model
-all others.  Both share one vocabulary and one list of bigrams: words of at least
-``WORD_SHARE`` and bigrams of at least ``PAIR_SHARE`` of all events of either
-side, found from exact counts over all documents.  Other words are one unknown
+all others.  Both share one vocabulary and one list of bigrams.  By default these
+are all words and all bigrams: the counts are stored tables that grow with the
+input, and are looked up by a shuffle join on the bigram, to which each task brings
+its distinct bigrams with the texts they are in.
+
+Given shares instead, words of at least ``word_share`` and bigrams of at least
+``pair_share`` of all events of either side are listed; other words are one unknown
 word, other bigrams back off to their word.  A share of 1/n is reached by n items
-at most, so both lists have a size bound and are broadcast; counts are summed per
-task before they are shuffled.
+at most, so both lists have a size bound and are broadcast.
 
 A document's events are its words (A-Z lower-cased, cut at white space) and its
 end, each after the one before, the first after a boundary::
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 from strandline.llm.batches import small
 from strandline.session import written
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
 MASS = 4.0
 HELD = 400_000  # distinct words or events that a task holds before it hands counts on
 
 UNKNOWN, BOUNDARY = 0, 1
+#: Event of a text's start and end; no word holds a space.
+EDGE = xxhash.xxh64_intdigest(b" ") - (1 << 63)
 
 
 def word_hash(word: bytes) -> int:
@@ -150,12 +153,159 @@ def _listed(counts: DataFrame, share: float, events: tuple[int, int]) -> list:
     return counts.filter(enough[0] | enough[1]).toPandas().sort_values("key")
 
 
+@dataclass
+class PairTables:
+    """Both models as stored tables: counts of every word (key), the edge among them,
+    and of every bigram (key, before, word) of ``docs``."""
+
+    docs: DataFrame
+    text_col: str
+    words: DataFrame
+    pairs: DataFrame
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of two word hashes, one to one in either."""
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + word.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+class Hashes:
+    """Word hashes of texts, each word hashed once while it stays in the memo."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def events(self, words: list[bytes]) -> np.ndarray:
+        """The edge, the words, and the edge."""
+        if len(self.memo) >= HELD:
+            self.memo = {}
+        self.memo.update((w, word_hash(w)) for w in set(words).difference(self.memo))
+        out = np.full(len(words) + 2, EDGE, np.int64)
+        out[1:-1] = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        return out
+
+
+def _all_pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams with both their words."""
+    hashes, held, sizes = Hashes(), [], 0
+
+    def handed_on() -> pa.RecordBatch:
+        before, word, target = (np.concatenate([np.zeros(0, np.int64), *(h[i] for h in held)]) for i in range(3))
+        keys, first, place = np.unique(_pair_keys(before, word), return_index=True, return_inverse=True)
+        of_target = np.bincount(place, target, len(keys)).astype(np.int64)
+        columns = keys, before[first], word[first], of_target, np.bincount(place, minlength=len(keys)) - of_target
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "before", "word", "target", "background"])
+
+    for batch in small(batches):
+        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = text.lower().split()
+            if found:
+                events = hashes.events(found)
+                held.append((events[:-1], events[1:], np.full(len(found) + 1, int(target))))
+                sizes += len(found)
+                if sizes >= 4 * HELD:
+                    yield handed_on()
+                    held, sizes = [], 0
+    yield handed_on()
+
+
+def _pair_table(texts: DataFrame) -> DataFrame:
+    counts = texts.mapInArrow(_all_pair_counts, "key bigint, before bigint, word bigint, target bigint, background bigint")
+    sums = F.sum("target").alias("target"), F.sum("background").alias("background")
+    return counts.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums)
+
+
+def _tables(docs: DataFrame, texts: DataFrame, text_col: str) -> PairTables:
+    """Counts of all words and bigrams.  A word is counted by the bigrams it ends."""
+    pairs = written(_pair_table(texts), "pair-counts")
+    words = pairs.groupBy(F.col("word").alias("key")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return PairTables(docs, text_col, written(words, "word-counts"), pairs)
+
+
+def _losses(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """key, end (1 for the end of a text) and the loss under either model of each
+    bigram.  All bigrams are listed, so those after a word are as many as the word."""
+    target, background, size = words.agg(F.sum("target"), F.sum("background"), F.count(F.when(F.col("key") != EDGE, 1))).first()
+    events = {"target": target or 0, "background": background or 0}
+    of_word, of_before = (words.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in events)) for k in ("word", "before"))
+    both = pairs.join(of_word, "word", "left").join(of_before, "before", "left")
+
+    def loss(side: str) -> Column:
+        of = lambda c: F.coalesce(F.col(c), F.lit(0))
+        p1 = (of(f"word_{side}") + 1.0) / float(events[side] + size + 2)
+        return -F.log((F.col(side) + MASS * p1) / (of(f"before_{side}") + MASS))
+
+    return both.select("key", (F.col("word") == EDGE).cast("int").alias("end"), loss("target").alias("target"), loss("background").alias("background"))
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct bigrams with the tags of the texts they are in and how often."""
+    hashes, held, sizes = Hashes(), [], 0
+
+    def handed_on() -> pa.RecordBatch:
+        tags = np.array([t for t, _ in held], np.int64)
+        keys = np.concatenate([np.zeros(0, np.int64), *(k for _, k in held)])
+        texts = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
+        order = np.lexsort((texts, keys))
+        keys, texts = keys[order], texts[order]
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])][: len(keys)])
+        times = np.diff(np.r_[starts, len(keys)]).astype(np.int32)
+        keys, texts = keys[starts], texts[starts]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        at = pa.array(np.r_[first, len(keys)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (tags[texts], times)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), *lists], ["key", "tags", "times"])
+
+    for batch in small(batches):
+        for text, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = text.lower().split()
+            if found:
+                events = hashes.events(found)
+                held.append((tag, _pair_keys(events[:-1], events[1:])))
+                sizes += len(found)
+                if sizes >= 4 * HELD:
+                    yield handed_on()
+                    held, sizes = [], 0
+    if held:
+        yield handed_on()
+
+
+def _score_by_tables(docs: DataFrame, model: PairTables, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """Losses are summed per distinct text, known by a hash; copies count alike above
+    and below the line of the mean."""
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    pairs = model.pairs
+    if docs is not model.docs or text_col != model.text_col:  # unseen bigrams have a loss as well
+        unseen = _pair_table(_texts(docs, F.lit(False), text_col)).withColumns({"target": F.lit(0).cast("bigint"), "background": F.lit(0).cast("bigint")})
+        pairs = pairs.unionByName(unseen.join(pairs, "key", "left_anti"))
+    table = written(_losses(pairs, model.words), "pair-losses")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("lm_text"), tag.alias("lm_tag"))
+    met = texts.mapInArrow(_text_pairs, "key bigint, tags array<bigint>, times array<int>").join(table, "key")
+    each = met.select(F.explode(F.arrays_zip("tags", "times")).alias("x"), "end", "target", "background")
+    n = F.col("x.times")
+    sums = each.groupBy(F.col("x.tags").alias("lm_tag")).agg(
+        F.sum(n).alias("events"), F.sum(n * F.col("end")).alias("texts"),
+        F.sum(n * F.col("target")).alias("t"), F.sum(n * F.col("background")).alias("b"),
+    )
+    sums = sums.select(
+        "lm_tag", F.expr("events div texts - 1").alias("n_words"), (F.col("t") / F.col("events")).alias("target_loss"),
+        (F.col("b") / F.col("events")).alias("background_loss"),
+    )
+    rows = docs.select(*keep, tag.alias("lm_tag")).join(sums, "lm_tag", "left")
+    difference = (F.col("target_loss") - F.col("background_loss")).alias("difference")
+    return rows.select(*keep, F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"), "target_loss", "background_loss", difference)
+
+
 def train(
-    docs: DataFrame, target: Column, text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE
-) -> PairModel:
+    docs: DataFrame, target: Column, text_col: str = "text", word_share: float = 0.0, pair_share: float = 0.0
+) -> PairModel | PairTables:
     """Count all documents: words first, then bigrams over the shared vocabulary.
     Documents without a word teach nothing; a null condition is background."""
     texts = _texts(docs, target, text_col)
+    if not word_share and not pair_share:
+        return _tables(docs, texts, text_col)
     words = texts.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     words = written(words, "word-counts")
     sums = words.agg(F.sum("target"), F.sum("background")).first()
@@ -205,10 +355,12 @@ def train(
 SCHEMA = "n_words bigint, target_loss double, background_loss double, difference double"
 
 
-def score(docs: DataFrame, model: PairModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: PairModel | PairTables, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row, n_words, the loss per event under either
     model, and difference (target less background).  Null, empty and wordless
-    texts have 0 words and null losses.  One scan; the model's size is bounded."""
+    texts have 0 words and null losses.  A model with shares takes one scan."""
+    if isinstance(model, PairTables):
+        return _score_by_tables(docs, model, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("lm_text"))

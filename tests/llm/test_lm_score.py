@@ -85,3 +85,22 @@ def test_held_counts_are_handed_on(spark, monkeypatch):
     pieces = list(lm_score._word_counts(iter(texts)))
     assert len(pieces) > 5
     assert sum((Counter(dict(zip(*map(lambda c: c.to_pylist(), b.columns[:2])))) for b in pieces), Counter()) == whole
+
+
+def test_rare_words_of_a_large_text_count(spark):
+    """By default no word and no bigram is cut, however many events there are."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["the", "of", "é"], k=60)) + f" rare{i} once{i}", rng.choice("ab"), "x", "y") for i in range(40)]
+    rows += [(100, "a b " * 150_000, "a", None, None), (101, "c d " * 150_000, "b", None, None), (102, None, "a", None, None), (103, " ", "b", None, None)]
+    rows += [(200 + i, r[1], r[2], None, None) for i, r in enumerate(rows[:5])] + [(None, rows[7][1], "a", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    model = lm_score.train(docs, F.col("source") == "a")
+    want = by_definition(rows, 0, 0)
+    found = lm_score.score(docs, model).collect()
+    assert sorted((r.doc_id or -1, r.n_words) for r in found) == sorted((r[0] or -1, len((r[1] or "").split())) for r in rows)
+    for row in found:
+        for got, loss in zip((row.target_loss, row.background_loss), want[row.doc_id]):
+            assert got is None if loss is None else got == pytest.approx(loss)
+    new = spark.createDataFrame([(1, "the rare1 never seen", "a", None, None)], SCHEMA)
+    by_cut = lm_score.score(new, lm_score.train(docs, F.col("source") == "a", word_share=1e-12, pair_share=1e-12)).first()
+    assert lm_score.score(new, model).first().difference == pytest.approx(by_cut.difference)
