@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe_transducer, cross_polytope, exact_dedup, language_id, lm_score, mixing, ordinal_quality, simhash, token_files, url_filter
+from strandline.llm import bpe_transducer, cross_polytope, exact_dedup, language_id, lm_score, mixing, ordinal_quality, rule_ledger, simhash, spelling, token_alignment, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,47 @@ from hits
 
 
 SQL["op10_url_filter"] = _url_sql()
+
+
+@query("op11_token_alignment")
+def _(spark, d):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, d, "documents"), *paths)
+
+
+@query("op12_spelling_variants")
+def _(spark, d):
+    return spelling.variants(table(spark, d, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_quality_rules")
+def _(spark, d):
+    judged = rule_ledger.judge(rule_ledger.stored(table(spark, d, "documents")), rule_ledger.POLICIES[-1])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op13_quality_rules"] = r"""
+with texts as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from documents),
+windows as (
+    select doc_id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) as w
+    from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from texts)),
+again as (select doc_id, i, count(*) over (partition by doc_id, w) as times from windows),
+covered as (
+    select doc_id, count(distinct place)::bigint as n_repeat_words
+    from (select doc_id, unnest([i, i + 1, i + 2]) as place from again where times > 1) group by doc_id),
+measured as (
+    select doc_id, len(words)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+        len(list_filter(words, lambda x: regexp_matches(x, '\p{L}')))::bigint as n_letter_words
+    from texts left join covered using (doc_id)),
+based as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from measured)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not (base_failed or word_chars < 3 * n_words or word_chars > 10 * n_words or 10 * n_symbols > n_words
+        or 100 * n_dup_lines > 30 * n_lines or 100 * n_letter_words < 80 * n_words) as kept
+from based
+"""

@@ -1,0 +1,92 @@
+"""The rule ledger against plain loops."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from strandline.llm import rule_ledger as L
+
+SCHEMA = "doc_id bigint, text string, ledger_text string, failed string, n_words string"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def by_loops(text):
+    words = WORD.findall(text or "")
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    covered = {at for i, w in enumerate(windows) if times[w] > 1 for at in (i, i + 1, i + 2)}
+    n = {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text or ""),
+        "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+        "n_letter_words": sum(any(c.isalpha() for c in w) for w in words),
+    }
+    w = n["n_words"]
+    failed = [
+        w < 50, 100 * len(covered) > 50 * w, n["word_chars"] < 3 * w, n["word_chars"] > 10 * w, 10 * n["n_symbols"] > w,
+        100 * n["n_dup_lines"] > 30 * n["n_lines"], 100 * n["n_letter_words"] < 80 * w, w > 100_000,
+    ]
+    return n, sum(1 << i for i, f in enumerate(failed) if f)
+
+
+def texts():
+    rng = random.Random(5)
+    out = [None, "", " \t\n", "a", "a b", "a b c", "a a a", "a a a a", "x y z x y z", "é\n\né\n \né", "\x1c| |", "|" * 60]
+    for _ in range(60):
+        words = rng.choices(["the", "of", "é", "12", "#", "a|b", "zebra", "internationalisation", "\U0001f600"], k=rng.randint(0, 120))
+        out.append("".join(w + rng.choice([" ", " ", "\n", "\t ", "\r\n"]) for w in words))
+    words = ["w%d" % i for i in range(80)]
+    out += [" ".join(words), " ".join(words + words[:40]), "\n".join(["one and the same line"] * 20), "word " * 120_000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    found = [(i, t, "x", "y", "z") for i, t in enumerate(texts())]
+    return found + [(None, "a null id", None, None, None), *found[20:23]]
+
+
+def test_measures_and_bits(spark, rows):
+    found = L.ledger(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(found) == len(rows)
+    want = {r[0]: by_loops(r[1]) for r in rows}
+    for row in found:
+        n, failed = want[row.doc_id]
+        assert {m: row[m] for m in L.MEASURES} == n and row.failed == failed, row.doc_id
+
+
+def test_judgement_follows_the_stored_bits(spark, rows):
+    entries = L.stored(spark.createDataFrame(rows, SCHEMA))
+    want = {r[0]: by_loops(r[1])[1] for r in rows}
+    for policy in L.POLICIES:
+        mask = policy.mask() | L.BASE.mask()
+        for row in L.judge(entries, policy).collect():
+            assert row.base_failed == bool(want[row.doc_id] & 3)
+            assert row.kept == (not want[row.doc_id] & mask)
+
+
+def test_ablations(spark, rows):
+    entries = L.stored(spark.createDataFrame(rows, SCHEMA))
+    bits = [by_loops(r[1])[1] for r in rows]
+    found = {(r.version, r.rule): r for r in L.ablations(entries).collect()}
+    assert len(found) == sum(len(p.rules) for p in L.POLICIES)
+    for policy in L.POLICIES:
+        for place, rule in enumerate(L.RULES):
+            if rule.name not in policy.rules:
+                continue
+            here = [b & policy.mask() for b in bits]
+            row, together = found[policy.version, rule.name], 0
+            for b in here:
+                together |= b if b >> place & 1 else 0
+            want = len(bits), here.count(0), sum(b >> place & 1 for b in here), here.count(1 << place), here.count(0) + here.count(1 << place), together
+            assert tuple(row)[2:] == want
+
+
+def test_no_rows_and_no_python(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    entries = L.ledger(docs)
+    assert entries.collect() == [] and L.ablations(entries).collect() == []
+    plan = L.judge(entries, L.BASE)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
