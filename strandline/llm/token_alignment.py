@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -43,7 +42,8 @@ from pyspark.sql import functions as F
 from strandline.llm.batches import small
 from strandline.session import written
 
-MEMO = 150_000  # stretches kept; then the next generation starts
+MEMO = 400_000  # stretches kept; then all are learned anew
+TOGETHER = 4_096  # stretches encoded as one text
 LONG = 1 << 16  # characters
 PIECE = 1 << 14
 FAN = 16  # fragments composed at a time
@@ -77,26 +77,52 @@ def beginning() -> Fragment:
     return Fragment(cut=True)
 
 
-def closed(a: Tokens, b: Tokens, common: list[int]) -> tuple[bytes, list[int]]:
-    """Groups that end at ``common`` (the last end of both among them), spelled, and
-    the links of each overlap."""
-    (a_ids, a_ends), (b_ids, b_ends) = a, b
-    groups, links, i, j = [], [], 0, 0
-    for end in common:
-        i0, j0 = i, j
-        while True:
-            links.append(a_ids[i] * B_IDS + b_ids[j])
-            if a_ends[i] == b_ends[j]:
-                if a_ends[i] == end:
-                    break
-                i, j = i + 1, j + 1
-            elif a_ends[i] < b_ends[j]:
-                i += 1
-            else:
-                j += 1
-        i, j = i + 1, j + 1
-        groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-    return ";".join(groups).encode(), links
+@dataclass
+class Aligned:
+    """Tokens of A and B over one range that both begin and end."""
+
+    groups: np.ndarray  # where each group ends
+    overlaps: np.ndarray  # where each overlap of two tokens ends
+    links: np.ndarray  # of each overlap
+    text: bytes  # all groups spelled, each with a semicolon after it
+    text_ends: np.ndarray  # where each group's spelling ends
+
+
+@lru_cache(maxsize=1)
+def _digits() -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of every id, and how many there are."""
+    names = np.char.encode(np.arange(1 << 16).astype(str), "ascii").astype("S5")
+    return names.view(np.uint8).reshape(-1, 5), np.char.str_len(names)
+
+
+def aligned(a: Tokens, b: Tokens) -> Aligned:
+    """All groups and links at once: any end of a token ends an overlap, and the
+    tokens of the overlap are the first of A and of B that end there or later."""
+    (a_ids, a_ends), (b_ids, b_ends) = (tuple(np.asarray(x, np.int64) for x in side) for side in (a, b))
+    groups, overlaps = np.intersect1d(a_ends, b_ends, assume_unique=True), np.union1d(a_ends, b_ends)
+    links = (a_ids[np.searchsorted(a_ends, overlaps)] * B_IDS + b_ids[np.searchsorted(b_ends, overlaps)]).astype(np.int32)
+    a_group, b_group = np.searchsorted(groups, a_ends), np.searchsorted(groups, b_ends)
+    a_last, b_last = (np.searchsorted(ends, groups, side="right") for ends in (a_ends, b_ends))  # tokens up to each group's end
+    a_place = np.arange(len(a_ids)) + np.r_[0, b_last][a_group]
+    b_place = np.arange(len(b_ids)) + a_last[b_group]
+    ids, marks = np.empty(len(a_ids) + len(b_ids), np.int64), np.empty(len(a_ids) + len(b_ids), np.uint8)
+    ids[a_place], ids[b_place] = a_ids, b_ids
+    marks[a_place] = np.where(a_ends == groups[a_group], ord("|"), ord(","))
+    marks[b_place] = np.where(b_ends == groups[b_group], ord(";"), ord(","))
+    digits, widths = _digits()
+    ends = np.cumsum(widths[ids] + 1)
+    starts, text = ends - widths[ids] - 1, np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for place in range(digits.shape[1]):
+        some = np.flatnonzero(widths[ids] > place)
+        text[starts[some] + place] = digits[ids[some], place]
+    text[ends - 1] = marks
+    return Aligned(groups, overlaps, links, text.tobytes(), ends[b_place[b_last - 1]])
+
+
+def closed(a: Tokens, b: Tokens) -> tuple[bytes, np.ndarray]:
+    """The groups of a range, spelled, and the links of each overlap."""
+    found = aligned(a, b)
+    return found.text[:-1], found.links
 
 
 def fragment(a: Tokens, b: Tokens, differs: bool = False) -> Fragment:
@@ -107,8 +133,8 @@ def fragment(a: Tokens, b: Tokens, differs: bool = False) -> Fragment:
     split = lambda x: (x[1].index(common[0]) + 1, x[1].index(common[-1]) + 1)
     (a0, a1), (b0, b1) = split(a), split(b)
     part = lambda x, lo, hi: (x[0][lo:hi], x[1][lo:hi])
-    text, links = closed(part(a, a0, a1), part(b, b0, b1), common[1:])
-    distinct, times = np.unique(np.array(links, np.int32), return_counts=True)
+    text, links = closed(part(a, a0, a1), part(b, b0, b1))
+    distinct, times = np.unique(links, return_counts=True)
     return Fragment(
         (part(a, 0, a0), part(b, 0, b0)), text, np.array([a1 - a0, b1 - b0, len(common) - 1]), distinct, times,
         (part(a, a1, None), part(b, b1, None)), True, differs,
@@ -130,16 +156,57 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
     prefix = left.prefix if left.cut else middle.prefix
     suffix = right.suffix if right.cut else middle.suffix if middle.cut else middle.prefix
     if left.cut and middle.cut:  # a group of both
-        more, more_links = closed(*middle.prefix, [middle.prefix[0][1][-1]])
+        more, more_links = closed(*middle.prefix)
         text.insert(1, more)
         n = n + np.array([len(middle.prefix[0][0]), len(middle.prefix[1][0]), 1])
-        links.append((np.array(more_links, np.int32), np.ones(len(more_links), np.int64)))
+        links.append((more_links, np.ones(len(more_links), np.int64)))
     distinct, place = np.unique(np.concatenate([x for x, _ in links]), return_inverse=True)
     times = np.zeros(len(distinct), np.int64)
     np.add.at(times, place, np.concatenate([x for _, x in links]))
     return Fragment(prefix, b";".join([t for t in text if t]), n, distinct, times, suffix, True, differs)
 
 
+class Column:
+    """Numbers in one growing array."""
+
+    def __init__(self, kind: type = np.int64):
+        self.kept, self.size = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
+        self.kept[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
+class Units:
+    """Closed fragments by name: how they are spelled, their figures and links."""
+
+    def __init__(self):
+        self.place: dict[object, int] = {}
+        self.texts: list[bytes] = []
+        self.n = [Column() for _ in range(3)]
+        self.links, self.starts, self.sizes = Column(np.int32), Column(), Column()
+
+    def add(self, names: list[object], texts: list[bytes], n: list[np.ndarray], links: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(names, range(len(self.texts), len(self.texts) + len(names))))
+        self.texts += texts
+        for column, values in zip(self.n, n):
+            column.add(values)
+        self.starts.add(self.links.size + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.links.add(links)
+
+    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the units one after the other, and how many each has."""
+        sizes = self.sizes.kept[units]
+        before = np.cumsum(sizes) - sizes
+        return self.links.kept[np.repeat(self.starts.kept[units] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+UNUSABLE, DIFFERS = -1, -2  # places of stretches that cannot stand alone, and of those spelled differently
+
+
 class Pair:
     """Both tokenizers."""
 
@@ -159,12 +226,12 @@ class Pair:
         self.a_bytes = {i: bytes(byte_of[c] for c in name) for name, i in names.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.a_sizes, self.b_sizes = (np.array([len(table.get(i, b"")) for i in range(max(table) + 1)]) for table in (self.a_bytes, self.b_bytes))
         #: Neighbouring characters of any piece; between others B never merges.
         self.b_inside = {x for i, p in enumerate(pieces) if not self.b.is_byte(i) for x in pairwise(p)}
         self.space, self.newline = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
         self.by_words = not any(c1 != "▁" and c2 == "▁" or "\n" in (c1, c2) for c1, c2 in self.b_inside)
-        self.memo: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.units = Units()
 
     def of_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
@@ -173,12 +240,8 @@ class Pair:
         """B's ids without the first few of each."""
         return [ids[k:] for ids, k in zip(self.b.encode(texts, num_threads=1), dropped)]
 
-    def ends(self, ids: list[int], table: dict[int, bytes], start: int = 0) -> Tokens:
-        out = []
-        for i in ids:
-            start += len(table[i])
-            out.append(start)
-        return ids, out
+    def ends(self, ids: list[int], sizes: np.ndarray, start: int = 0) -> Tokens:
+        return ids, (start + np.cumsum(sizes[ids])).tolist() if ids else []
 
     def whole(self, text: bytes, a: list[int], b: list[int], start: int = 0) -> Fragment:
         """The fragment of a range that A and B have both cut at either end; its prefix
@@ -186,39 +249,49 @@ class Pair:
         differs = any(b"".join([table[i] for i in ids]) != text for ids, table in ((a, self.a_bytes), (b, self.b_bytes)))
         if differs:
             return Fragment(differs=True)
-        return compose(beginning(), fragment(self.ends(a, self.a_bytes, start), self.ends(b, self.b_bytes, start)))
+        return compose(beginning(), fragment(self.ends(a, self.a_sizes, start), self.ends(b, self.b_sizes, start)))
 
     def learn(self, stretches: set[str]) -> None:
         """Fragments of stretches (what is between single spaces; or a newline and what
-        follows it).  A stretch that begins or ends in other white space has none."""
-        new, space = [], str.isspace
+        follows it).  A stretch that begins or ends in other white space has none.  Both
+        tokenizers cut between stretches, so that many are encoded as one text."""
+        new, space, place = [], str.isspace, self.units.place
         for s in stretches:
-            known = self.older.get(s)
             inner = s[1:] if s[:1] == "\n" else s
-            if known is not None:
-                self.memo[s] = known
-            elif not inner or space(inner[0]) or space(inner[-1]):
-                self.memo[s] = ()
+            if not inner or space(inner[0]) or space(inner[-1]):
+                place[s] = UNUSABLE
+            elif "▁" in s:
+                place[s] = DIFFERS  # B spells it as a space
             else:
                 new.append(s)
-        texts = [s if s[0] == "\n" else " " + s for s in new]
-        a = self.of_a(texts)
-        b = self.of_b(new, [int(s[0] == "\n") for s in new])  # before a newline stands B's own space
-        for s, text, x, y in zip(new, texts, a, b):
-            done = self.whole(text.encode(), x, y)
-            links = np.repeat(done.links, done.times)
-            self.memo[s] = (done.text, *done.n.tolist(), links.tobytes(), done.differs)
-
-    def prepare(self, texts: list[str]) -> list[list[str] | None]:
-        """The stretches of each text, all in the memo; none if it cannot be cut so."""
+        new.sort(key=lambda s: s[0] == "\n")  # B's own space comes before the first
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            if some[0][0] == "\n":
+                some.insert(0, "a")
+            texts = [s if s[0] == "\n" else " " + s for s in some]
+            whole = "".join(texts)
+            (a,), (b,) = self.of_a([whole]), self.of_b([whole[1:]], [0])
+            a, b = self.ends(a, self.a_sizes), self.ends(b, self.b_sizes)
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            if not a[1][-1] == b[1][-1] == ends[-1]:
+                raise ValueError("the tokenizers spell other bytes")
+            found = aligned(a, b)
+            cuts = [np.searchsorted(x, ends, side="right") for x in (a[1], b[1], found.groups, found.overlaps)]
+            *n, sizes = (np.diff(c, prepend=0) for c in cuts)
+            text_ends = found.text_ends[cuts[2] - 1].tolist()
+            spelled = [found.text[i:j] for i, j in pairwise([0, *text_ends])]
+            self.units.add(some, spelled, n, found.links, sizes)
+
+    def prepare(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The units of each text's stretches; none if it cannot be cut so."""
         cut = [t.replace("\n", " \n").split(" ") if self.by_words else None for t in texts]
-        new = {s for c in cut if c for s in c}.difference(self.memo)
+        place = self.units.place
+        new = {s for c in cut if c for s in c}.difference(place)
         if new:
-            if len(self.memo) >= MEMO:
-                self.memo, self.older = {}, self.memo
-                new = {s for c in cut if c for s in c}
             self.learn(new)
-        return [c if c and c[0][:1] != "\n" and () not in map(self.memo.get, c) else None for c in cut]
+        found = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) if c and c[0][:1] != "\n" else None for c in cut]
+        return [None if units is None or UNUSABLE in units else units for units in found]
 
     def pieces(self, text: str, size: int = PIECE) -> Iterator[tuple[int, str, int, str]]:
         """(offset, text) for A and for B of each piece, cut independently."""
@@ -251,7 +324,7 @@ class Pair:
         (b,) = self.of_b([b_text if first else "\n" + b_text], [0 if first else 2]) if b_text else ([],)
         want = ((a, self.a_bytes, a_text), (b, self.b_bytes, (" " if first else "") + b_text if b_text else ""))
         differs = any(b"".join([table[i] for i in ids]) != t.encode() for ids, table, t in want)
-        return fragment(self.ends(a, self.a_bytes, a_start), self.ends(b, self.b_bytes, b_start), differs)
+        return fragment(self.ends(a, self.a_sizes, a_start), self.ends(b, self.b_sizes, b_start), differs)
 
 
 @lru_cache(maxsize=2)
@@ -268,35 +341,54 @@ CHUNKS = (
 
 
 class Chunk:
-    """Documents that one task stores in a row: stretches once, with their links."""
+    """Documents that one task stores in a row: their stretches once, with their links."""
 
-    def __init__(self):
-        self.rows: list[tuple] = []
-        self.words: dict[object, int] = {}
-        self.word_links: list[bytes] = []
-        self.refs: list[np.ndarray] = []
-        self.distinct: list[np.ndarray] = []
+    def __init__(self, units: Units):
+        self.units = units
+        self.rows: list[tuple] = []  # id, figures, digest, and how many distinct units
+        self.refs: list[np.ndarray] = []  # units of each document and how often
+        self.distinct: list[np.ndarray] = []  # links of each document
         self.size = 0
 
-    def add(self, row: tuple, words: dict[object, int], links: list[bytes]) -> None:
-        """``words``: how often each stretch is in the document; ``links``: theirs."""
-        places = []
-        for word, own in zip(words, links):
-            at = self.words.setdefault(word, len(self.words))
-            if at == len(self.word_links):
-                self.word_links.append(own)
-            places.append(at)
-        self.rows.append((*row, len(places)))
-        self.refs.append(np.array([places, list(words.values())], np.uint32))
-        self.distinct.append(np.unique(np.frombuffer(b"".join(links), np.int32)))
-        self.size += len(places)
+    def add(self, ids: list[object], found: list[np.ndarray]) -> None:
+        """Documents by the units they are the product of; none for a text without tokens."""
+        of = self.units
+        doc = np.repeat(np.arange(len(ids)), [len(units) for units in found])
+        every = np.concatenate([np.zeros(0, np.int64), *found])
+        keys, times = np.unique(doc << 32 | every, return_counts=True)
+        doc, every = keys >> 32, keys & 0xFFFFFFFF
+        links, sizes = of.links_of(every)
+        each = [np.bincount(doc, times * values, len(ids)).astype(np.int64).tolist() for values in (*(c.kept[every] for c in of.n), sizes)]
+        spelled = [b"".join(map(of.texts.__getitem__, units.tolist())) for units in found]
+        digests = [hashlib.sha256(memoryview(t)[:-1]).hexdigest() if t else "" for t in spelled]
+        self.rows += zip(ids, *each, digests, np.bincount(doc, minlength=len(ids)).tolist())
+        self.refs.append(np.array([every, times], np.int64))
+        self.distinct.append((np.unique(np.repeat(doc, sizes) << 32 | links) & 0xFFFFFFFF).astype(np.int32))
+        self.size += len(every)
+
+    def add_fragment(self, doc_id: object, whole: Fragment) -> None:
+        """A document of its own fragment: each distinct link is a unit."""
+        if whole.differs or not whole.n[0]:
+            self.add([doc_id], [np.zeros(0, np.int64)])
+            return
+        names = whole.links.tolist()
+        new = [x for x in names if x not in self.units.place]
+        none = np.zeros(len(new), np.int64)
+        self.units.add(new, [b""] * len(new), [none] * 3, np.array(new, np.int32), none + 1)
+        units = np.array([self.units.place[x] for x in names], np.int64)
+        self.rows.append((doc_id, *whole.n.tolist(), int(whole.times.sum()), hashlib.sha256(whole.text).hexdigest(), len(units)))
+        self.refs.append(np.array([units, whole.times], np.int64))
+        self.distinct.append(whole.links)
+        self.size += len(units)
 
     def batch(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
         ids, n_a, n_b, n_groups, n_links, sha, sizes = map(list, zip(*self.rows))
         links, n_docs = np.unique(np.concatenate(self.distinct), return_counts=True)
-        refs = zlib.compress(np.concatenate(self.refs, axis=1).tobytes(), 1)
-        word_links = zlib.compress(b"".join(self.word_links), 1)
-        row = [number, ids, n_a, n_b, n_groups, n_links, sha, sizes, refs, [len(w) // 4 for w in self.word_links], word_links, links, n_docs]
+        units, times = np.concatenate(self.refs, axis=1)
+        words, places = np.unique(units, return_inverse=True)
+        word_links, word_sizes = self.units.links_of(words)
+        refs, word_links = (zlib.compress(x.tobytes(), 1) for x in (np.array([places, times], np.uint32), word_links))
+        row = [number, ids, n_a, n_b, n_groups, n_links, sha, sizes, refs, word_sizes, word_links, links, n_docs]
         return pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(row, schema.types)], schema=schema)
 
 
@@ -315,47 +407,33 @@ def _short_chunks(rows: DataFrame, paths: tuple[str, str], schema: str, chunk_si
     arrow = _arrow(rows.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, chunk = pair(*paths), 0, Chunk()
+        own, number = pair(*paths), 0
+        chunk = Chunk(own.units)
         for batch in small(batches, 64):
-            texts = batch.column(1).to_pylist()
-            for doc_id, text, cut in zip(batch.column(0).to_pylist(), texts, own.prepare(texts)):
-                if not text:
-                    chunk.add((doc_id, 0, 0, 0, 0, ""), {}, [])
-                elif cut is None:
-                    (a,), (b,) = own.of_a([" " + text]), own.of_b([text], [0])
-                    _add_fragment(chunk, doc_id, own.whole((" " + text).encode(), a, b))
-                else:
-                    _add_stretches(chunk, doc_id, cut, own.memo)
-                if chunk.size >= chunk_size:
-                    yield chunk.batch(_numbered(number), arrow)
-                    number, chunk = number + 1, Chunk()
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            whole = []
+            found = own.prepare(texts)
+            for i, (units, text) in enumerate(zip(found, texts)):
+                if not text or units is not None and DIFFERS in units:
+                    found[i] = np.zeros(0, np.int64)
+                elif units is None:
+                    whole.append(i)
+            rest = [i for i in range(len(ids)) if found[i] is not None]
+            chunk.add([ids[i] for i in rest], [found[i] for i in rest])
+            for i in whole:
+                (a,), (b,) = own.of_a([" " + texts[i]]), own.of_b([texts[i]], [0])
+                chunk.add_fragment(ids[i], own.whole((" " + texts[i]).encode(), a, b))
+            full = len(own.units.texts) >= MEMO
+            if chunk.size >= chunk_size or full:
+                yield chunk.batch(_numbered(number), arrow)
+                own.units = Units() if full else own.units
+                number, chunk = number + 1, Chunk(own.units)
         if chunk.rows:
             yield chunk.batch(_numbered(number), arrow)
 
     return rows.mapInArrow(run, schema)
 
 
-def _add_stretches(chunk: Chunk, doc_id: object, cut: list[str], memo: dict[str, tuple]) -> None:
-    parts = [memo[s] for s in cut]
-    if any([p[5] for p in parts]):
-        chunk.add((doc_id, 0, 0, 0, 0, ""), {}, [])
-        return
-    text, n_a, n_b, n_groups, links, _ = zip(*parts)
-    words = Counter(cut)
-    row = doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)) // 4, hashlib.sha256(b";".join(text)).hexdigest()
-    chunk.add(row, words, [memo[s][4] for s in words])
-
-
-def _add_fragment(chunk: Chunk, doc_id: object, whole: Fragment) -> None:
-    """A document of its own fragment: each distinct link counts as a stretch."""
-    if whole.differs or not whole.n[0]:
-        chunk.add((doc_id, 0, 0, 0, 0, ""), {}, [])
-        return
-    row = doc_id, *whole.n.tolist(), int(whole.times.sum()), hashlib.sha256(whole.text).hexdigest()
-    links = whole.links.tolist()
-    chunk.add(row, dict(zip(links, whole.times.tolist())), [whole.links[i : i + 1].tobytes() for i in range(len(links))])
-
-
 TOKENS = "array<int>", "array<bigint>"
 FRAGMENT = "doc bigint, no bigint, id {id}, cut boolean, differs boolean, text binary, n array<bigint>, links array<int>, times array<bigint>, " + ", ".join(
     f"{side}_{x}_{part} {kind}" for side in ("prefix", "suffix") for x in "ab" for part, kind in zip(("ids", "ends"), TOKENS)
@@ -420,13 +498,13 @@ def _long_chunks(fragments: DataFrame, schema: str, chunk_size: int) -> DataFram
     arrow = _arrow(fragments.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk = 0, Chunk()
+        number, chunk = 0, Chunk(Units())
         for batch in small(batches, 16):
             for row in batch.to_pylist():
-                _add_fragment(chunk, row["id"], compose(beginning(), _unpacked(row)))
+                chunk.add_fragment(row["id"], compose(beginning(), _unpacked(row)))
                 if chunk.size >= chunk_size:
                     yield chunk.batch(-1 - _numbered(number), arrow)
-                    number, chunk = number + 1, Chunk()
+                    number, chunk = number + 1, Chunk(Units())
         if chunk.rows:
             yield chunk.batch(-1 - _numbered(number), arrow)
 
