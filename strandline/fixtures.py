@@ -90,6 +90,14 @@ join pages p on p.page_id = t.dst""",
     "redirects": """
 select page_id as src, case when page_id % 11 = 5 then page_id + 1 when page_id % 11 = 6 then page_id - 1
   when page_id % 7 in (1, 2, 3) then page_id + 1 else page_id end as dst from pages""",
+    "part_sitemap": "select loc, lastmod from sitemap where lastmod is not null",
+    "hops": """
+select -1 - a.page_id as capture_id, e.ts, a.url, cast(case a.page_id % 5 when 0 then 301 when 1 then 302 when 2 then 307 when 3 then 308 else 200 end as int) as status,
+  cast(100 as bigint) as bytes, md5(a.url) as digest, cast(0 as bigint) as attempt,
+  case a.page_id % 3 when 0 then regexp_replace(b.url, '^[a-z]+:', '') else b.url end as redirect_to
+from redirects r join pages a on a.page_id = r.src join pages b on b.page_id = r.dst join events e on e.event_id = a.page_id where r.src <> r.dst""",
+    "asked": """
+select p.page_id, p.url, e.ts + interval 40 minutes as ts from pages p join events e on e.event_id = p.page_id * 3 + 1""",
     "blocklist": f"""
 select distinct {HOST.format('url')} as host from pages where url like '%pills%' or url like '%spam%' or url like '%casino%' or url like '%ads-%'""",
     "logs": """
@@ -134,6 +142,8 @@ NEEDS = {
     "moved": ("captures",),
     "scoped_edges": ("edges",),
     "url_redirects": ("redirects",),
+    "part_sitemap": ("sitemap",),
+    "hops": ("redirects",),
     "crawl_updates": ("captures",),
     "convert_updates": ("captures",),
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,30 +76,90 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int = -1, extra_hops: int =
     states.add(start.select("url", F.lit(0).alias("depth"), F.lit(0).alias("extra")))
 
     level = 0
-    while level != depth:
-        frontier = states.read().filter(F.col("depth") == level).select(F.col("url").alias("src"), "extra")
-        if frontier.isEmpty():
-            break
-        level += 1
-        found = (
-            replicated(frontier, ["src"], hot)
-            .join(graph.read(), ["src", "salt"])
-            .select(F.col("dst").alias("url"), (F.col("extra") + F.col("cost")).alias("extra"))
-            .filter(F.col("extra") <= extra_hops)
-            .groupBy("url")
-            .agg(F.min("extra").alias("extra"))
-        )
-        if extra_hops:
-            best = states.read().groupBy("url").agg(F.min("extra").alias("best"))
-            fresh = found.join(best, "url", "left").filter(F.col("best").isNull() | (F.col("extra") < F.col("best")))
-        else:
-            fresh = found.join(states.read().select("url"), "url", "left_anti")
-        states.add(fresh.select("url", F.lit(level).alias("depth"), "extra"))
-
-    result = states.read()
-    graph.close()
-    states.close()
-    return result
+    try:
+        while level != depth:
+            frontier = states.read().filter(F.col("depth") == level).select(F.col("url").alias("src"), "extra")
+            if frontier.isEmpty():
+                break
+            level += 1
+            found = (
+                replicated(frontier, ["src"], hot)
+                .join(graph.read(), ["src", "salt"])
+                .select(F.col("dst").alias("url"), (F.col("extra") + F.col("cost")).alias("extra"))
+                .filter(F.col("extra") <= extra_hops)
+                .groupBy("url")
+                .agg(F.min("extra").alias("extra"))
+            )
+            if extra_hops:
+                best = states.read().groupBy("url").agg(F.min("extra").alias("best"))
+                fresh = found.join(best, "url", "left").filter(F.col("best").isNull() | (F.col("extra") < F.col("best")))
+            else:
+                fresh = found.join(states.read().select("url"), "url", "left_anti")
+            states.add(fresh.select("url", F.lit(level).alias("depth"), "extra"))
+        return states.read()
+    finally:
+        graph.close()
+        states.close()
+
+
+class Contracted(NamedTuple):
+    """A graph whose redirecting URLs are replaced by where they lead."""
+
+    seeds: DataFrame  # url
+    links: DataFrame  # src, dst and the other columns of the links
+    shown: DataFrame  # the links of pages that are shown, with their own targets
+    ends: DataFrame  # src, end
+
+
+def _moved_to(df: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    """``df`` with a URL column replaced by the end of its redirects, if it has any."""
+    renamed = ends.select(F.col("src").alias(column), F.col("end").alias("moved_end"))
+    joined = lookup_join(df, renamed, [column], "left")
+    return joined.withColumn(column, F.coalesce("moved_end", column)).select(*df.columns)
+
+
+def contract(seeds: DataFrame, links: DataFrame, redirects: DataFrame) -> Contracted:
+    """Contract every chain of redirects (src, dst; one row per src) to its end, so
+    that a walk follows it at no cost.  A URL whose chain runs in a loop leads nowhere
+    and stays a node of its own, without links; links from a redirecting URL to
+    elsewhere are not followed, as no page is shown there."""
+    resolved = written(resolve_redirects(redirects), "resolved")
+    ends = written(resolved.filter(~F.col("loop") & (F.col("src") != F.col("target"))).select("src", F.col("target").alias("end")), "chain-ends")
+    gone = resolved.filter(F.col("loop") | (F.col("src") != F.col("target"))).select("src")
+    shown = lookup_join(links, gone, ["src"], "left_anti", spread=["dst"])
+    return Contracted(_moved_to(seeds.select("url"), ends, "url").distinct(), _moved_to(shown, ends, "dst"), shown, ends)
+
+
+def reach_redirected(seeds: DataFrame, links: DataFrame, redirects: DataFrame, depth: int = -1, extra_hops: int = 0) -> DataFrame:
+    """As :func:`reach`, over redirects, which are no hops: (url, depth, extra, via).
+
+    ``via`` is false for pages and for loops, and true for the redirecting URLs that
+    the walk goes through: seeds, targets of links of reached pages, and what lies on
+    their chains.  Those have the depth and extra at which they are first met.  The
+    URLs of all three tables are cleaned, relative targets resolved (as by
+    :func:`redirect_map`)."""
+    graph = contract(seeds, links, redirects)
+    pages = written(reach(graph.seeds, graph.links, depth, extra_hops), "reached-pages")
+    cost = F.when(F.col("in_scope"), 0).otherwise(1) if "in_scope" in links.columns else F.lit(0)
+    moving = written(redirects.filter("src <> dst").select("src", F.col("dst").alias("to")), "moving")
+    origin = graph.shown.select("src", "dst", cost.alias("cost")).join(pages.withColumnRenamed("url", "src"), "src")
+    met = origin.select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), (F.col("extra") + F.col("cost")).alias("extra"))
+    met = met.filter(F.col("extra") <= extra_hops) if depth < 0 else met.filter((F.col("extra") <= extra_hops) & (F.col("depth") <= depth))
+    zero = F.lit(0)
+    met = met.unionByName(seeds.select("url").filter("url is not null").select("url", zero.alias("depth"), zero.alias("extra")))
+    first = met.groupBy("url").agg(F.min(F.struct("depth", "extra")).alias("at"))
+    sources = moving.select(F.col("src").alias("url"))
+    seen = written(first.join(sources, "url", "left_semi"), "met-redirects")
+    passed, front = [seen], seen
+    while not front.isEmpty():  # a hop of all chains a round; a loop ends where it meets itself
+        ahead = front.join(moving.withColumnRenamed("src", "url"), "url").groupBy(F.col("to").alias("url")).agg(F.min("at").alias("at"))
+        known = reduce(DataFrame.unionByName, passed).groupBy("url").agg(F.min("at").alias("known"))
+        ahead = ahead.join(sources, "url", "left_semi").join(known, "url", "left").filter(F.col("known").isNull() | (F.col("at") < F.col("known")))
+        front = written(ahead.select("url", "at"), "met-redirects")
+        passed.append(front)
+    via = reduce(DataFrame.unionByName, passed).groupBy("url").agg(F.min("at").alias("at"))
+    via = via.join(pages.select("url"), "url", "left_anti")  # loops are pages already
+    return pages.withColumn("via", F.lit(False)).unionByName(via.select("url", "at.depth", "at.extra", F.lit(True).alias("via")))
 
 
 def redirect_map(captures: DataFrame) -> DataFrame:

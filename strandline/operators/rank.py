@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
+from strandline.operators import positions
 from strandline.operators.graph import chain_end
 from strandline.operators.skew import first_n, hot_in, lookup_join
 from strandline.session import written
@@ -38,7 +40,11 @@ def dedup(
 
     skip ranks with a limit of one, which Spark applies in each task before the
     shuffle.  revisit finds the firsts with a partial aggregate and joins them
-    back with hot keys salted: no key's captures meet in one task."""
+    back with hot keys salted: no key's captures meet in one task.
+
+    Captures read from Parquet files with more columns than key and order are ranked
+    by those alone; skip then reads whole rows by their places, so that no body is
+    in an exchange."""
     if policy not in DEDUP_POLICIES:
         raise ValueError(f"policy is one of {', '.join(DEDUP_POLICIES)}")
     if policy == "keep":
@@ -46,6 +52,12 @@ def dedup(
     uid = order[-1]
     keyed, names = _keyed(df, key, uid)
     if policy == "skip":
+        wide = set(df.columns) - {*key, *order}
+        found = positions.located(df) if wide else None
+        if found is not None:
+            thin = found.select(*dict.fromkeys([*key, *order]), positions.FILE, positions.AT)
+            marks = written(positions.bitmaps(dedup(thin, "skip", key, order), first_here=F.lit(True)), "positions")
+            return reduce(DataFrame.unionByName, positions.selected(found, marks, "first_here")).select(*df.columns)
         rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
         return keyed.withColumn("key_rank", rank).filter("key_rank = 1").select(*df.columns)
     firsts = keyed.groupBy(*names).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))

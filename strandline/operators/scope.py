@@ -109,9 +109,9 @@ def include_rx(df: DataFrame, rx: str, url: str = "url") -> DataFrame:
 
 
 def exclude_rx(df: DataFrame, rx: Sequence[str], url: str = "url") -> DataFrame:
-    """Drop URLs that match any of the patterns."""
+    """Drop URLs that match any of the patterns.  A row without URL matches none."""
     for pattern in rx:
-        df = df.filter(~F.col(url).rlike(pattern))
+        df = df.filter(F.coalesce(~F.col(url).rlike(pattern), F.lit(True)))
     return df
 
 
@@ -120,7 +120,7 @@ class BlockRule(NamedTuple):
     text: str | None = None
 
 
-def _replace_blocked(df: DataFrame, blocked: Column, message: str | None) -> DataFrame:
+def replace_blocked(df: DataFrame, blocked: Column, message: str | None) -> DataFrame:
     """Without a message blocked rows go; with one they become message records."""
     if message is None:
         return df.filter(~blocked)
@@ -149,7 +149,7 @@ def block(
     for rule in rules:
         if rule.text is not None:
             blocked = blocked | (F.col(url).rlike(rule.url) & F.col(text).rlike(rule.text))
-    return _replace_blocked(df, F.coalesce(blocked, F.lit(False)), message)
+    return replace_blocked(df, F.coalesce(blocked, F.lit(False)), message)
 
 
 def hosts_of(lines: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def block_hosts(df: DataFrame, hosts: DataFrame, message: str | None = None, url
     if message is None:
         return lookup_join(keyed, table, ["listed"], "left_anti", [url]).drop("listed")
     marked = lookup_join(keyed, table.withColumn("hit", F.lit(True)), ["listed"], "left", [url]).drop("listed")
-    return _replace_blocked(marked, F.col("hit").isNotNull(), message).drop("hit")
+    return replace_blocked(marked, F.col("hit").isNotNull(), message).drop("hit")
 
 
 def period_start(text: Column | str) -> Column:

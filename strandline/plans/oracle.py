@@ -6,7 +6,7 @@ equal their cleaned form; only ``U1_clean_url`` and ``U1_collisions`` see others
 from __future__ import annotations
 
 from strandline.fixtures import HOST, cte
-from strandline.functions import languages, urls
+from strandline.functions import languages
 from strandline.plans.queries import SIZE_LIMIT, TIME_LIMIT
 
 SQL: dict[str, str] = {}
@@ -63,19 +63,40 @@ summed as (select *, sum(bytes) over (order by ts, capture_id) - bytes as before
   from firsts where url in (select url from allowed))
 select capture_id, url, bytes, total > {SIZE_LIMIT // 10} as partial from summed where before <= {SIZE_LIMIT // 10}"""
 
-SQL["archive_build_full"] = f"""{cte('captures', 'seeds', 'blocklist', 'sitemap', 'edges', recursive=True)},
-starts as (select url from seeds union select loc from (select loc,
+#: Chains of the redirects in ``map`` (src, dst), with loops: src, target (null in a loop).
+_chain = """chain as (select src, dst as at from map union select w.src, r.dst from chain w join map r on r.src = w.at),
+ends as (select w.src, max(case when r.src is null or r.dst = r.src then w.at end) as target
+  from chain w left join map r on r.src = w.at group by w.src),
+moved as (select src, target from ends where target <> src),
+shown as (select src, dst from hrefs where src not in (select src from ends where target is null or target <> src)),
+pages_reached(url, depth) as (select coalesce(m.target, s.url), 0 from starts s left join moved m on m.src = s.url
+  union select coalesce(m.target, h.dst), r.depth + 1 from pages_reached r join shown h on h.src = r.url left join moved m on m.src = h.dst where r.depth < {depth}),
+seen as (select url, min(depth) as depth from pages_reached group by url),
+sources as (select src, dst from map where src <> dst),
+met as (select url, 0 as depth from starts union all select h.dst, s.depth + 1 from seen s join shown h on h.src = s.url where s.depth < {depth}),
+via(url, depth) as (select url, depth from met where url in (select src from sources)
+  union select m.dst, v.depth from via v join sources m on m.src = v.url where m.dst in (select src from sources)),
+visited as (select url, depth, false as via from seen
+  union all select url, min(depth), true from via where url not in (select url from seen) group by url)"""
+_hop_target = "case when starts_with(redirect_to, '//') then regexp_extract(url, '^([a-z]+:)', 1) || redirect_to else redirect_to end"
+
+SQL["archive_build_full"] = f"""{cte('captures', 'seeds', 'blocklist', 'sitemap', 'edges', 'hops', recursive=True)},
+starts as (select {NOFRAG.format('url')} as url from seeds union select {NOFRAG.format('loc')} from (select loc,
     cast(case length(lastmod) when 4 then lastmod || '-01-01' when 7 then lastmod || '-01' else lastmod end as date) as day
-  from sitemap where loc like '%/en/1%') t where day is null or day between date '2021-01-01' and date '2022-12-31'),
+  from sitemap) t where day is null or day between date '2021-01-01' and date '2022-12-31'),
 hosts as (select distinct {host('url')} as host from starts),
-hops as (select a.url as src, b.url as dst from edges e join pages a on a.page_id = e.src join pages b on b.page_id = e.dst
-  where {host('b.url')} in (select host from hosts)),
-reached(url, depth) as (select url, 0 from starts union select h.dst, r.depth + 1 from reached r join hops h on h.src = r.url where r.depth < 3),
-tried as (select capture_id, ts, {NOFRAG.format('url')} as url, bytes, digest, attempt, status >= 400 as failed from captures
+hrefs as (select distinct {NOFRAG.format('a.url')} as src, {NOFRAG.format('b.url')} as dst
+  from edges e join pages a on a.page_id = e.src join pages b on b.page_id = e.dst where {host('b.url')} in (select host from hosts)),
+map as (select {NOFRAG.format('url')} as src, {NOFRAG.format(_hop_target)} as dst from hops where status in (301, 302, 307, 308)
+  qualify row_number() over (partition by src order by ts desc, {_hop_target} desc) = 1),
+{_chain.format(depth=3)},
+rows_in as (select capture_id, ts, url, status, bytes, digest, attempt from captures
+  union all select capture_id, ts, url, status, bytes, digest, attempt from hops),
+tried as (select capture_id, ts, {NOFRAG.format('url')} as url, bytes, digest, attempt, status >= 400 as failed from rows_in
   where not regexp_matches(url, '\\?utm_') and not regexp_matches(url, '/96[0-9]')
-    and host in (select host from hosts) and host not in (select host from blocklist)),
+    and {host('url')} in (select host from hosts) and {host('url')} not in (select host from blocklist)),
 numbered as (select *, row_number() over (partition by url order by attempt, capture_id) as nth from tried
-  where url in (select url from reached)),
+  where url in (select url from visited)),
 final as (select * from numbered where nth <= 2
   qualify row_number() over (partition by url order by failed, case when failed then -nth else nth end) = 1),
 summed as (select *, sum(bytes) over (order by ts, capture_id) - bytes as before, sum(bytes) over () as total_bytes from final),
@@ -91,13 +112,25 @@ SQL["S3_union_collections"] = f"""{cte('captures')}
 select cast(case collection when 'crawl-2' then 1 when 'crawl-0' then 2 else 3 end as int) as run_no, collection,
   count(*) as captures, cast(sum(bytes) as bigint) as bytes from captures group by all"""
 SQL["S4_read_sitemap"] = f"{cte('sitemap')} select loc, lastmod from sitemap"
-SQL["S4_sitemap_seeds"] = f"{cte('sitemap', 'seeds')} select url from seeds union select loc from sitemap"
+SQL["S4_sitemap_seeds"] = f"{cte('part_sitemap', 'seeds')} select url from seeds union select loc from part_sitemap"
 SQL["S5_filter_logs"] = f"""{cte('logs')} select log_id, level, context from logs
 where level in ('error', 'warn') and context not in ('recorderNetwork', 'jsError', 'screencast')"""
 SQL["S6_write_archive"] = f"{cte('captures')} select capture_id, url, status, bytes, digest from captures"
 SQL["S7_build_index"] = f"""{cte('captures')}
 select array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || {FILE.format('url')} as key,
   capture_id, url, status, digest, bytes from captures"""
+SQL["S7_lookup"] = f"select * from ({SQL['S7_build_index']}) t where starts_with(key, 'net,example,')"
+SQL["S7_nearest"] = f"""{cte('captures', 'asked')},
+pairs as (select a.page_id, a.url, c.capture_id, c.ts, abs(epoch_us(c.ts) - epoch_us(a.ts)) as apart from asked a left join captures c on c.url = a.url)
+select page_id, url, capture_id as nearest_id, cast(floor(epoch(ts)) as bigint) as nearest from pairs
+qualify row_number() over (partition by page_id order by apart, ts, capture_id) = 1"""
+SQL["S8_rollover_greedy"] = f"""{cte('captures', recursive=True)},
+summed as (select capture_id, sum(bytes) over (order by ts, capture_id) - bytes as before from captures),
+starts(cut) as (select cast(0 as hugeint) union all
+  select (select min(before) from summed where before >= s.cut + 1000000) from starts s where s.cut is not null),
+numbered as (select cut, row_number() over (order by cut) - 1 as shard from starts where cut is not null)
+select capture_id, n.shard from summed s asof join numbered n on s.before >= n.cut"""
+SQL["S9_compact_files"] = f"{cte('captures')} select capture_id, collection, bytes, 'nightly' as operator from captures"
 SQL["S8_rollover"] = f"""{cte('captures')}
 select capture_id, cast(floor((sum(bytes) over (order by ts, capture_id) - bytes) // 1000000) as bigint) as shard from captures"""
 SQL["S9_compact"] = f"{cte('captures')} select capture_id, collection, bytes, 'nightly' as operator from captures"
@@ -116,15 +149,23 @@ select distinct src, dst from found"""
 
 # --- URL projections ---------------------------------------------------------
 
+# What a URL may be, written out here: no pattern of the library is reused.
+_PLACE = r"(?:[^/?#]*@)?(?:\[[^\]/?#]*\]|[^/?#:@\[]*)"
+_SCHEME = "^([a-zA-Z][a-zA-Z0-9+.-]*):"
+_EDGES = r"^[\x00-\x20]+|[\t\r\n]"
+_DEFAULT_PORT = f"^(?:((?i:https)://{_PLACE}):0*443|((?i:http)://{_PLACE}):0*80)([/?#]|$)"
+_PORT = f"^(?i:https?)://{_PLACE}:([^/?#@]*)(?:[/?#]|$)"
+_BRACKETS = r"^[^:/?#]*://(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)"
+
 
 def _lower_scheme(c: str) -> str:
-    name = f"regexp_extract({c}, '{urls.SCHEME}', 1)"
+    name = f"regexp_extract({c}, '{_SCHEME}', 1)"
     return f"lower({name}) || substr({c}, length({name}) + 1)"
 
 
 def _steps(c: str) -> str:
     for pattern, keep in (
-        (urls.DEFAULT_PORT, r"\1\2\3"),
+        (_DEFAULT_PORT, r"\1\2\3"),
         ("^([^#]*)#$", r"\1"),
         (r"^([^?#]*)\?(#|$)", r"\1\2"),
         ("^([^?#]*/[^;/?#]*);([?#]|$)", r"\1\2"),
@@ -134,9 +175,10 @@ def _steps(c: str) -> str:
 
 
 SQL["U1_clean_url"] = f"""{cte('spelled')},
-trimmed as (select page_id, regexp_replace(url, '{urls.EDGE_SPACE}', '', 'g') as raw from spelled)
-select page_id, case when (regexp_matches(raw, '{urls.HAS_PORT}') and not regexp_matches(raw, '{urls.GOOD_PORT}'))
-  or regexp_matches(raw, '{urls.UNPAIRED}') then null else {_steps(_lower_scheme('raw'))} end as clean from trimmed"""
+trimmed as (select page_id, regexp_replace(url, '{_EDGES}', '', 'g') as raw from spelled),
+parted as (select *, regexp_matches(raw, '{_PORT}') as has_port, regexp_extract(raw, '{_PORT}', 1) as port from trimmed)
+select page_id, case when (has_port and port <> '' and not (regexp_full_match(port, '[0-9]+') and coalesce(try_cast(port as hugeint) <= 65535, false)))
+  or regexp_matches(raw, '{_BRACKETS}') then null else {_steps(_lower_scheme('raw'))} end as clean from parted"""
 SQL["U1_collisions"] = f"""{cte('variants')},
 entries as (select v.url as spelling, c.host || {FILE.format('c.url')} as entry
   from variants v join captures c on c.capture_id = v.capture_id),
@@ -233,6 +275,12 @@ walk as (select pos as page_id, 0 as depth, 0 as extra from seeds
 _first = "select page_id, cast(min(depth) as int) as depth from walk group by page_id"
 SQL["G2_reach_depth"] = f"{_walk('edges', 2, 0)} {_first}"
 SQL["G2_reach_all"] = f"{_walk('edges', 60, 0)} {_first}"
+SQL["G2_reach_redirected"] = f"""{cte('seeds', 'edges', 'hops', recursive=True)},
+starts as (select url from seeds),
+hrefs as (select distinct a.url as src, b.url as dst from edges e join pages a on a.page_id = e.src join pages b on b.page_id = e.dst),
+map as (select url as src, {_hop_target} as dst from hops where status in (301, 302, 307, 308)),
+{_chain.format(depth=4)}
+select url, cast(depth as int) as depth, via from visited"""
 SQL["G3_extra_hops"] = f"""{_walk('scoped_edges', 6, 2)}
 select page_id, cast(depth as int) as depth, cast(extra as int) as extra from walk a where not exists (
   select 1 from walk b where b.page_id = a.page_id and b.depth <= a.depth and b.extra <= a.extra
@@ -379,7 +427,7 @@ select url, case when rt is null then 'crawl_only' when ct is null then 'replay_
   case when ct is not null and rt is not null then len(cw) + len(rw) - both_words end as tokens from b"""
 
 _spaced = "list_filter(list_distinct(regexp_split_to_array(lower({}), '\\s+')), lambda w: w <> '')"
-SQL["Q3_qa_compare_spellings"] = f"""with sides as (select 'https' || regexp_replace(url, '^[a-z]+', '') as url, unnest([substr(html, 1, 40), substr(reverse(html), 1, 40)]) as text
+SQL["Q3_qa_compare_spellings"] = f"""with sides as (select 'https' || regexp_replace(url, '^[a-z]+', '') as url, unnest([html, reverse(html)]) as text
   from pages), c as (select url, arg_max(text, (length(text), md5(text))) as text from sides group by url), r as (select 'https' || regexp_replace(url, '^[a-z]+', '') as url,
   'T'' ' || case page_id % 6 when 0 then 'café ’x — &lt; &nosuch; © go' when 1 then 'before' when 2 then 'in' when 3 then '1 < 2'
     when 4 then '€€' else 'plain text' end as text from pages)

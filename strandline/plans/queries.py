@@ -14,7 +14,7 @@ from strandline.functions import urls as U
 from strandline.operators import canonical, graph, quality, rank, report, scope
 from strandline.plans.archive_build import Recipe, build_archive
 from strandline.plans.archive_report import host_report
-from strandline.session import scratch
+from strandline.session import scratch, written
 from strandline.sources import seeds as sources
 from strandline.sources import sinks, warc
 from strandline.streaming import live
@@ -26,6 +26,7 @@ EXCLUDE = (r"\?utm_", r"/96[0-9]")
 BLOCK = (scope.BlockRule(r"//blog\."), scope.BlockRule(r"/fr/", r"(?i)nicht"))
 SIZE_LIMIT = 5_000_000
 TIME_LIMIT = 300_000
+PREFIX = "net,example,"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -54,24 +55,30 @@ def _(spark, d):
     recipe = Recipe(
         output=scratch(spark, "built"), scope_type="host", exclude=EXCLUDE, page_limit=100, size_soft_limit=SIZE_LIMIT // 10, buckets=8
     )
-    captures = table(spark, d, "captures").select("capture_id", "ts", "url", "status", "bytes", "digest")
+    pages = table(spark, d, "pages").select("page_id", F.col("html").alias("body"))
+    captures = table(spark, d, "captures").select("capture_id", "page_id", "ts", "url", "status", "bytes", "digest").join(pages, "page_id")
+    captures = written(captures, "captures")  # with bodies, as a crawl leaves them
     built = build_archive(captures, table(spark, d, "seeds"), recipe, table(spark, d, "blocklist"))
     kept = spark.read.parquet(recipe.output).select("capture_id", "url", "bytes")
     return kept.withColumn("partial", F.lit(built.partial))
 
 
+def _url_edges(spark, d) -> DataFrame:
+    pages = table(spark, d, "pages")
+    links = table(spark, d, "edges").select(F.col("src").alias("page_id"), "dst").join(pages.select("page_id", F.col("url").alias("src")), "page_id")
+    return links.join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+
+
 @query("archive_build_full")
 def _(spark, d):
     recipe = Recipe(
         output=scratch(spark, "built"), scope_type="host", exclude=EXCLUDE, depth=3, sitemap_from="2021", sitemap_to="2022-12-31",
-        max_retries=1, invalid_status_fails=True, size_soft_limit=SIZE_LIMIT, buckets=8,
+        max_retries=1, invalid_status_fails=True, size_soft_limit=SIZE_LIMIT, buckets=8, rollover_size=SIZE_LIMIT // 50,
     )
-    pages = table(spark, d, "pages")
-    links = table(spark, d, "edges").select(F.col("src").alias("page_id"), "dst").join(pages.select("page_id", F.col("url").alias("src")), "page_id")
-    links = links.join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-    captures = table(spark, d, "captures").select("capture_id", "ts", "url", "status", "bytes", "digest", "attempt")
-    sitemap = table(spark, d, "sitemap").filter("loc like '%/en/1%'")
-    built = build_archive(captures, table(spark, d, "seeds"), recipe, table(spark, d, "blocklist"), links, sitemap)
+    captures = table(spark, d, "captures").select("capture_id", "ts", "status", "bytes", "digest", "attempt")
+    captures = captures.join(table(spark, d, "variants"), "capture_id").withColumn("redirect_to", F.lit(None).cast("string"))
+    captures = written(captures.unionByName(table(spark, d, "hops")), "captures")
+    built = build_archive(captures, table(spark, d, "seeds"), recipe, table(spark, d, "blocklist"), _url_edges(spark, d), table(spark, d, "sitemap"))
     kept = spark.read.parquet(recipe.output).select("capture_id", "url", "bytes")
     return kept.crossJoin(F.broadcast(built.progress.select("done", "total", "partial")))
 
@@ -141,7 +148,7 @@ def _(spark, d):
 
 @query("S4_sitemap_seeds")
 def _(spark, d):
-    return sources.with_sitemap(table(spark, d, "seeds"), table(spark, d, "sitemap"))
+    return sources.with_sitemap(table(spark, d, "seeds"), table(spark, d, "part_sitemap"))
 
 
 @query("S5_filter_logs")
@@ -173,6 +180,35 @@ def _(spark, d):
     return sinks.rollover(thin, 1_000_000).select("capture_id", "shard")
 
 
+@query("S7_lookup")
+def _(spark, d):
+    path = scratch(spark, "index")
+    sinks.write_index(table(spark, d, "captures"), path)
+    return sinks.lookup(spark, path, PREFIX).drop("ts")
+
+
+@query("S7_nearest")
+def _(spark, d):
+    path = scratch(spark, "index")
+    sinks.write_index(table(spark, d, "captures"), path)
+    found = sinks.nearest(spark.read.parquet(path), table(spark, d, "asked"))
+    return found.select("page_id", "url", "nearest_id", F.unix_seconds("nearest_ts").alias("nearest"))
+
+
+@query("S8_rollover_greedy")
+def _(spark, d):
+    thin = table(spark, d, "captures").select("capture_id", "ts", "bytes")
+    return sinks.rollover_greedy(thin, 1_000_000).select("capture_id", "shard")
+
+
+@query("S9_compact_files")
+def _(spark, d):
+    many, few = scratch(spark, "many"), scratch(spark, "few")
+    table(spark, d, "captures").select("capture_id", "collection", "bytes").repartition(40, "capture_id").write.parquet(many)
+    sinks.compact_files(spark, [many], few, 1 << 20, {"operator": "nightly"})
+    return spark.read.parquet(few).drop("provenance")
+
+
 @query("S9_compact")
 def _(spark, d):
     thin = table(spark, d, "captures").select("capture_id", "ts", "collection", "bytes")
@@ -370,6 +406,12 @@ def _(spark, d):
     return _reached(spark, d, "edges").drop("extra")
 
 
+@query("G2_reach_redirected")
+def _(spark, d):
+    moves = graph.redirect_map(table(spark, d, "hops"))
+    return graph.reach_redirected(table(spark, d, "seeds"), _url_edges(spark, d), moves, depth=4).drop("extra")
+
+
 @query("G3_extra_hops")
 def _(spark, d):
     return _reached(spark, d, "scoped_edges", depth=6, extra_hops=2)
@@ -527,7 +569,7 @@ def _(spark, d):
     pages, texts = table(spark, d, "pages"), sinks.page_text(table(spark, d, "odd_pages"))
     spelled = pages.select(F.concat(F.lit("HTTPS"), F.regexp_replace("url", "^[a-z]+", "")).alias("url"), "html")
     both = spelled.unionByName(pages.select(F.regexp_replace("url", "^[a-z]+", "https").alias("url"), F.reverse("html").alias("html")))
-    crawl = both.select("url", F.substring("html", 1, 40).alias("text"))
+    crawl = both.select("url", F.col("html").alias("text"))
     return quality.qa_compare(crawl, texts.select(F.regexp_replace("url", "^[a-z]+", "https").alias("url"), "text"))
 
 

@@ -25,6 +25,7 @@ def get_spark(app: str = "strandline", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+        "spark.sql.python.filterPushdown.enabled": "true",
         **conf,
     }
     for key, value in settings.items():

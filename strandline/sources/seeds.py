@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from fnmatch import fnmatchcase
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import urls as U
 from strandline.operators.canonical import clean_urls
 from strandline.operators.ordered import prefix_sum
-from strandline.operators.skew import lookup_join
 
 # Line ends that the text source does not know.
 MORE_LINE_ENDS = r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -108,45 +109,56 @@ def filter_logs(
     return df.filter(F.col("context").isNull() | ~F.col("context").isin(drop)) if drop else df
 
 
-def run_order(files: DataFrame) -> DataFrame:
-    """(collection, run_no) from one (path, modificationTime) row per file."""
-    name = F.regexp_extract("path", r"/collections/([^/]+)/archive/", 1)
-    dirs = files.groupBy(name.alias("collection")).agg(F.max("modificationTime").alias("changed"))
-    nth = F.row_number().over(Window.orderBy("changed", "collection"))  # one row per run
-    return dirs.select("collection", nth.alias("run_no"))
-
-
-def run_folders(spark: SparkSession, root: str, pattern: str) -> list[str]:
-    """Every collections/``pattern``/archive folder below ``root``, at any depth; an
-    archive is not searched further."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+def run_folders(spark: SparkSession, root: str, collection: str | None = None) -> list[tuple[str, str, int]]:
+    """(path, collection, time of change in ms) of archive folders, oldest first.  Of a
+    named collection exactly ``root``/collections/name/archive; else every
+    collections/crawl-*/archive below ``root``, at any depth, though an archive is not
+    searched further.  Folders are listed side by side, a level at a time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(root)
     system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    left = [(s.getPath(), 0) for s in system.globStatus(top) or () if s.isDirectory()]
     found = []
-    while left:
-        at, depth = left.pop()
-        between, run, name = ["", "", *at.toUri().getPath().split("/")][-3:]
-        if depth >= 3 and name == "archive" and between == "collections" and fnmatchcase(run, pattern):
-            found.append(at.toString())
-        else:
-            left += [(s.getPath(), depth + 1) for s in system.listStatus(at) if s.isDirectory()]
-    return sorted(found)
+    if collection is not None:
+        named = path(path(path(top, "collections"), collection), "archive")
+        if system.exists(named) and system.getFileStatus(named).isDirectory():
+            found.append((named.toString(), collection, system.getFileStatus(named).getModificationTime()))
+        return found
+
+    def folders(at: object) -> list:
+        return [s for s in system.listStatus(at) if s.isDirectory()]
+
+    level = [(top, ())] if system.exists(top) and system.getFileStatus(top).isDirectory() else []
+    with ThreadPoolExecutor(16) as pool:
+        while level:
+            below = []
+            for (_, names), inside in zip(level, pool.map(lambda x: folders(x[0]), level)):
+                for status in inside:
+                    under = (*names[-2:], status.getPath().getName())
+                    if len(under) == 3 and under[0] == "collections" and under[1].startswith("crawl-") and under[2] == "archive":
+                        found.append((status.getPath().toString(), under[1], status.getModificationTime()))
+                    else:
+                        below.append((status.getPath(), under))
+            level = below
+    return sorted(found, key=lambda f: (f[2], f[0]))
 
 
 def union_collections(
     spark: SparkSession, root: str, collection: str | None = None, format: str = "parquet"
 ) -> DataFrame:
     """The captures of one collection, or of every collections/``crawl-*`` run
-    below ``root``, at any depth, in order of last change, with ``collection`` and
-    ``run_no``; runs of one name are one.
+    below ``root``, at any depth, with ``collection`` and ``run_no``: 1 for the archive
+    folder changed first.  Runs of one name in two places are two runs.
 
-    The order comes from the file listing alone: no file is read for it.
-    ``format`` may be ``warc`` once that source is registered."""
-    folders = run_folders(spark, root, collection or "crawl-*")
+    A name is taken as it is, whatever characters it has.  Order and names come from
+    the folders alone: no file is read for them.  ``format`` may be ``warc`` once that
+    source is registered."""
+    folders = run_folders(spark, root, collection)
     if not folders:
         raise NoRunsError(f"no archive folder at {root}/**/collections/{collection or 'crawl-*'}/archive")
-    files = spark.read.format("binaryFile").load(folders).select("path", "modificationTime")
-    df = spark.read.format(format).load(folders if format != "warc" else ",".join(folders))
-    source = F.col("_metadata.file_path") if format != "warc" else F.col("file")
-    name = F.regexp_extract(source, r"/collections/([^/]+)/archive/", 1)
-    return lookup_join(df.withColumn("collection", name), run_order(files), ["collection"])
+
+    def load(folder: str) -> DataFrame:
+        literal = re.sub(r"([\\{}\[\]*?])", r"\\\1", folder) if format != "warc" else folder
+        return spark.read.format(format).load(literal)
+
+    runs = [load(path).withColumns({"collection": F.lit(name), "run_no": F.lit(number)}) for number, (path, name, _) in enumerate(folders, 1)]
+    return reduce(DataFrame.unionByName, runs)

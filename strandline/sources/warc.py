@@ -4,9 +4,14 @@
     spark.read.format("warc").load("a.warc.gz,b.tar")
 
 Each task streams its files record by record and hands Arrow batches to Spark;
-only one record and one batch are in memory.  Compressed members cannot be
-split, so a file is the unit of work: keep files at the usual rollover size.
-Small files are read several to a task.
+only one record and one batch are in memory.  Small files are read several to a task.
+A large file is read by many tasks where its member offset index says at which bytes
+records begin; the sink writes one beside each file, and ``write_offsets`` makes them
+for others in one pass.  A file without it, or a tar, is one task.
+
+Filters on the kind of record and on the URL (equal, one of, beginning with) are
+taken over by the reader where ``spark.sql.python.filterPushdown.enabled`` is set:
+other records are skipped after their header.
 """
 
 from __future__ import annotations
@@ -19,20 +24,28 @@ import re
 import sys
 import tarfile
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import pairwise
 from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    In,
     InputPartition,
+    IsNotNull,
+    StringStartsWith,
     WriterCommitMessage,
 )
 
@@ -66,6 +79,7 @@ ARROW = pa.schema(
 BATCH_BYTES = 16 << 20
 TASK_BYTES = 128 << 20
 ROLLOVER_BYTES = 1_000_000_000
+OFFSETS = ".offsets"  # what a file's member offset index adds to its name
 # Kinds of record whose block is an HTTP message.
 HTTP_KINDS = ("request", "response", "revisit")
 
@@ -184,11 +198,14 @@ def _inflated(body: bytes, bits: int) -> bytes:
     return b"".join(out)
 
 
-def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
+def records(
+    stream, file: str, decode: bool = False, first: int = 0, wanted: Callable[[str | None, str | None], bool] | None = None
+) -> Iterator[dict]:
     """The records of one WARC stream, as rows of SCHEMA.  A payload digest that
     the header lacks is taken of the body; a record without id is named by its file
-    and number."""
-    number = -1
+    and number.  ``first`` is the number of the first record; records whose kind and
+    URL are not ``wanted`` are passed over."""
+    number = first - 1
     while line := stream.readline():
         if not line.strip():
             continue
@@ -200,6 +217,9 @@ def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
         block = stream.read(size)
         if len(block) < size:
             raise ValueError(f"{file}: the last record is cut short")
+        url = head.get("warc-target-uri", "").strip("<>") or None
+        if wanted is not None and not wanted(head.get("warc-type"), url):
+            continue
         status, fields, body = None, {}, block
         is_http = head.get("content-type", "").startswith("application/http")
         if is_http:
@@ -219,7 +239,7 @@ def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
             "record_id": record_id,
             "rec_type": head.get("warc-type"),
             "ts": _timestamp(head.get("warc-date")),
-            "url": head.get("warc-target-uri", "").strip("<>") or None,
+            "url": url,
             "status": status,
             "mime": mime.split(";")[0].strip().lower() if mime else None,
             "bytes": size,
@@ -235,9 +255,31 @@ def records(stream, file: str, decode: bool = False) -> Iterator[dict]:
         }
 
 
-def open_streams(path: str) -> Iterator[tuple[str, object]]:
-    """(name, byte stream) of a file, or of each WARC inside a tar."""
+class Span(io.RawIOBase):
+    """The bytes of a file from one offset up to another."""
+
+    def __init__(self, raw, start: int, end: int):
+        self.raw, self.left = raw, end - start
+        raw.seek(start)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.raw.read(min(len(into), self.left))
+        into[: len(data)] = data
+        self.left -= len(data)
+        return len(data)
+
+
+def open_streams(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[str, object]]:
+    """(name, byte stream) of a file or a part of it, or of each WARC inside a tar."""
     system, inner = _filesystem(path)
+    if end is not None:
+        with system.open_input_file(inner) as raw:
+            part = io.BufferedReader(Span(raw, start, end), 1 << 20)
+            yield path, gzip.open(part) if path.endswith(".gz") else part
+        return
     with system.open_input_stream(inner, compression=None) as raw:
         if path.endswith((".tar", ".tar.gz")):
             with tarfile.open(fileobj=raw, mode="r|*") as tar:
@@ -251,9 +293,119 @@ def open_streams(path: str) -> Iterator[tuple[str, object]]:
             yield path, io.BufferedReader(raw)
 
 
+def read_offsets(path: str) -> array | None:
+    """Where the records of a file begin, and where the last one ends; None without an
+    index."""
+    from pyarrow import fs
+
+    system, inner = _filesystem(path + OFFSETS)
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        return None
+    found = array("q")
+    with system.open_input_stream(inner, compression=None) as stream:
+        found.frombytes(stream.read())
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found
+
+
+def _store_offsets(system, inner: str, offsets: array) -> None:
+    if sys.byteorder == "big":
+        offsets = array("q", offsets)
+        offsets.byteswap()
+    with system.open_output_stream(inner, compression=None) as stream:
+        stream.write(offsets.tobytes())
+
+
+def member_offsets(path: str, step: int = 1 << 20) -> array | None:
+    """The offsets of a file's records, found by one pass: of gzip members, or by the
+    lengths that plain records state.  None if a member is not one whole record."""
+    system, inner = _filesystem(path)
+    with system.open_input_stream(inner, compression=None) as raw:
+        return _gzip_offsets(raw, step) if path.endswith(".gz") else _plain_offsets(raw)
+
+
+def _gzip_offsets(raw, step: int) -> array | None:
+    out, at, data = array("q"), 0, raw.read(step)
+    while data:
+        coder, head, size = zlib.decompressobj(31), b"", 0
+        out.append(at)
+        while not coder.eof:
+            if not data:
+                raise ValueError("the last member is cut short")
+            shown = coder.decompress(data, step)
+            head, size = (head + shown)[: max(len(head), 1 << 16)], size + len(shown)
+            used = len(data) - len(coder.unconsumed_tail) - len(coder.unused_data)
+            at += used
+            data = coder.unconsumed_tail or coder.unused_data or (b"" if coder.eof else raw.read(step))
+        lines, mark, _ = head.partition(b"\r\n\r\n")
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", lines)
+        if not head.startswith(b"WARC/") or not mark or not length or not 0 <= size - len(lines) - 4 - int(length[1]) <= 4:
+            return None
+        data = data or raw.read(step)
+    out.append(at)
+    return out
+
+
+def _plain_offsets(raw) -> array | None:
+    stream, out, at = io.BufferedReader(raw), array("q"), 0
+    while line := stream.readline():
+        if line.strip():
+            if not line.startswith(b"WARC/"):
+                return None
+            out.append(at)
+            size = 0
+            while line.strip():
+                at += len(line)
+                if line.lower().startswith(b"content-length:"):
+                    size = int(line.split(b":")[1])
+                line = stream.readline()
+            at += len(line) + size
+            while size:
+                part = stream.read(min(size, 1 << 20))
+                if not part:
+                    return None
+                size -= len(part)
+        else:
+            at += len(line)
+    out.append(at)
+    return out
+
+
+def write_offsets(spark: SparkSession, paths: str) -> DataFrame:
+    """Make the member offset index of files that have none, a task a file: (file,
+    records).  A file whose members are not single records gets none, and null; tars
+    have none either."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    files = [(path,) for path, _ in list_files(paths) if not path.endswith((".tar", ".tar.gz"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                offsets = read_offsets(path)
+                if offsets is None:
+                    offsets = member_offsets(path)
+                    if offsets is not None:
+                        system, inner = _filesystem(path + OFFSETS)
+                        _store_offsets(system, inner + ".tmp", offsets)
+                        system.move(inner + ".tmp", inner)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if offsets is None else len(offsets) - 1], pa.int64())], ["file", "records"])
+
+    table = spark.createDataFrame(files, "file string").repartition(max(1, len(files)), "file")
+    done = table.mapInArrow(run, "file string, records bigint").toArrow()
+    return spark.createDataFrame(done)
+
+
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Files, each with its first byte, the byte after its last, and the number of
+    its first record; no bytes mean the whole file."""
+
+    parts: list[tuple[str, int, int | None, int]]
+
+    @property
+    def paths(self) -> list[str]:
+        return [path for path, *_ in self.parts]
 
 
 class WarcReader(DataSourceReader):
@@ -263,25 +415,57 @@ class WarcReader(DataSourceReader):
         self.body = options.get("body", "true").lower() == "true"
         self.types = {t.strip() for t in options.get("types", "").split(",") if t.strip()}
         self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
+        self.pushed: list[tuple[str, str, tuple[str, ...]]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over tests of the kind and the URL; gives back all others."""
+        for test in filters:
+            column = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
+            if column not in ("rec_type", "url"):
+                yield test
+            elif isinstance(test, EqualTo) and isinstance(test.value, str):
+                self.pushed.append((column, "in", (test.value,)))
+            elif isinstance(test, In) and all(isinstance(v, str) for v in test.value):
+                self.pushed.append((column, "in", tuple(test.value)))
+            elif isinstance(test, StringStartsWith):
+                self.pushed.append((column, "starts", (test.value,)))
+            elif isinstance(test, IsNotNull):
+                self.pushed.append((column, "known", ()))
+            else:
+                yield test
+
+    def wanted(self, rec_type: str | None, url: str | None) -> bool:
+        if self.types and rec_type not in self.types:
+            return False
+        for column, test, values in self.pushed:
+            value = rec_type if column == "rec_type" else url
+            if value is None or test == "in" and value not in values or test == "starts" and not value.startswith(values[0]):
+                return False
+        return True
 
     def partitions(self) -> list[Files]:
-        """Large files alone, small ones packed up to the task size."""
+        """Large files by themselves, in ranges of whole records where an index says
+        where they begin; small ones packed up to the task size."""
         tasks, current, filled = [], [], 0
         for path, size in sorted(self.files, key=lambda f: (-f[1], f[0])):
+            offsets = read_offsets(path) if size > self.task_bytes else None
+            if offsets is not None and len(offsets) > 2:
+                count = -(-size // self.task_bytes)
+                edges = sorted({bisect_left(offsets, size * k // count) for k in range(count)} | {0, len(offsets) - 1})
+                tasks += [Files([(path, offsets[a], offsets[b], a)]) for a, b in pairwise(edges)]
+                continue
             if current and filled + size > self.task_bytes:
                 tasks.append(Files(current))
                 current, filled = [], 0
-            current.append(path)
+            current.append((path, 0, None, 0))
             filled += size
         return tasks + [Files(current)] if current else tasks
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for path in partition.paths:
-            for name, stream in open_streams(path):
-                for row in records(stream, name, self.decode):
-                    if self.types and row["rec_type"] not in self.types:
-                        continue
+        for path, start, end, first in partition.parts:
+            for name, stream in open_streams(path, start, end):
+                for row in records(stream, name, self.decode, first, self.wanted):
                     if not self.body:
                         row["body"] = None
                     rows.append(row)
@@ -360,22 +544,31 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = _filesystem(self.path)
         files: list[tuple[str, str]] = []
-        out, size = None, 0
+        out, size, offsets = None, 0, array("q")
+
+        def done() -> None:
+            out.close()
+            last = files[-1][1]
+            files.append((last + OFFSETS + ".tmp", last + OFFSETS))
+            _store_offsets(system, files[-1][0], offsets + array("q", [size]))
+
         try:
             for batch in iterator:
                 for at in range(batch.num_rows):
                     if out is None or size > self.limit:
                         if out:
-                            out.close()
+                            done()
                         final = f"{folder}/part-{uuid4().hex}.warc.gz"
                         files.append((final + ".tmp", final))
-                        out, size = system.open_output_stream(final + ".tmp", compression=None), 0
-                        out.write(self._warcinfo())
+                        out, info = system.open_output_stream(final + ".tmp", compression=None), self._warcinfo()
+                        out.write(info)
+                        size, offsets = len(info), array("q", [0])
                     data = self._record(batch.slice(at, 1).to_pylist(maps_as_pydicts="lossy")[0])
                     out.write(data)
+                    offsets.append(size)
                     size += len(data)
             if out:
-                out.close()
+                done()
         except BaseException:
             if out:
                 out.close()
