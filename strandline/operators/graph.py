@@ -70,13 +70,13 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int = -1, extra_hops: int =
     steps = links.select("src", "dst", cost.alias("cost")).filter(F.col("cost") <= extra_hops)
     rows, hot = key_profile(steps, ["src"])
     buckets = min(MAX_BUCKETS, 1 + rows // ROWS_PER_BUCKET)
-    graph = BucketedTable(spark, "links", ("src", "salt"), buckets).add(salted(steps, ["src"], hot, ["dst"]))
+    graph = BucketedTable(spark, "links", ("src", "salt"), buckets)
     states = BucketedTable(spark, "reached", ("url",), buckets)
     start = seeds.select("url").filter(F.col("url").isNotNull()).distinct()
-    states.add(start.select("url", F.lit(0).alias("depth"), F.lit(0).alias("extra")))
-
     level = 0
     try:
+        graph.add(salted(steps, ["src"], hot, ["dst"]))
+        states.add(start.select("url", F.lit(0).alias("depth"), F.lit(0).alias("extra")))
         while level != depth:
             frontier = states.read().filter(F.col("depth") == level).select(F.col("url").alias("src"), "extra")
             if frontier.isEmpty():

@@ -71,9 +71,10 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` stored as parquet and read back: cuts lineage, fixes the rows."""
-    path = scratch(df.sparkSession, label)
+def written(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+    """``df`` stored as parquet and read back: cuts lineage, fixes the rows.  What
+    ``outlives`` the scope it is made in is left by it."""
+    path = f"{work_dir(df.sparkSession)}/{label}-{uuid4().hex}" if outlives else scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
