@@ -90,14 +90,11 @@ def dedup_groups(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but the kept row of each group of equal texts, in
-    the columns of ``docs``.  Rows repeated whole count as copies."""
-    kept = dedup_groups(docs, id_col, text_col).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("dedup_id"), F.col("h").alias("dedup_h"), F.col("chars").alias("dedup_chars"))
+    the columns of ``docs``, carried along whatever their names.  Rows repeated whole
+    count as copies."""
+    key = lambda i, h, n: F.struct(i.alias("id"), h.alias("h"), n.alias("chars")).alias("key")
+    kept = dedup_groups(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id"), F.col("h"), F.col("chars")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"dedup_h": md5_binary(normalised(text)), "dedup_chars": F.char_length(text)})
-    on = (
-        rows["dedup_h"].eqNullSafe(kept["dedup_h"])
-        & (rows["dedup_chars"] == kept["dedup_chars"])
-        & rows[id_col].eqNullSafe(kept["dedup_id"])
-    )
-    return rows.join(kept, on, "left_semi").dropDuplicates(["dedup_h", "dedup_chars", id_col]).select(*docs.columns)
+    own = key(F.col(id_col), md5_binary(normalised(text)), F.char_length(text))
+    rows = docs.select(own, F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

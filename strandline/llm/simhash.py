@@ -239,13 +239,18 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(key) of the row of each component with the smallest id (null last): its id and
+    the xxhash64 of its text, as a struct, so that null ids are equal."""
+    best = _grouped(docs, id_col, text_col, words).select(F.col("best.doc_id").alias("id"), F.col("best.tag").alias("tag"))
+    return written(best.distinct().select(F.struct("id", "tag").alias("key")), "near-representatives")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id (null
-    last); of rows repeated whole, one."""
-    best = F.col("best")
-    found = _grouped(docs, id_col, text_col, words)
-    found = found.filter(F.col("doc_id").eqNullSafe(best["doc_id"]) & (F.col("tag") == best["tag"]))
-    stays = found.select(F.col("doc_id").alias("near_id"), F.col("tag").alias("near_tag"))
-    rows = docs.withColumn("near_row_tag", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = rows[id_col].eqNullSafe(stays["near_id"]) & (rows["near_row_tag"] == stays["near_tag"])
-    return rows.join(stays, on, "left_semi").dropDuplicates([id_col, "near_row_tag"]).select(*docs.columns)
+    last); of rows repeated whole, one.  Other columns are carried along whatever
+    their names."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    kept = lookup_join(rows, representatives(docs, id_col, text_col, words), ["key"], "left_semi", hot=[])
+    return kept.dropDuplicates(["key"]).select("row.*")

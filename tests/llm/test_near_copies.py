@@ -31,25 +31,72 @@ def planted(rng, line="", groups=12, copies=3):
     return texts
 
 
-@pytest.mark.parametrize(("line", "small", "copies"), [("", 16, 3), (" one very common line that all of them hold at their end", 2, 3), ("", 2, 9)])
-def test_none_alike_stay_and_all_others_do(spark, monkeypatch, line, small, copies):
-    monkeypatch.setattr(near_copies, "SMALL", small)
+def kept_by_loops(texts, ids):
+    """Of each group that alike texts join, the smallest id."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(ids[i])
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize(
+    ("line", "posting", "first", "copies"), [("", 2_048, 4, 3), (" one very common line that all of them hold at their end", 2, 1, 3), ("", 3, 1, 9), ("", 16, 100, 9)]
+)
+def test_exact_ids_whatever_the_posting(spark, monkeypatch, line, posting, first, copies):
+    monkeypatch.setattr(near_copies, "POSTING", posting)
+    monkeypatch.setattr(near_copies, "FIRST", first)
     texts = planted(random.Random(7), line, copies=copies) + ["One two", "one  TWO", "a b", "", None]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    ids = random.Random(1).sample(range(1_000), len(texts))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], SCHEMA).repartition(4)
     kept = near_copies.drop_similar(docs)
-    assert kept.columns == docs.columns
-    kept = {r.doc_id for r in kept.collect()}
-    like = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
-    assert len(like) > 10
-    assert not [p for p in like if set(p) <= kept]
-    linked = {i for p in like for i in p}
-    assert set(range(len(texts))) - linked <= kept
-    group = {i: {i} for i in linked}
-    for a, b in like:
-        group[a] |= group[b]
-        for x in group[a]:
-            group[x] = group[a]
-    assert all(g & kept for g in group.values())
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == kept_by_loops(texts, ids) and {r.near_row_tag for r in rows} == {"x"}
+
+
+@pytest.mark.parametrize("posting", [2, 16, 1_000])
+def test_chain_keeps_one(spark, monkeypatch, posting):
+    """Texts of 100 words, each shifted by 5 from the one before: all one group."""
+    monkeypatch.setattr(near_copies, "POSTING", posting)
+    words = ["w%d" % i for i in range(300)]
+    texts = [" ".join(words[5 * i : 5 * i + 100]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    assert [r.doc_id for r in near_copies.drop_similar(docs).collect()] == [0]
+
+
+def test_repeats_null_ids_and_clashing_names(spark):
+    schema = "doc_id bigint, text string, key string, tag binary, row int, node string, size string"
+    text = " ".join("w%d" % i for i in range(50))
+    rows = [(1, text, "a", b"b", 3, "n", None), (1, text, "a", b"b", 3, "n", None), (None, text + " end", "c", None, 4, "m", "s"), (None, "alone", "d", None, 5, None, "t"), (2, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = near_copies.drop_similar(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(repr, kept.collect())) == sorted({repr(r) for r in docs.collect() if r.text != text + " end"})
+
+
+def test_bitmaps_rule_out_no_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(1, 400))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = [base]
+        for _ in range(8):
+            other = np.unique(np.concatenate([rng.choice(base, max(1, int(len(base) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)]))
+            sets.append(other)
+        sets.sort(key=len)
+        sizes = np.array([len(s) for s in sets])
+        a, b = near_copies.near_in(sizes, [near_copies.parity(s) for s in sets], np.ones(len(sets), bool))
+        found = set(zip(a.tolist(), b.tolist()))
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                if len(np.intersect1d(sets[i], sets[j])) * 180 >= 80 * (len(sets[i]) + len(sets[j])):
+                    assert (i, j) in found
 
 
 def test_first_shingles_meet_in_any_order():
