@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: by fingerprint, which thins out large
-    groups, then by shingles, which finds all that are left."""
-    return near_copies.drop_similar(simhash.drop_near_copies(docs))
+    groups, then by shingles, which finds all that are left.  No documents give none."""
+    return near_copies.drop_similar(docs, among=simhash.representatives(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
