@@ -8,7 +8,8 @@ worked out when first met and then looked up.  A token is emitted as soon as all
 open paths agree on it, which is after at most the length of the longest token.
 
 Text is cut by the vocabulary's pattern before; whole stretches between single
-spaces are looked up in a memo in front of the machine.
+spaces are looked up in a memo in front of the machine, and of a stretch that is not
+there its single matches.
 """
 
 from __future__ import annotations
@@ -148,11 +149,13 @@ class Transducer:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int | None = None):
+        self.most = MEMO if memo is None else memo
         self.machine = Transducer(ranks)
         self.words = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}  # () stands for a stretch that cannot be looked up
         self.older: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}  # matches that begin with no space
         self.names = {rank: str(rank) for rank in self.machine.tokens}
 
     def pieces(self, text: str) -> list[int]:
@@ -161,14 +164,27 @@ class Codec:
             out += self.machine.encode_word(word.encode())
         return out
 
+    def match(self, word: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern.  With a space before it, it is a stretch."""
+        if word[0] == " " and len(word) > 1 and not word[1].isspace():
+            found = self.memo.get(word[1:])
+            return found or self.learn(word[1:])
+        found = self.bare.get(word)
+        if found is None:
+            if len(self.bare) >= self.most // 4:
+                self.bare.clear()
+            found = self.bare[word] = tuple(self.machine.encode_word(word.encode()))
+        return found
+
     def learn(self, stretch: str) -> tuple[int, ...]:
         """Ids of a space and the stretch after it; none where white space next to
         that space may change how the pattern cuts."""
         found = self.older.get(stretch)
         if found is None:
             plain = stretch and not (stretch[0].isspace() or stretch[-1].isspace())
-            found = tuple(self.pieces(" " + stretch)) if plain else ()
-        if len(self.memo) >= MEMO:
+            words = self.words(" " + stretch) if plain else []
+            found = tuple(chain.from_iterable(map(self.match, words))) if len(words) > 1 else tuple(self.machine.encode_word(words[0].encode())) if words else ()
+        if len(self.memo) >= self.most:
             self.memo, self.older = {}, self.memo
         self.memo[stretch] = found
         return found
@@ -186,13 +202,18 @@ class Codec:
             return self.pieces(text)
         return [*self.pieces(first), *chain.from_iterable(parts)]
 
+    def spelled(self, ids: Iterable[int]) -> Iterator[bytes]:
+        """The bytes of the ids, in runs."""
+        tokens, ids = self.machine.tokens.__getitem__, list(ids)
+        for at in range(0, len(ids), DECODE_TOKENS):
+            yield b"".join(map(tokens, ids[at : at + DECODE_TOKENS]))
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The text in runs, by an incremental UTF-8 state machine: a character cut
         between two runs is held back until its last byte is there."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        tokens, ids = self.machine.tokens, list(ids)
-        for at in range(0, len(ids), DECODE_TOKENS):
-            yield state.decode(b"".join([tokens[i] for i in ids[at : at + DECODE_TOKENS]]))
+        for run in self.spelled(ids):
+            yield state.decode(run)
         yield state.decode(b"", final=True)
 
 
@@ -202,28 +223,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int | None = None) -> Codec:
     """One per worker process: the vocabulary is installed on every machine."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, memo)
 
 
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False, memo: int = MEMO) -> DataFrame:
     """The ``keep`` columns of every row and n_tokens, ids_sha256 (of the decimal
     ids joined by single spaces), decoded_sha256 (of the bytes decoded from those
     ids), and with ``ids`` the ids themselves as array<int>.
 
     Null and empty texts have no ids.  One scan, no shuffle; memory is bounded by
-    the longest text and the bounds above.  No rows give no rows.
+    the longest text, ``memo`` (stretches a worker keeps, some 250 bytes each, twice)
+    and the bounds above.  No rows give no rows.
     """
     schema = docs.select(*keep).schema
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("bpe_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, memo)
         names = own.names
         for batch in small(batches):
             counts, hashes, decoded, lists = [], [], [], []
@@ -232,8 +254,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
                 counts.append(len(found))
                 hashes.append(hashlib.sha256(" ".join([names[i] for i in found]).encode()).hexdigest())
                 back = hashlib.sha256()
-                for part in own.decode(found):
-                    back.update(part.encode())
+                for part in own.spelled(found):
+                    back.update(part)
                 decoded.append(back.hexdigest())
                 if ids:
                     lists.append(array("i", found))

@@ -55,7 +55,7 @@ def _(spark, d):
 @query("op5_bpe_codec")
 def _(spark, d):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_transducer.encode_decode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe_transducer.encode_decode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN, memo=400_000)
 
 
 @query("op6_mix_sources")

@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from strandline.session import scratch
 BLOCK = 256
 PERCENT = 90
 SEGMENT = 1 << 16  # a segment ends with the document that reaches so many ids
-MEMO = 400_000  # words kept; then the next generation starts
+MEMO = 900_000  # words kept; then all are learned anew
 #: A run of ASCII punctuation that ends a word; the vocabulary cuts before it.
 TAIL = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~]+(?:[\t-\r ]|$))")
 MARKS = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+036F
@@ -146,56 +147,86 @@ class Encoder:
     white space are encoded one by one, each once while it stays in the memo.  It
     also lowers all letters and cuts a word from the punctuation after it; both are
     done before, so that fewer words differ (letters not where a mark may follow,
-    since some letters compose with a mark in one case only)."""
+    since some letters compose with a mark in one case only).  A text that spells a
+    special token, which the library then takes for one, is encoded whole.
+
+    A word's place in the memo says where its ids are in one array, so the ids of many
+    texts are taken in one go."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added]
+        self.tokenizer.encode_special_tokens = True  # lowered words may spell one
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)  # of tokens that end a word
         self.ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.starts, self.sizes, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.memo)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while at + len(words) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at : at + len(words)] = sizes
+        self.memo.update(zip(words, range(at, at + len(words))))
+        self.used += len(ids)
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Make sure that the memo holds these words.  Words of letters only have
         one token that ends a word each, so many are encoded in one text."""
         plain, other = [], []
         for word in words:
-            known = self.older.get(word)
-            if known is not None:
-                self.memo[word] = known
-            else:
-                (plain if word.decode().isalpha() else other).append(word)
+            (plain if word.decode().isalpha() else other).append(word)
         (whole,) = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
         ids = np.array(whole.ids, "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(plain):
-            whole, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends.tolist()):
-                self.memo[word] = whole[start:end]
-                start = end
+            self.keep(plain, ids, np.diff(ends, prepend=0))
         else:
             other += plain
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        for word, encoding in zip(other, found):
-            self.memo[word] = np.array(encoding.ids, "<u4").tobytes()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        self.keep(other, np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def whole(self, text: bytes) -> bytes:
+        """A text with special tokens, as the library encodes it."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32."""
         for at in range(0, len(texts), 64):
-            cut = [pieces(t) for t in texts[at : at + 64]]
-            found = [list(map(self.memo.get, words)) for words in cut]
-            short = [None in ids for ids in found]
-            if any(short):
+            some = texts[at : at + 64]
+            special = [any(s in t for s in self.special) for t in some]
+            cut = [[] if odd else pieces(t) for t, odd in zip(some, special)]
+            new = set().union(*cut).difference(self.memo)
+            if new:
                 if len(self.memo) >= MEMO:
-                    self.memo, self.older = {}, self.memo
-                self.learn({w for words, missing in zip(cut, short) if missing for w in words}.difference(self.memo))
-            for words, ids, missing in zip(cut, found, short):
-                yield b"".join(map(self.memo.__getitem__, words) if missing else ids)
+                    self.forget()
+                    new = set().union(*cut)
+                self.learn(new)
+            counts = [len(words) for words in cut]
+            place = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
+            sizes = self.sizes[place]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
+            edges = (4 * np.r_[0, ends][np.cumsum([0, *counts])]).tolist()
+            for text, odd, a, b in zip(some, special, edges[:-1], edges[1:]):
+                yield self.whole(text) if odd else ids[a:b]
 
 
 @lru_cache(maxsize=2)

@@ -17,7 +17,6 @@ SCHEMA = "doc_id bigint, text string, start string, tie string"
 @pytest.fixture(scope="module")
 def whole():
     found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,7 +45,7 @@ def test_words_one_by_one_are_whole_texts(whole, monkeypatch):
     rng = random.Random(2)
     pieces = [
         "a", "B", " ", "  ", "\n", "\t", "é", "1", "²", "'s", "ß", "ΑΣ", "中文", "🎉", "\x1c", "\x85", " ", "the", "́", "̸",
-        "İ", ".", "ǅ", "<|endoftext|>", "​", "　", "\x0b", "\x00",
+        "İ", ".", "ǅ", "<|endoftext|>", "<|ENDOFTEXT|>", "​", "　", "\x0b", "\x00",
     ]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(5_000)]
     monkeypatch.setattr(files, "MEMO", 50)
@@ -55,6 +54,14 @@ def test_words_one_by_one_are_whole_texts(whole, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == whole(text)
 
 
+def test_special_tokens_are_the_librarys(whole):
+    """Their strings are special tokens as written, and text with other letters."""
+    texts = ["hello <|endoftext|> x", "a <|startoftext|>b", "x<|endoftext|>y", "a <|ENDOFTEXT|> b", "A<|EndOfText|>B <|startoftext|", "<|endoftext|>", "plain |> text <|"]
+    for text, ids in zip(texts, files.Encoder(PATH).encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(text), text
+    assert whole(texts[0])[1] == 49407 and 49407 not in whole(texts[3])
+
+
 def test_files(spark, whole, monkeypatch, tmp_path):
     monkeypatch.setattr(files, "SEGMENT", 50)
     rng = random.Random(4)
