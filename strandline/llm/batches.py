@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
 ROWS = 512  # of which Python objects exist at a time
+#: How to forget what operators keep in a worker from one task to the next.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in slices, without copying.  Unused memory goes back to the
-    system at the end, since the worker lives on for other operators."""
+    system at the end, since the worker lives on for other operators; what others than
+    ``keeps`` have kept in it is forgotten at the start."""
+    others = [name for name in KEPT if name != keeps]
+    for name in others:
+        KEPT.pop(name)()
+    if others:
+        gc.collect()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

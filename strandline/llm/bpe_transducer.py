@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import KEPT, small
 
 MEMO = 200_000  # stretches kept; then the next generation starts
 STATES = 120_000  # states kept; others are worked out again whenever they are met
@@ -247,7 +247,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, memo)
         names = own.names
-        for batch in small(batches):
+        KEPT["bpe"] = codec.cache_clear
+        for batch in small(batches, keeps="bpe"):
             counts, hashes, decoded, lists = [], [], [], []
             for text in batch.column(len(keep)).to_pylist():
                 found = own.encode(text)

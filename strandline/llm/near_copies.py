@@ -88,7 +88,8 @@ def first_shingles(hashes: np.ndarray, common: np.ndarray, like: int = LIKE) ->
     """Those of which a similar text has at least one among its own."""
     size = len(hashes) - -(-like * len(hashes) // 100) + 1 if len(hashes) else 0
     if len(common):
-        last = np.isin(hashes, common)
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)  # common is sorted and long
+        last = common[at] == hashes
         hashes = np.concatenate([hashes[~last], hashes[last]])
     return hashes[:size]
 

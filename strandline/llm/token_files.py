@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import KEPT, small
 from strandline.session import scratch
 
 BLOCK = 256
@@ -262,7 +262,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
             }
             return pa.RecordBatch.from_pylist([row], pa.schema(KINDS))
 
-        for batch in small(batches):
+        KEPT["words"] = encoder.cache_clear
+        for batch in small(batches, keeps="words"):
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
                 held.append((doc_id, ids + end))
                 size += len(ids) // 4 + 1
