@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm import bpe_transducer, exact_dedup, mixing, near_copies, ordinal_quality, simhash
 from strandline.session import written
 
+MEMO = 120_000  # stretches a worker keeps: the other stages' models are in its memory too
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row of the mix, the number and digests of its token ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_transducer.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "source"))
+    return bpe_transducer.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "source"), memo=MEMO)
 
 
 STAGES: list[tuple[str, Stage]] = [
