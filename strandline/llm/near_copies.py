@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import give_back, small
 from strandline.llm.components import components
 from strandline.operators.skew import lookup_join
 from strandline.session import scratch_scope, written
@@ -167,6 +167,7 @@ def _postings(index: DataFrame) -> DataFrame:
                 held = rows[:, -1:]
         if held is not None:
             yield out(held, None)
+        give_back()
 
     rows = index.select(F.explode("keys").alias("posting"), "node", F.col("size").cast("bigint").alias("size"))
     rows = rows.repartition("posting").sortWithinPartitions("posting", "size", "node")
@@ -238,6 +239,7 @@ def _candidates(blocks: DataFrame, like: int) -> DataFrame:
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield done()
+        give_back()
 
     rows = blocks.select("posting", "one", "other", "block", "node", "size", "bitmap")
     rows = rows.repartition("posting", "one", "other").sortWithinPartitions("posting", "one", "other")
