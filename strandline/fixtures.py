@@ -38,6 +38,15 @@ select page_id, url, concat('<html><head><base href="/c/', cast(page_id as strin
     when 3 then '<a title="x > y" href="../up">1 < 2</a><area class="big nav" shape="rect" href="map"><area class="nav" href="no3">'
     when 4 then '<a href="./here#frag">&euro;&#128;</a><p class="open <a href="/no4">'
     else '<style>p { }</style><a href="//other.example.org/y">plain</a> text' end) as html
+from pages""",
+    "nested_pages": """
+select page_id, url, concat('<html><body><a href="/top">t</a><nav class="main"><ul><li><a href="/n/', cast(page_id as string), '">n</a>', case page_id % 6
+    when 0 then '<li><p>open<li><b><a href="/deep">d</a></b></ul></nav><a href="/out">o</a>'
+    when 1 then '</li><li><ul><li class="x"><a href="/in">i</a></ul></li></ul></nav><h2>T</h2><p>a<a href="/lead">l</a><p><a href="/second">s</a>'
+    when 2 then '<br><img src="/i"></ul><a href="/beside">b</a></nav><h2>T<br></h2>text<p class="x"><a href="/after">a</a></p>'
+    when 3 then '</div></ul></ul></nav><div><!-- <nav><li><a href="/no"> --><a href="/plain">p</a></div><h2></h2><div></div><p><a href="/late">l</a>'
+    when 4 then '<li class="x"><a title="</nav>" href="/quoted">q</a><script>"</ul></nav>"</script><li><a href="/still">s</a></ul></nav>'
+    else '<table><tr><td>1<td><a href="/cell">c</a><tr><th><a href="/head">h</a></table><a href="/more">m</a></nav></ul><a href="/end">e</a>' end) as html
 from pages""",
     "site_seeds": f"""
 select f.pos, p.url from (select min(page_id) as pos from pages group by {HOST.format('url')}) f

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import html as H
+from strandline.functions import selectors
 from strandline.functions import urls as U
 from strandline.operators import skew
 from strandline.operators.canonical import clean_urls, once
@@ -34,12 +35,16 @@ def extract_links(
     dedupe: bool = True,
 ) -> DataFrame:
     """(src, dst) of every link the rules select, resolved (against the page's
-    ``<base href>`` if it has one) and cleaned.
+    ``<base href>`` if it has one) and cleaned.  Rules of one element are read
+    tag by tag; those with combinators or lists fold the page's open elements once.
 
     Repeats within a page go before anything is shuffled.  ``dedupe=False``
     leaves out the shuffle; a page may then repeat a target that it spells in
     two ways, and a page crawled twice gives its links twice."""
-    found = F.array_distinct(F.flatten(F.array(*[H.link_values(F.col("html"), r) for r in rules])))
+    plain = [r for r in rules if H.RULE.match(r)]
+    nested = [r for r in rules if r not in plain]
+    values = [H.link_values(F.col("html"), r) for r in plain] + ([selectors.nested_link_values(F.col("html"), nested)] if nested else [])
+    found = F.array_distinct(F.flatten(F.array(*values)))
     pages = pages.withColumn("base_href", H.base_href(F.col("html")))
     origin = F.when(F.col("base_href") == "", F.col("url")).otherwise(U.resolve("url", "base_href"))
     base = U.base_of(origin)._asdict()

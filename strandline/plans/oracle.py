@@ -147,6 +147,11 @@ found as (select src, unnest(case page_id % 6
     when 5 then [scheme || '://other.example.org/y'] else [] end) as dst from places)
 select distinct src, dst from found"""
 
+SQL["G1_extract_links_nested"] = """with places as (select page_id, url as src, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as root from pages),
+found as (select src, root || unnest(['/n/' || page_id] || case page_id % 6 when 0 then ['/deep'] when 1 then ['/in', '/lead'] when 2 then ['/after']
+    when 3 then [] when 4 then ['/quoted', '/still'] else ['/cell', '/head', '/more'] end) as dst from places)
+select distinct src, dst from found"""
+
 # --- URL projections ---------------------------------------------------------
 
 # What a URL may be, written out here: no pattern of the library is reused.

@@ -230,6 +230,12 @@ def _(spark, d):
     return graph.extract_links(table(spark, d, "odd_pages"), ("a[href]->href", "area.nav[shape=rect]->href"))
 
 
+@query("G1_extract_links_nested")
+def _(spark, d):
+    rules = ("nav > ul > li a[href]->href", "h2 + p a, h2 ~ p.x > a -> href", "tr + tr > th > a->href")
+    return graph.extract_links(table(spark, d, "nested_pages"), rules)
+
+
 # --- URL projections --------------------------------------------------------
 
 

@@ -94,7 +94,7 @@ def test_extract_links(spark):
     assert found("a->@href", "img->@src") == want | {"https://h.org/pic.png"}
     assert "http://Other.org/x#frag" in found(allow_hash=True)
     with pytest.raises(ValueError):
-        found("div > a.b->href")
+        found("div > a:hover->href")
 
 
 def test_frontier(spark):
