@@ -2,9 +2,9 @@
 
 The target model counts the documents that a condition names, the background model
 all others.  Both share one vocabulary and one list of bigrams.  By default these
-are all words and all bigrams: the counts are stored tables that grow with the
-input, and are looked up by a shuffle join on the bigram, to which each task brings
-its distinct bigrams with the texts they are in.
+are all words and all bigrams.  What is gathered grows with the input: each task brings
+its distinct bigrams with the texts they are in to parts by the bigram's hash, where
+they are counted and the texts' losses summed.
 
 Given shares instead, words of at least ``word_share`` and bigrams of at least
 ``pair_share`` of all events of either side are listed; other words are one unknown
@@ -25,10 +25,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,13 +157,23 @@ def _listed(counts: DataFrame, share: float, events: tuple[int, int]) -> list:
 
 @dataclass
 class PairTables:
-    """Both models as stored tables: counts of every word (key), the edge among them,
-    and of every bigram (key, before, word) of ``docs``."""
+    """Both models hold all words and bigrams of ``docs``.  The documents themselves are
+    counted and scored by one shuffle; for others the counts of every word (key), the edge
+    among them, and of every bigram (key, before, word) are stored once."""
 
     docs: DataFrame
+    target: Column
     text_col: str
-    words: DataFrame
-    pairs: DataFrame
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return written(_pair_table(_texts(self.docs, self.target, self.text_col)), "pair-counts")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """A word is counted by the bigrams it ends."""
+        words = self.pairs.groupBy(F.col("word").alias("key")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        return written(words, "word-counts")
 
 
 def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -217,13 +229,6 @@ def _pair_table(texts: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums)
 
 
-def _tables(docs: DataFrame, texts: DataFrame, text_col: str) -> PairTables:
-    """Counts of all words and bigrams.  A word is counted by the bigrams it ends."""
-    pairs = written(_pair_table(texts), "pair-counts")
-    words = pairs.groupBy(F.col("word").alias("key")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    return PairTables(docs, text_col, written(words, "word-counts"), pairs)
-
-
 def _losses(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """key, end (1 for the end of a text) and the loss under either model of each
     bigram.  All bigrams are listed, so those after a word are as many as the word."""
@@ -276,26 +281,249 @@ def _score_by_tables(docs: DataFrame, model: PairTables, text_col: str, keep: tu
     """Losses are summed per distinct text, known by a hash; copies count alike above
     and below the line of the mean."""
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    pairs = model.pairs
-    if docs is not model.docs or text_col != model.text_col:  # unseen bigrams have a loss as well
-        unseen = _pair_table(_texts(docs, F.lit(False), text_col)).withColumns({"target": F.lit(0).cast("bigint"), "background": F.lit(0).cast("bigint")})
-        pairs = pairs.unionByName(unseen.join(pairs, "key", "left_anti"))
+    pairs = model.pairs  # unseen bigrams have a loss as well
+    unseen = _pair_table(_texts(docs, F.lit(False), text_col)).withColumns({"target": F.lit(0).cast("bigint"), "background": F.lit(0).cast("bigint")})
+    pairs = pairs.unionByName(unseen.join(pairs, "key", "left_anti"))
     table = written(_losses(pairs, model.words), "pair-losses")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("lm_text"), tag.alias("lm_tag"))
     met = texts.mapInArrow(_text_pairs, "key bigint, tags array<bigint>, times array<int>").join(table, "key")
     each = met.select(F.explode(F.arrays_zip("tags", "times")).alias("x"), "end", "target", "background")
     n = F.col("x.times")
-    sums = each.groupBy(F.col("x.tags").alias("lm_tag")).agg(
-        F.sum(n).alias("events"), F.sum(n * F.col("end")).alias("texts"),
-        F.sum(n * F.col("target")).alias("t"), F.sum(n * F.col("background")).alias("b"),
+    each = each.select(
+        F.col("x.tags").alias("lm_tag"), n.alias("events"), (n * F.col("end")).alias("texts"),
+        (n * F.col("target")).alias("t"), (n * F.col("background")).alias("b"),
     )
-    sums = sums.select(
-        "lm_tag", F.expr("events div texts - 1").alias("n_words"), (F.col("t") / F.col("events")).alias("target_loss"),
+    return _per_text(docs.select(*keep, tag.alias("lm_tag")), each, ("lm_tag",), keep)
+
+
+# --- counting and scoring the same documents --------------------------------
+
+EVENTS_A_PART = 2_000_000  # occurrences of bigrams that are counted and scored together
+BYTES_A_WORD = 6
+
+
+@dataclass
+class Chunk:
+    """Distinct texts of a task with their tags and how often either side has them,
+    and their events: the hash before, the hash, the text's place."""
+
+    tags: np.ndarray
+    times: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    text: np.ndarray
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Texts gathered until they hold some 4 * HELD events.  A copy of a text that is
+    held already adds to its times only."""
+    hashes = Hashes()
+    places: dict[tuple[int, int], int] = {}
+    times: list[list[int]] = []
+    held: list[np.ndarray] = []
+    sizes = 0
+
+    def chunk() -> Chunk:
+        before, word = (np.concatenate([e[i] for e in held]) for i in (slice(None, -1), slice(1, None)))
+        text = np.repeat(np.arange(len(held)), [len(e) - 1 for e in held])
+        return Chunk(np.array(list(places), np.int64), np.array(times, np.int64), before, word, text)
+
+    for batch in small(batches):
+        for text, target, *tag in zip(*(c.to_pylist() for c in batch.columns)):
+            place = places.get(tuple(tag))
+            if place is None:
+                found = text.lower().split()
+                if not found:
+                    continue
+                place = places[tuple(tag)] = len(held)
+                held.append(hashes.events(found))
+                times.append([0, 0])
+                sizes += len(found) + 1
+            times[place][0 if target else 1] += 1
+            if sizes >= 4 * HELD:
+                yield chunk()
+                places, times, held, sizes = {}, [], [], 0
+    if held:
+        yield chunk()
+
+
+def _part_of(chunk: Chunk, parts: int) -> np.ndarray:
+    return (_pair_keys(chunk.before, chunk.word).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    changed = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        changed |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, changed])
+
+
+def _word_rows(parts: int):
+    """(key, part, target, background): a word, a part in which it is in a bigram, and
+    the events of the part that end in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            keys, place = np.unique(np.r_[chunk.word, chunk.before], return_inverse=True)
+            part = _part_of(chunk, parts)
+            code, at = np.unique(place * parts + np.r_[part, part], return_inverse=True)
+            ends = at[: len(part)]
+            counts = [np.bincount(ends, chunk.times[chunk.text, side], len(code)) for side in (0, 1)]
+            columns = keys[code // parts], (code % parts).astype(np.int32), *(c.astype(np.int64) for c in counts)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "part", "target", "background"])
+
+    return run
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, which compress well."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+#: What a task hands on for one part: distinct texts (two tags and two times), distinct
+#: words, bigrams as places of words (sorted, as steps), how many texts each is in, and
+#: those texts' places with the times.
+FIELDS = {"tags": np.int64, "times": np.int64, "words": np.int64, "before": np.uint32, "word": np.uint32, "texts": np.uint32, "text": np.uint32, "often": np.uint32}
+PART_ROWS = "part int, kind int, key bigint, target bigint, background bigint, " + ", ".join(f"`{f}` binary" for f in FIELDS)
+
+
+def _part_rows(parts: int):
+    """Rows of kind 1: what a chunk of texts has of one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "target", "background")), *((f, pa.binary()) for f in FIELDS)])
+        for chunk in _chunks(batches):
+            part = _part_of(chunk, parts)
+            order = np.lexsort((chunk.text, chunk.word, chunk.before, part))
+            part, before, word, text = (c[order] for c in (part, chunk.before, chunk.word, chunk.text))
+            first = _starts(part, before, word, text)
+            often = np.diff(np.r_[first, len(part)])
+            part, before, word, text = (c[first] for c in (part, before, word, text))
+            edges = np.r_[_starts(part), len(part)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                pair = _starts(before[i:j], word[i:j])
+                words, place = np.unique(np.r_[before[i:j][pair], word[i:j][pair]], return_inverse=True)
+                own, at = np.unique(text[i:j], return_inverse=True)
+                steps = np.diff(place[: len(pair)], prepend=0)
+                columns = {
+                    "tags": chunk.tags[own].ravel(), "times": chunk.times[own].ravel(), "words": words, "before": steps, "word": place[len(pair) :],
+                    "texts": np.diff(np.r_[pair, j - i]), "text": at, "often": often[i:j],
+                }
+                packed = {f: [_packed(columns[f].astype(k))] for f, k in FIELDS.items()}
+                yield pa.RecordBatch.from_pydict({"part": [part[i]], "kind": [1], "key": [None], "target": [None], "background": [None], **packed}, schema)
+
+    return run
+
+
+@dataclass
+class Totals:
+    """Events of either side, and words of the vocabulary."""
+
+    events: tuple[int, int]
+    size: int
+
+
+def _part_losses(keys: np.ndarray, counts: np.ndarray, rows: list[dict], totals: Totals) -> pa.RecordBatch:
+    """Per text of a part: its events there, those that are its end, and their losses."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[:, order].astype(np.float64)
+    codes, seen = [], []
+    for row in rows:
+        place = np.searchsorted(keys, row["words"])
+        code = place[np.cumsum(row["before"].astype(np.int64))] * len(keys) + place[row["word"]]
+        of_pair = np.repeat(np.arange(len(code)), row["texts"])
+        times = row["times"].reshape(-1, 2)[row["text"]] * row["often"][:, None]
+        seen.append([np.bincount(of_pair, times[:, side], len(code)) for side in (0, 1)])
+        codes.append(code)
+    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
+    before, word = pairs // len(keys), pairs % len(keys)
+    losses = []
+    for side in (0, 1):
+        p1 = (counts[side][word] + 1.0) / float(totals.events[side] + totals.size + 2)
+        count = np.bincount(at, np.concatenate([s[side] for s in seen]), len(pairs))
+        losses.append(-np.log((count + MASS * p1) / (counts[side][before] + MASS)))
+    ends = (keys[word] == EDGE).astype(np.float64)
+    out, start = [], 0
+    for row, code in zip(rows, codes):
+        own = np.repeat(at[start : start + len(code)], row["texts"])
+        start += len(code)
+        tags, often = row["tags"].reshape(-1, 2), row["often"].astype(np.float64)
+        sums = [np.bincount(row["text"], often * v, len(tags)) for v in (np.ones(len(own)), ends[own], losses[0][own], losses[1][own])]
+        out.append([tags[:, 0], tags[:, 1], sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["lm_tag", "lm_tag2", "events", "texts", "t", "b"])
+
+
+def _part_sums(totals: Totals):
+    """Rows come by part, words (kind 0) before bigrams (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, words, rows = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if rows:
+                keys, *counts = (np.concatenate(c) for c in zip(*words))
+                yield _part_losses(keys, np.array(counts), rows, totals)
+
+        for batch in batches:
+            ids = batch.column("part").to_numpy()
+            edges = np.r_[_starts(ids), len(ids)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if ids[i] != part:
+                    yield from done()
+                    part, words, rows = ids[i], [], []
+                of_part = batch.slice(i, j - i)
+                n = int((of_part.column("kind").to_numpy() == 0).sum())
+                if n:
+                    words.append([of_part.column(c).slice(0, n).to_numpy() for c in ("key", "target", "background")])
+                fields = of_part.slice(n).select(list(FIELDS))
+                rows += [{f: _unpacked(packed, FIELDS[f]) for f, packed in row.items()} for row in fields.to_pylist()]
+        yield from done()
+
+    return run
+
+
+def _score_own(model: PairTables, keep: tuple[str, ...]) -> DataFrame:
+    """Bigrams are spread over parts by their hash, so no word is hot.  A part gets the
+    counts of the words in its bigrams, and what each task holds of it packed in a few
+    rows; it counts the bigrams and gives every text the sum of its losses there."""
+    docs, text = model.docs, F.coalesce(F.col(model.text_col), F.lit(""))
+    tags = {"lm_tag": F.xxhash64(text), "lm_tag2": F.xxhash64(text, F.lit(1))}
+    texts = docs.select(text.cast("binary").alias("lm_text"), F.coalesce(model.target, F.lit(False)).alias("lm_target"), *(c.alias(n) for n, c in tags.items()))
+    texts = texts.filter("length(lm_text) > 0")
+    length = texts.agg(F.sum(F.length("lm_text"))).first()[0] or 0
+    parts = 1 + length // (BYTES_A_WORD * EVENTS_A_PART)
+    found = texts.mapInArrow(_word_rows(parts), "key bigint, part int, target bigint, background bigint")
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    words = found.repartition("key").groupBy("key", "part").agg(*sums).groupBy("key").agg(*sums, F.collect_list("part").alias("parts"))
+    words = written(words, "word-counts")
+    target, background, size = words.agg(F.sum("target"), F.sum("background"), F.count(F.when(F.col("key") != EDGE, 1))).first()
+    totals = Totals((target or 0, background or 0), size)
+    of_part = words.select(F.explode("parts").alias("part"), F.lit(0).alias("kind"), "key", "target", "background", *(F.lit(None).cast("binary").alias(f) for f in FIELDS))
+    both = of_part.unionAll(texts.mapInArrow(_part_rows(parts), PART_ROWS)).repartition("part").sortWithinPartitions("part", "kind")
+    each = both.mapInArrow(_part_sums(totals), "lm_tag bigint, lm_tag2 bigint, events bigint, texts bigint, t double, b double")
+    return _per_text(docs.select(*keep, *(c.alias(n) for n, c in tags.items())), each, tuple(tags), keep)
+
+
+def _per_text(rows: DataFrame, sums: DataFrame, tags: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """Scores of rows with tags from sums over the bigrams of each tag.  Copies count
+    alike above and below the line of the mean."""
+    whole = sums.groupBy(*tags).agg(*(F.sum(c).alias(c) for c in ("events", "texts", "t", "b")))
+    whole = whole.select(
+        *tags, F.expr("events div texts - 1").alias("n_words"), (F.col("t") / F.col("events")).alias("target_loss"),
         (F.col("b") / F.col("events")).alias("background_loss"),
     )
-    rows = docs.select(*keep, tag.alias("lm_tag")).join(sums, "lm_tag", "left")
     difference = (F.col("target_loss") - F.col("background_loss")).alias("difference")
-    return rows.select(*keep, F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"), "target_loss", "background_loss", difference)
+    n_words = F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words")
+    return rows.join(whole, list(tags), "left").select(*keep, n_words, "target_loss", "background_loss", difference)
 
 
 def train(
@@ -305,7 +533,7 @@ def train(
     Documents without a word teach nothing; a null condition is background."""
     texts = _texts(docs, target, text_col)
     if not word_share and not pair_share:
-        return _tables(docs, texts, text_col)
+        return PairTables(docs, target, text_col)
     words = texts.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     words = written(words, "word-counts")
     sums = words.agg(F.sum("target"), F.sum("background")).first()
@@ -358,9 +586,14 @@ SCHEMA = "n_words bigint, target_loss double, background_loss double, difference
 def score(docs: DataFrame, model: PairModel | PairTables, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row, n_words, the loss per event under either
     model, and difference (target less background).  Null, empty and wordless
-    texts have 0 words and null losses.  A model with shares takes one scan."""
+    texts have 0 words and null losses.  A model with shares takes one scan.  A ``keep``
+    column named like a result, or ``lm_tag`` or ``lm_tag2``, is an error."""
+    taken = {"n_words", "target_loss", "background_loss", "difference", "lm_tag", "lm_tag2"}.intersection(keep)
+    if taken:
+        raise ValueError(f"keep columns named like results: {', '.join(sorted(taken))}")
     if isinstance(model, PairTables):
-        return _score_by_tables(docs, model, text_col, keep)
+        same = docs is model.docs and text_col == model.text_col
+        return _score_own(model, keep) if same else _score_by_tables(docs, model, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("lm_text"))

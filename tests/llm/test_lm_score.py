@@ -102,5 +102,29 @@ def test_rare_words_of_a_large_text_count(spark):
         for got, loss in zip((row.target_loss, row.background_loss), want[row.doc_id]):
             assert got is None if loss is None else got == pytest.approx(loss)
     new = spark.createDataFrame([(1, "the rare1 never seen", "a", None, None)], SCHEMA)
+    with pytest.raises(ValueError):
+        lm_score.score(docs, model, keep=("doc_id", "difference"))
     by_cut = lm_score.score(new, lm_score.train(docs, F.col("source") == "a", word_share=1e-12, pair_share=1e-12)).first()
     assert lm_score.score(new, model).first().difference == pytest.approx(by_cut.difference)
+
+
+def test_many_parts_and_chunks(spark, monkeypatch):
+    """Scores do not depend on how texts are gathered or bigrams spread.  Copies, a
+    third of all rows, count as often as they are there."""
+    rng = random.Random(9)
+    words = ["the", "of", "é", *(f"w{i}" for i in range(300))]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 200))), rng.choice("abc"), None, None) for i in range(150)]
+    rows += [(1000 + i, rows[3][1], "ab"[i % 2], None, None) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = by_definition(rows, 0, 0)
+    events = lm_score._texts(docs, F.col("source") == "a", "text").withColumns({"lm_tag": F.xxhash64("lm_text"), "lm_tag2": F.lit(1)}).toArrow().to_batches()
+    whole = len(list(lm_score._chunks(iter(events))))
+    monkeypatch.setattr(lm_score, "HELD", 100)
+    pieces = list(lm_score._chunks(iter(events)))
+    assert len(pieces) > 10 > whole and sum(int(p.times.sum()) for p in pieces) == sum(1 for r in rows if r[1])
+    monkeypatch.setattr(lm_score, "EVENTS_A_PART", 500)
+    for row in lm_score.score(docs, lm_score.train(docs, F.col("source") == "a")).collect():
+        for got, loss in zip((row.target_loss, row.background_loss), want[row.doc_id]):
+            assert got is None if loss is None else got == pytest.approx(loss)
+    packed = lm_score._packed(lm_score.np.array([3, 1 << 40, -1]))
+    assert lm_score._unpacked(packed, lm_score.np.int64).tolist() == [3, 1 << 40, -1]
