@@ -22,6 +22,7 @@ Loss is the mean of -log p over the events; a low difference is like the target.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import give_back, small
 from strandline.session import written
 
 MASS = 4.0
@@ -298,7 +299,7 @@ def _score_by_tables(docs: DataFrame, model: PairTables, text_col: str, keep: tu
 
 # --- counting and scoring the same documents --------------------------------
 
-EVENTS_A_PART = 2_000_000  # occurrences of bigrams that are counted and scored together
+EVENTS_A_PART = 4_000_000  # occurrences of bigrams that are counted and scored together
 BYTES_A_WORD = 6
 
 
@@ -325,7 +326,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
     def chunk() -> Chunk:
         before, word = (np.concatenate([e[i] for e in held]) for i in (slice(None, -1), slice(1, None)))
-        text = np.repeat(np.arange(len(held)), [len(e) - 1 for e in held])
+        text = np.repeat(np.arange(len(held), dtype=np.int32), [len(e) - 1 for e in held])
         return Chunk(np.array(list(places), np.int64), np.array(times, np.int64), before, word, text)
 
     for batch in small(batches):
@@ -347,8 +348,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield chunk()
 
 
-def _part_of(chunk: Chunk, parts: int) -> np.ndarray:
-    return (_pair_keys(chunk.before, chunk.word).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+def _part_of(chunk: Chunk, side: int) -> np.ndarray:
+    """Parts are a square: its rows by the hash of the word before, its columns by that
+    of the word.  A word meets the parts of one row and one column."""
+    before, word = (((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(side) for h in (chunk.before, chunk.word))
+    return (before * np.uint64(side) + word).astype(np.int32)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -361,17 +365,18 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, changed])
 
 
-def _word_rows(parts: int):
+def _word_rows(side: int):
     """(key, part, target, background): a word, a part in which it is in a bigram, and
     the events of the part that end in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = side * side
         for chunk in _chunks(batches):
             keys, place = np.unique(np.r_[chunk.word, chunk.before], return_inverse=True)
-            part = _part_of(chunk, parts)
+            part = _part_of(chunk, side)
             code, at = np.unique(place * parts + np.r_[part, part], return_inverse=True)
             ends = at[: len(part)]
-            counts = [np.bincount(ends, chunk.times[chunk.text, side], len(code)) for side in (0, 1)]
+            counts = [np.bincount(ends, chunk.times[chunk.text, i], len(code)) for i in (0, 1)]
             columns = keys[code // parts], (code % parts).astype(np.int32), *(c.astype(np.int64) for c in counts)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "part", "target", "background"])
 
@@ -396,15 +401,16 @@ FIELDS = {"tags": np.int64, "times": np.int64, "words": np.int64, "before": np.u
 PART_ROWS = "part int, kind int, key bigint, target bigint, background bigint, " + ", ".join(f"`{f}` binary" for f in FIELDS)
 
 
-def _part_rows(parts: int):
+def _part_rows(side: int):
     """Rows of kind 1: what a chunk of texts has of one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "target", "background")), *((f, pa.binary()) for f in FIELDS)])
         for chunk in _chunks(batches):
-            part = _part_of(chunk, parts)
+            part = _part_of(chunk, side)
             order = np.lexsort((chunk.text, chunk.word, chunk.before, part))
             part, before, word, text = (c[order] for c in (part, chunk.before, chunk.word, chunk.text))
+            chunk.before = chunk.word = chunk.text = order = None
             first = _starts(part, before, word, text)
             often = np.diff(np.r_[first, len(part)])
             part, before, word, text = (c[first] for c in (part, before, word, text))
@@ -420,6 +426,8 @@ def _part_rows(parts: int):
                 }
                 packed = {f: [_packed(columns[f].astype(k))] for f, k in FIELDS.items()}
                 yield pa.RecordBatch.from_pydict({"part": [part[i]], "kind": [1], "key": [None], "target": [None], "background": [None], **packed}, schema)
+            part = before = word = text = first = often = columns = None
+            give_back()
 
     return run
 
@@ -487,12 +495,14 @@ def _part_sums(totals: Totals):
                 fields = of_part.slice(n).select(list(FIELDS))
                 rows += [{f: _unpacked(packed, FIELDS[f]) for f, packed in row.items()} for row in fields.to_pylist()]
         yield from done()
+        words, rows = [], []
+        give_back()
 
     return run
 
 
 def _score_own(model: PairTables, keep: tuple[str, ...]) -> DataFrame:
-    """Bigrams are spread over parts by their hash, so no word is hot.  A part gets the
+    """Bigrams are spread over parts by both words, so a frequent word is in many.  A part gets the
     counts of the words in its bigrams, and what each task holds of it packed in a few
     rows; it counts the bigrams and gives every text the sum of its losses there."""
     docs, text = model.docs, F.coalesce(F.col(model.text_col), F.lit(""))
@@ -500,15 +510,15 @@ def _score_own(model: PairTables, keep: tuple[str, ...]) -> DataFrame:
     texts = docs.select(text.cast("binary").alias("lm_text"), F.coalesce(model.target, F.lit(False)).alias("lm_target"), *(c.alias(n) for n, c in tags.items()))
     texts = texts.filter("length(lm_text) > 0")
     length = texts.agg(F.sum(F.length("lm_text"))).first()[0] or 0
-    parts = 1 + length // (BYTES_A_WORD * EVENTS_A_PART)
-    found = texts.mapInArrow(_word_rows(parts), "key bigint, part int, target bigint, background bigint")
+    side = math.isqrt(length // (BYTES_A_WORD * EVENTS_A_PART)) + 1
+    found = texts.mapInArrow(_word_rows(side), "key bigint, part int, target bigint, background bigint")
     sums = [F.sum(c).alias(c) for c in ("target", "background")]
     words = found.repartition("key").groupBy("key", "part").agg(*sums).groupBy("key").agg(*sums, F.collect_list("part").alias("parts"))
     words = written(words, "word-counts")
     target, background, size = words.agg(F.sum("target"), F.sum("background"), F.count(F.when(F.col("key") != EDGE, 1))).first()
     totals = Totals((target or 0, background or 0), size)
     of_part = words.select(F.explode("parts").alias("part"), F.lit(0).alias("kind"), "key", "target", "background", *(F.lit(None).cast("binary").alias(f) for f in FIELDS))
-    both = of_part.unionAll(texts.mapInArrow(_part_rows(parts), PART_ROWS)).repartition("part").sortWithinPartitions("part", "kind")
+    both = of_part.unionAll(texts.mapInArrow(_part_rows(side), PART_ROWS)).repartition("part").sortWithinPartitions("part", "kind")
     each = both.mapInArrow(_part_sums(totals), "lm_tag bigint, lm_tag2 bigint, events bigint, texts bigint, t double, b double")
     return _per_text(docs.select(*keep, *(c.alias(n) for n, c in tags.items())), each, tuple(tags), keep)
 
