@@ -107,6 +107,13 @@ select -1 - a.page_id as capture_id, e.ts, a.url, cast(case a.page_id % 5 when 0
 from redirects r join pages a on a.page_id = r.src join pages b on b.page_id = r.dst join events e on e.event_id = a.page_id where r.src <> r.dst""",
     "asked": """
 select p.page_id, p.url, e.ts + interval 40 minutes as ts from pages p join events e on e.event_id = p.page_id * 3 + 1""",
+    "block_rules": """
+select case page_id % 4 when 0 then concat('/', regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1), '([/?.#]|$)')
+    when 1 then concat('^https?://(?:www|blog)[.].*/', cast(page_id as string), '[^0-9]')
+    when 2 then concat('/', regexp_extract(url, '/([a-z][a-z]/[0-9]+)', 1), '[?#]') else concat('/none/', cast(page_id as string), '/x') end as pattern,
+  case page_id % 4 when 2 then '<h1>[A-M]' else null end as text from pages union all
+select concat('/tracked/', cast(doc_id as string), '[?]ref=', lang), case when doc_id % 2 = 0 then lang else null end from documents union all
+select distinct concat('[', substr(lang, 1, 1), ']', substr(lang, 2, 1), '/[1-3]..$'), '[Ee]n' from documents where lang is not null""",
     "blocklist": f"""
 select distinct {HOST.format('url')} as host from pages where url like '%pills%' or url like '%spam%' or url like '%casino%' or url like '%ads-%'""",
     "logs": """

@@ -152,6 +152,73 @@ def block(
     return replace_blocked(df, F.coalesce(blocked, F.lit(False)), message)
 
 
+GRAM = 3
+RULES_A_ROW = 64
+
+#: What makes it doubtful which characters a pattern needs: flags, quoting, codes.
+DOUBT = r"\(\?[a-zA-Z-]|\\[0-9QEcxuUpPkNX]"
+CUT = "\x00"  # in place of what is not a plain character
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that is in whatever the pattern matches, as far as is plain
+    from outside of its groups and classes; '' if none is."""
+    plain = F.regexp_replace(pattern, r"\\.", CUT)
+    plain = F.regexp_replace(plain, r"\[\^?\]?[^\]]*\]", CUT)
+    for _ in range(3):  # groups in groups
+        plain = F.regexp_replace(plain, r"\([^()]*\)", CUT)
+    unclear = pattern.rlike(DOUBT) | plain.rlike(r"[|()\[\]\\]") | pattern.contains("&&")
+    plain = F.regexp_replace(plain, r"(?s).(?:[*?]|\{[^}]*\})[+?]?", CUT)
+    runs = F.split(F.regexp_replace(plain, r"[.^$+*?{}]", CUT), CUT)
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    return F.when(unclear, F.lit("")).otherwise(F.coalesce(longest, F.lit("")))
+
+
+def _grams(text: Column) -> Column:
+    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: text.substr(i, F.lit(GRAM))))
+
+
+def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, always, texts) of each distinct ``url`` that rules (pattern, text) match:
+    does one without a text pattern, and the text patterns of the others.
+
+    A rule is looked up by the rarest three characters, among all URLs, of a text that
+    its matches need.  Only URLs that hold them are tested.  Rules that need no such
+    text meet every URL, in rows of some :data:`RULES_A_ROW`.  Rules without a pattern
+    match nothing; a rule that needs what no URL holds is left out."""
+    urls = urls.filter("url is not null").distinct()
+    seen = urls.select(F.explode(_grams(F.col("url"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_urls"))
+    seen = written(seen, "grams")
+    given = rules.select("pattern", "text").filter("pattern is not null").distinct()
+    needs = given.withColumn("grams", _grams(required_literal(F.col("pattern"))))
+    free = needs.filter(F.size("grams") == 0).select("pattern", "text", F.lit("").alias("gram"))
+    bound = needs.select("pattern", "text", F.explode("grams").alias("gram"))
+    bound = lookup_join(bound, seen, ["gram"], "left", ["pattern"])
+    rarest = F.min(F.struct(F.coalesce("n_urls", F.lit(0)).alias("n"), "gram")).alias("rarest")
+    bound = bound.groupBy("pattern", "text").agg(rarest).filter("rarest.n > 0").select("pattern", "text", F.col("rarest.gram").alias("gram"))
+    keyed = written(bound.unionByName(free), "rules")
+    blocks = keyed.groupBy("gram").agg(F.ceil(F.count("*") / RULES_A_ROW).alias("blocks"))
+    block = F.pmod(F.xxhash64("pattern", "text"), F.col("blocks"))
+    rows = lookup_join(keyed, blocks, ["gram"], "inner", ["pattern"]).groupBy("gram", block.alias("block"))
+    rows = written(rows.agg(F.collect_list(F.struct("pattern", "text")).alias("rules")), "rules")
+    met = urls.select("url", F.explode(F.array_union(_grams(F.col("url")), F.array(F.lit("")))).alias("gram"))
+    met = lookup_join(met, rows, ["gram"], "inner", ["url"])
+    hit = met.select("url", F.inline("rules")).filter(F.regexp_like(F.col("url"), F.col("pattern")))
+    return hit.groupBy("url").agg(F.bool_or(F.col("text").isNull()).alias("always"), F.collect_set("text").alias("texts"))
+
+
+def block_table(df: DataFrame, rules: DataFrame, message: str | None = None, url: str = "url", text: str = "text") -> DataFrame:
+    """As :func:`block`, by a table of rules (pattern, text) of any size: the plan does
+    not grow with them.  A text is read only for URLs that a text rule names."""
+    hits = matching_rules(df.select(F.col(url).alias("url")), rules)
+    hits = hits.select(F.col("url").alias(url), F.col("always").alias("rule_always"), F.col("texts").alias("rule_texts"))
+    marked = lookup_join(df, hits, [url], "left", [c for c in df.columns if c != text] or [url]).select(*df.columns, "rule_always", "rule_texts")
+    named = F.coalesce(F.exists("rule_texts", lambda t: F.regexp_like(F.col(text), t)), F.lit(False))
+    blocked = F.coalesce("rule_always", F.lit(False)) | named
+    return replace_blocked(marked, blocked, message).drop("rule_always", "rule_texts")
+
+
 def hosts_of(lines: DataFrame) -> DataFrame:
     """Hosts-file lines (``value``) as distinct lower-case ``host`` rows."""
     bare = F.trim(F.regexp_replace("value", r"#.*$", ""))

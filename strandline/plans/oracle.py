@@ -214,6 +214,10 @@ _blocked = "(regexp_matches(url, '//blog\\.') or (regexp_matches(url, '/fr/') an
 SQL["F4_block"] = f"select page_id, url from pages where not {_blocked}"
 SQL["F4_block_message"] = f"""select page_id, case when {_blocked} then md5('blocked by rule') else md5(html) end as digest,
   {_blocked} as blocked from pages"""
+SQL["F4_block_table"] = f"""{cte('block_rules')}, hit as (select page_id, bool_or(r.text is null or regexp_matches(html, r.text)) as blocked
+  from pages join block_rules r on regexp_matches(url, r.pattern) group by page_id)
+select page_id, case when coalesce(blocked, false) then md5('blocked by rule') else md5(html) end as digest, coalesce(blocked, false) as blocked
+from pages left join hit using (page_id)"""
 SQL["F5_block_hosts"] = f"""{cte('captures', 'blocklist')}
 select capture_id, url from captures where host not in (select host from blocklist)"""
 SQL["F5_block_hosts_message"] = f"""{cte('captures', 'blocklist')}
@@ -305,6 +309,9 @@ map as (select src, dst from placed qualify row_number() over (partition by src
 select src, target, case when target is not null then steps end as hops, target is null as loop from ends"""
 SQL["G5_frontier"] = f"{cte('captures')}, {_links} select dst as url from links except select url from captures"
 
+SQL["G5_saved_deltas"] = f"""{cte('captures')}, {_links}
+select dst as url from links union select url from pages except select url from captures"""
+
 # --- deduplication and ranking -----------------------------------------------
 
 
@@ -455,6 +462,8 @@ SQL["T3_dedup_stream"] = f"""with {_captured},
 seen as (select concat('https://u.example.org/', cast(user_id as varchar), '/', event_type) as url, event_id as capture_id, ts
   from captured where {_closed.format('hour')})
 select url, capture_id from seen qualify row_number() over (partition by url order by ts, capture_id) = 1"""
+SQL["T3_first_merged"] = """select concat('https://u.example.org/', cast(user_id as varchar), '/', event_type) as url, event_id as capture_id from events
+qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1"""
 SQL["T4_limit_monitor"] = f"""with {_captured},
 minutes as (select collection, date_trunc('minute', ts) + interval 1 minute as m, sum(bytes) as b
   from captured where {_closed.format('minute')} group by all),

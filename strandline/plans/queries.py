@@ -16,7 +16,7 @@ from strandline.plans.archive_build import Recipe, build_archive
 from strandline.plans.archive_report import host_report
 from strandline.session import scratch, written
 from strandline.sources import seeds as sources
-from strandline.sources import sinks, warc
+from strandline.sources import sinks, states, warc
 from strandline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,12 @@ def _(spark, d):
     return scope.block(pages, BLOCK, "blocked by rule", text="html").select("page_id", "digest", "blocked")
 
 
+@query("F4_block_table")
+def _(spark, d):
+    pages = table(spark, d, "pages").withColumn("digest", F.md5("html"))
+    return scope.block_table(pages, table(spark, d, "block_rules"), "blocked by rule", text="html").select("page_id", "digest", "blocked")
+
+
 @query("F5_block_hosts")
 def _(spark, d):
     captures = table(spark, d, "captures").select("capture_id", "url")
@@ -435,6 +441,20 @@ def _(spark, d):
     return graph.frontier(known, table(spark, d, "captures"))
 
 
+@query("G5_saved_deltas")
+def _(spark, d):
+    """A frontier saved at first and after each collection, as what changed."""
+    pages, root = table(spark, d, "pages"), scratch(spark, "chains")
+    links = graph.extract_links(pages).select(F.col("dst").alias("url")).unionByName(pages.select("url"))
+    pending = written(links.distinct(), "pending")
+    captures = table(spark, d, "captures")
+    states.save_delta(pending, root, "crawl")
+    for done in ("crawl-0", "crawl-1", "crawl-2"):
+        pending = graph.frontier(states.load_chain(spark, root, "crawl"), captures.filter(F.col("collection") == done))
+        states.save_delta(pending, root, "crawl")
+    return states.load_chain(spark, root, "crawl")
+
+
 # --- deduplication and ranking ----------------------------------------------
 
 
@@ -592,7 +612,10 @@ def _(spark, d):
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of captures, time-zoned as watermarks need it."""
     schema = fixtures.given(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    return as_captures(spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir))
+
+
+def as_captures(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("capture_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -631,6 +654,17 @@ def _(spark, d):
     return live.run_to_table(live.first_of_key(stored, ["url"]), "first").select("url", "capture_id")
 
 
+@query("T3_first_merged")
+def _(spark, d):
+    """Captures that come in four batches, not in the order of their times."""
+    path = scratch(spark, "captured")
+    as_captures(table(spark, d, "events")).repartition(4, "capture_id").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    firsts = live.FirstCaptures(spark, schema, ["url"], scratch(spark, "firsts"), buckets=8)
+    return firsts.run(stream).select("url", "capture_id")
+
+
 @query("T4_limit_monitor")
 def _(spark, d):
     sums = live.bytes_per_window(event_stream(spark, d), "10 minutes")

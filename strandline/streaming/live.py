@@ -7,15 +7,17 @@ busy crawl or URL does not fill one task.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from strandline.operators.report import latest_progress, progress_updates
 from strandline.operators.skew import SALTS
-from strandline.session import scratch
+from strandline.session import scratch, written
 
 CRAWL_UPDATES = "ts timestamp, crawled bigint, total bigint"
 CONVERT_UPDATES = "ts timestamp, written bigint, total bigint"
@@ -97,6 +99,77 @@ def first_of_key(firsts: DataFrame, key: Sequence[str], horizon: str = "30 days"
     return seen.groupBy(*key).applyInPandasWithState(watch, schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class FirstCaptures:
+    """The earliest capture of each key, merged batch by batch into a table at ``path``
+    that is bucketed on the key, so what is known is read without a shuffle.
+
+    A batch writes its own part of the table: the keys that are new, or now earlier.
+    When it is replayed it looks only at the batches before it and overwrites its part.
+    Captures may come in any order; null keys are one key.  After ``fold_after``
+    batches the parts are folded into one of a negative number; the minimum is the same
+    whether or not the parts that it replaces are still there."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, key: Sequence[str], path: str, ts: str = "ts", uid: str = "capture_id", buckets: int = 64, fold_after: int = 64):
+        self.spark, self.key, self.path, self.ts, self.uid, self.fold_after = spark, list(key), path, ts, uid, fold_after
+        self.name = "first_" + uuid4().hex
+        columns = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in (*key, ts, uid))
+        clustered = ", ".join(f"`{c}`" for c in key)
+        spark.sql(
+            f"CREATE TABLE {self.name} ({columns}, batch BIGINT) USING parquet PARTITIONED BY (batch)"
+            f" CLUSTERED BY ({clustered}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")  # of a run before
+
+    def _firsts(self, df: DataFrame) -> DataFrame:
+        return df.groupBy(*self.key).agg(F.min(F.struct(F.col(self.ts).alias("t"), F.col(self.uid).alias("u"))).alias("first"))
+
+    def _write(self, firsts: DataFrame, part: int) -> None:
+        rows = firsts.select(*self.key, F.col("first.t").alias(self.ts), F.col("first.u").alias(self.uid))
+        rows = written(rows, "firsts")  # a table is not overwritten while it is read
+        view = "rows_" + uuid4().hex
+        rows.createOrReplaceTempView(view)
+        session = rows.sparkSession
+        session.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = {part}) SELECT * FROM {view}")
+        session.catalog.dropTempView(view)
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``."""
+        known = self._firsts(batch.sparkSession.table(self.name).filter(F.col("batch") < batch_id)).withColumnRenamed("first", "known")
+        both = self._firsts(batch).join(known, self.key, "left")
+        self._write(both.filter("known is null or first < known"), batch_id)
+        parts = [r.batch for r in self.parts()]
+        if len([p for p in parts if p < batch_id]) > self.fold_after:
+            self.fold(batch_id - 1)
+
+    def parts(self) -> list:
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.name}")  # one a batch since the last fold
+        return listed.select(F.regexp_extract("partition", "batch=(-?[0-9]+)", 1).cast("bigint").alias("batch")).collect()
+
+    def fold(self, upto: int) -> None:
+        """One part for all up to a batch that will not come again."""
+        old = [r.batch for r in self.parts() if r.batch <= upto]
+        folded = -2 - upto
+        if folded in old:
+            return
+        self._write(self._firsts(self.spark.table(self.name).filter(F.col("batch") <= upto)), folded)
+        for part in old:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP PARTITION (batch = {part})")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={part}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def read(self) -> DataFrame:
+        """(key, ts, uid) of the earliest capture of each key so far."""
+        return self._firsts(self.spark.table(self.name)).select(*self.key, F.col("first.t").alias(self.ts), F.col("first.u").alias(self.uid))
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Merge what is there and stop."""
+        writer = stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", self.path + "-state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return self.read()
+
+
 def bytes_per_window(
     df: DataFrame, watermark: str, window: str = "1 minute", by: str = "collection", ts: str = "ts"
 ) -> DataFrame:

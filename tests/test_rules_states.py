@@ -1,0 +1,94 @@
+"""Rule tables, chains of saved states, and first captures merged by batch."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.operators import rank, scope
+from strandline.sources import states
+from strandline.streaming import live
+
+PATTERNS = {
+    r"example\.com/ab+c": "example", r"^https?://x\.org/long": "org/long", r"(?i)abc": "", "a|b": "", r"[a-z]{3}": "", r"(a|b)cdef": "cdef",
+    "abcd?": "abc", "ab*cde": "cde", r"\Qa.b\E": "", r"x(y(z)?)?/end$": "/end", r"[(]abc[)]d": "abc", "abc{2}de": "de", r"\[abc\]": "abc", "": "",
+}
+
+
+def test_required_literals(spark):
+    df = spark.createDataFrame([(p,) for p in PATTERNS], "p string")
+    found = {r.p: r.x for r in df.select("p", scope.required_literal(F.col("p")).alias("x")).collect()}
+    assert found == PATTERNS
+
+
+URLS = ["http://example.com/abbc", "https://x.org/long/er", "http://y/bcdef", "http://q/[abc]?a=1", "http://é/ü", "ab", "", None, "http://example.com/abbc"]
+RULES = [(p, None) for p in PATTERNS if p] + [("x.org", "seven"), ("bcd", "[0-4]"), ("é", "4"), ("q/.*a=", "none"), (None, "1"), ("x.org", "seven")]
+
+
+@pytest.mark.parametrize("message", [None, "gone"])
+@pytest.mark.parametrize("rules", [RULES, RULES[-6:], []])
+def test_block_table(spark, rules, message):
+    df = spark.createDataFrame([(i, u, f"text {i}" if i != 3 else None, "x") for i, u in enumerate(URLS)], "capture_id int, url string, text string, gram string")
+    table = spark.createDataFrame(rules, "pattern string, text string")
+    want = scope.block(df, [scope.BlockRule(p, t) for p, t in rules if p], message)
+    got = scope.block_table(df, table, message)
+    columns = ["capture_id", "url", "text", "gram"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert scope.block_table(df.limit(0), table, message).count() == 0
+
+
+def test_plan_does_not_grow_with_the_rules(spark):
+    urls = spark.range(50).select(F.concat(F.lit("http://h/"), F.col("id"), F.lit("/x")).alias("url"), F.lit("t").alias("text"))
+    plans = []
+    for n in (10, 3_000):
+        rules = spark.range(n).select(F.concat(F.lit("/"), F.col("id"), F.lit("/[xy]$")).alias("pattern"), F.lit(None).cast("string").alias("text"))
+        left = scope.block_table(urls, rules)
+        plans.append(len(left._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        assert left.count() == 50 - min(n, 50)
+    assert plans[0] == plans[1]
+
+
+def test_chain_of_states(spark, tmp_path):
+    root = str(tmp_path)
+
+    def rows(*pairs):
+        return spark.createDataFrame(pairs, "url string, depth int")
+
+    frontiers = [rows(("a", 0), ("b", 1), (None, 2)), rows(("b", 1), ("c", 2)), rows(("b", 3), ("c", 2), ("a", 9)), rows(("b", 3))]
+    assert states.load_chain(spark, root, "c1") is None
+    for f in frontiers:
+        path = states.save_delta(f, root, "c1")
+        assert sorted(map(str, states.load_chain(spark, root, "c1").collect())) == sorted(map(str, f.collect()))
+    assert "delta-" in path and spark.read.parquet(path).count() == 2
+    spark.createDataFrame([("z", 1, False)], "url string, depth int, chain_gone boolean").write.parquet(f"{root}/c1/delta-99999999999999999999")
+    half = tmp_path / "c1" / "manifest-99999999999999999999"
+    half.mkdir()
+    (half / "part-0.json").write_text('{"place": 0, "folder": "delta-99999999999999999999"}')
+    assert [tuple(r) for r in states.load_chain(spark, root, "c1").collect()] == [("b", 3)]
+    assert "base-" in states.save_delta(frontiers[0], root, "c1", fold_after=3)
+    assert states.load_chain(spark, root, "c1").count() == 3
+
+
+def test_first_captures_merged(spark, tmp_path):
+    df = spark.range(400).select(
+        F.col("id").alias("capture_id"), F.timestamp_seconds((F.col("id") * 7919) % 500).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 40).cast("string")).alias("url"),
+    )
+    want = sorted((str(r.url), r.capture_id) for r in rank.dedup(df, key=("url",)).filter("url is not null").collect())
+    null_first = df.filter("url is null").orderBy("ts", "capture_id").first().capture_id
+    path = str(tmp_path / "firsts")
+    firsts = live.FirstCaptures(spark, df.schema, ["url"], path, buckets=4, fold_after=2)
+    batches = [df.filter(F.col("capture_id") % 5 == i) for i in range(5)]
+
+    def found(table):
+        rows = [(str(r.url), r.capture_id) for r in table.read().collect()]
+        assert ("None", null_first) in rows
+        return sorted(r for r in rows if r[0] != "None")
+
+    for i, batch in enumerate(batches):
+        firsts.merge(batch, i)
+    assert found(firsts) == want and len(firsts.parts()) < 5
+    firsts.merge(batches[4], 4)
+    assert found(firsts) == want
+    again = live.FirstCaptures(spark, df.schema, ["url"], path, buckets=4)
+    assert found(again) == want
+    known = again._firsts(spark.table(again.name))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in known and "Python" not in known
