@@ -16,12 +16,10 @@ The width of a block is the bits that 90 % of its ids need.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,13 @@ BLOCK = 256
 PERCENT = 90
 SEGMENT = 1 << 16  # a segment ends with the document that reaches so many ids
 MEMO = 900_000  # words kept; then all are learned anew
-#: A run of ASCII punctuation that ends a word; the vocabulary cuts before it.
-TAIL = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~]+(?:[\t-\r ]|$))")
+ROWS = 1_024  # texts that are Python objects at a time
+GROUP = 1 << 22  # bytes of texts that are cut into words at a time, and one text more
+#: Kinds of bytes: 0 ASCII white space, 1 lower-case letters and digits, 2 ASCII punctuation, 3 others.
+KIND = np.full(256, 3, np.uint8)
+KIND[list(b"\t\n\x0b\x0c\r ")] = 0
+KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+KIND[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 2
 MARKS = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+036F
 
 HEAD = struct.Struct("<4sII")
@@ -133,11 +136,31 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return out[first - lo * BLOCK : last - lo * BLOCK]
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """Pieces that may be encoded one by one."""
-    if MARKS[0] not in text and MARKS[1] not in text:
-        text = text.lower()
-    return TAIL.sub(b" ", text).split()
+def lowered(text: bytes) -> bytes:
+    return text if MARKS[0] in text or MARKS[1] in text else text.lower()
+
+
+def cut(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pieces of texts that may be encoded one by one; the place of each
+    piece's spelling among them, text after text; and the number of pieces up to the
+    beginning of each text, and in all."""
+    held = np.frombuffer(b" ".join(texts), np.uint8)
+    kind = KIND[held]
+    solid = kind > 0
+    first = np.r_[True, ~solid[:-1]][solid] if len(held) else solid
+    rows = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    in_front = np.array([np.count_nonzero(solid[a:b]) for a, b in zip(np.r_[0, rows[:-1]], rows)], np.int64).cumsum()
+    kind, held = kind[solid], held[solid]
+    mark = kind == 2
+    last = np.r_[first[1:], True] if len(held) else first
+    run_ends = np.flatnonzero(mark & (last | ~np.r_[mark[1:], False]))
+    tails = np.flatnonzero(mark[1:] & ~first[1:] & (kind[:-1] == 1)) + 1
+    tails = tails[last[run_ends[np.searchsorted(run_ends, tails)]]]
+    first[tails] = True
+    starts = np.flatnonzero(first)
+    edges = np.r_[starts, len(held)].astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(held)]).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.r_[np.searchsorted(starts, in_front), len(starts)]
 
 
 class Encoder:
@@ -209,24 +232,33 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32."""
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            special = [any(s in t for s in self.special) for t in some]
-            cut = [[] if odd else pieces(t) for t, odd in zip(some, special)]
-            new = set().union(*cut).difference(self.memo)
-            if new:
-                if len(self.memo) >= MEMO:
-                    self.forget()
-                    new = set().union(*cut)
-                self.learn(new)
-            counts = [len(words) for words in cut]
-            place = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
-            sizes = self.sizes[place]
-            ends = np.cumsum(sizes)
-            ids = self.ids[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
-            edges = (4 * np.r_[0, ends][np.cumsum([0, *counts])]).tolist()
-            for text, odd, a, b in zip(some, special, edges[:-1], edges[1:]):
-                yield self.whole(text) if odd else ids[a:b]
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < GROUP:
+                some.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            yield from self._encode(some)
+
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        special = [any(s in t for s in self.special) for t in texts]
+        words, index, edges = cut([b"" if odd else lowered(t) for t, odd in zip(texts, special)])
+        known = list(map(self.memo.get, words))
+        new = [word for word, at in zip(words, known) if at is None]
+        if new:
+            if len(self.memo) >= MEMO:
+                self.forget()
+                new = words
+            self.learn(new)
+            known = list(map(self.memo.__getitem__, words))
+        place = np.array(known, np.int64)[index]
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
+        edges = (4 * np.r_[0, ends][edges]).tolist()
+        for text, odd, a, b in zip(texts, special, edges[:-1], edges[1:]):
+            yield self.whole(text) if odd else ids[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -263,7 +295,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
             return pa.RecordBatch.from_pylist([row], pa.schema(KINDS))
 
         KEPT["words"] = encoder.cache_clear
-        for batch in small(batches, keeps="words"):
+        for batch in small(batches, rows=ROWS, keeps="words"):
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
                 held.append((doc_id, ids + end))
                 size += len(ids) // 4 + 1
