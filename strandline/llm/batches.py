@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 
@@ -28,6 +28,15 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS, keeps: str | None
     give_back()
 
 
+def refuse_clash(keep: Sequence[str], schema: str) -> None:
+    """An error if a kept column has the name of one that is added (names as Spark
+    compares them, without case)."""
+    added = {part.split()[0].lower() for part in schema.split(",")}
+    clash = sorted(name for name in keep if name.lower() in added)
+    if clash:
+        raise ValueError(f"columns to keep have names of results: {', '.join(clash)}")
+
+
 def give_back() -> None:
     """Unused memory of a worker back to the system, where its C library can."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import KEPT, small
+from strandline.llm.batches import KEPT, refuse_clash, small
 
 MEMO = 200_000  # stretches kept; then the next generation starts
 STATES = 120_000  # states kept; others are worked out again whenever they are met
@@ -239,7 +239,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     Null and empty texts have no ids.  One scan, no shuffle; memory is bounded by
     the longest text, ``memo`` (stretches a worker keeps, some 250 bytes each, twice)
     and the bounds above.  No rows give no rows.
+    ``keep`` may not hold one of the names added.
     """
+    refuse_clash(keep, SCHEMA + ", ids array<int>" * ids)
     schema = docs.select(*keep).schema
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("bpe_text"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import refuse_clash, small
 from strandline.llm.sampling import sampled_ids, texts_of
 
 BUCKETS = 1 << 12
@@ -135,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not n_langs:
         return None
     sample = sampled_ids(known, id_col, ["label_lang"], max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // n_langs)))
-    rows = texts_of(docs.select(id_col, text_col).filter(F.col(text_col).rlike("\\p{L}")), sample, id_col)
+    rows = texts_of(docs.filter(F.col(text_col).rlike("\\p{L}")), sample, id_col, text_col)
     rows = rows.select("label_lang", F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,9 @@ SCHEMA = "lang_pred string, score double"
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row, lang_pred and score.  Texts that are null
     or have no letter, and all texts without a model, are ``und`` with score 0.
-    One scan; the model grows with the number of languages only."""
+    One scan; the model grows with the number of languages only.  ``keep`` may not
+    hold one of the names added; repeated rows and ids each have their own row."""
+    refuse_clash(keep, SCHEMA)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.col(text_col).alias("judged_text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import refuse_clash, small
 from strandline.llm.sampling import hashed_share, texts_of
 
 BUCKETS = 1 << 16
@@ -149,8 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     that are null or have no document teach nothing."""
     rated = labels.filter("quality in (0, 1) and toxic in (0, 1)").select(F.col("doc_id").alias(id_col), "quality", "toxic")
     chosen = hashed_share(rated, id_col, sample)
-    texts = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull())
-    rows = texts_of(texts, chosen, id_col)
+    rows = texts_of(docs.filter(F.col(text_col).isNotNull()), chosen, id_col, text_col)
     rows = rows.select(grade(F.col("quality"), F.col("toxic")).cast("int").alias("grade"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +173,7 @@ def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: tup
     probability of the best grade), grade (the most likely) and keep (p_clean of
     at least ``threshold``).  Null counts as the empty text.  One scan; the model
     is of fixed size.  ``keep`` columns may have any names but these."""
+    refuse_clash(keep, SCHEMA)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("rated_text"))
@@ -196,7 +196,10 @@ def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: tup
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """``docs`` without those that the model, trained on ``labels``, rejects."""
+    """``docs`` without those that the model, trained on ``labels``, rejects: whole
+    rows, in any columns, each judged by its own text (null as the empty text).  Equal
+    texts are judged alike.  An empty table gives an empty one; without labels the model
+    knows one score for all texts, whose tail is above ``threshold`` or not."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     names = docs.columns

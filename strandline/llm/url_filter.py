@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import small
+from strandline.llm.batches import refuse_clash, small
 
 #: (host and path, verdict); a rule fits its host and all subdomains.
 RULES = (
@@ -27,18 +27,39 @@ RULES = (
     ("com/de/", "block"),
 )
 #: One of these rejects a URL.
-STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "escorts", "spam-farm", "casino-win", "malware", "warez")
+STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "escorts", "malware", "warez")
 #: Weights of soft terms; distinct hits of SOFT_LIMIT in sum reject.
 SOFT = {
     "adult": 1.0, "bet": 1.0, "bonus": 1.0, "casino": 1.0, "cheap": 1.0, "click": 0.5, "free": 0.5, "jackpot": 1.0,
     "loan": 1.0, "nude": 1.5, "pills": 1.0, "poker": 1.0, "sex": 1.5, "slots": 1.0, "spam": 1.0, "viagra": 1.5, "win": 0.5,
 }
 SOFT_LIMIT = 2.0
+MOST_TERMS = 1_000_000
 
 SCHEMA = "host string, path string, rule string, verdict string, strict_hits bigint, soft_hits bigint"
 BOUNDARY = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+def read_vocabulary(rows: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict and soft terms of a table with columns term, kind (``strict`` or
+    ``soft``) and weight (of soft terms; null: 1), for ``filter_urls``.
+
+    A-Z are lower-cased.  Rows without a term or with another kind are left out; a
+    term that is strict once is strict, and the largest of a soft term's weights
+    counts.  The terms go to every task, so more than ``most`` are an error.
+    """
+    term = F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    known = rows.filter("term <> '' and kind in ('strict', 'soft')")
+    known = known.groupBy(term.alias("term")).agg(
+        F.max((F.col("kind") == "strict").cast("int")).alias("strict"),
+        F.max(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("weight"),
+    )
+    found = known.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(sorted(r.term for r in found if r.strict)), {r.term: r.weight for r in found if not r.strict}
+
+
 @lru_cache(maxsize=8)
 def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, float], ...]):
     found = ahocorasick.Automaton()
@@ -94,6 +115,7 @@ def filter_urls(
     vocabulary still judges it, and null is allowed.  ``keep`` may not hold one of
     the names added.
     """
+    refuse_clash(keep, SCHEMA)
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in rules:
         host, slash, path = rule.partition("/")

@@ -1,12 +1,15 @@
 """Quality and language models: held-out accuracy and defined edge cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from strandline.llm import language_id, ordinal_quality
+from strandline.llm import language_id, ordinal_quality, sampling
 
 SCHEMA = "doc_id bigint, text string, lang string, score string, grade string"
 LABELS = "doc_id bigint, quality int, toxic int, text string"
@@ -132,3 +135,153 @@ def test_quality_without_rows_or_labels(spark):
     assert ordinal_quality.rate(docs, ordinal_quality.train(docs, labels)).collect() == []
     one = spark.createDataFrame([(1, "a", None, None, None)], SCHEMA)
     assert ordinal_quality.rate(one, ordinal_quality.train(one, labels)).count() == 1
+
+
+def slow_language_features(text):
+    """Hashed n-grams of a text in a dictionary, one after the other."""
+    raw, size, counts = f" {' '.join(text.lower().split())} ".encode(), 1 << 32, Counter()
+    for i in range(len(raw)):
+        counts[raw[i] * 7 % 4096] += 1
+        if i + 1 < len(raw):
+            two = (raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA6B) % size
+            counts[(two >> 16) % 4096] += 1
+        if i + 2 < len(raw):
+            three = (two + raw[i + 2] * 0xC2B2AE35) % size
+            counts[((three ^ (three >> 13)) * 0x27D4EB2F % size >> 15) % 4096] += 1
+    length = math.sqrt(sum(counts.values()))
+    return {k: math.sqrt(n) / length for k, n in counts.items()}
+
+
+def slow_language(model, text):
+    """Family by the largest margin, then language by votes; ties as documented."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    x = slow_language_features(text)
+    margin = lambda w: sum(float(w[k]) * v for k, v in x.items()) + float(w[-1])
+    sure = lambda m: 1 / (1 + math.exp(-2 * m))
+    margins = [margin(w) for w in model.family_w]
+    best = margins.index(max(margins))
+    score = sure(margins[best] - max(m for i, m in enumerate(margins) if i != best)) if len(margins) > 1 else 1.0
+    own = model.families[best]
+    if len(own) == 1:
+        return own[0], score
+    votes, sums = Counter(), Counter()
+    for (a, b), w in model.pair_w.items():
+        if a in own:
+            m = margin(w)
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+    found = max(own, key=lambda c: (votes[c], sums[c], c))
+    return found, score * sure(2 * sums[found] / (len(own) - 1))
+
+
+def test_languages_by_plain_loops(spark):
+    rng = random.Random(8)
+    texts = [text_in(rng.choice(list(SYLLABLES)), rng, rng.randint(1, 40)) for _ in range(300)]
+    texts += [None, "", "1 2", "é", "A", "ß" * 3_000, "the\u00a0Der\tLE", texts[0]]
+    docs = spark.createDataFrame([(i, t, rng.choice(list(SYLLABLES)) if i % 9 == 0 else None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    truth = spark.createDataFrame([(i, text_in(c, rng, 20), c, None, None) for i, c in enumerate(list(SYLLABLES) * 60)], SCHEMA)
+    model = language_id.train(truth)
+    for row in language_id.identify(docs, model).collect():
+        lang, score = slow_language(model, texts[row.doc_id])
+        assert row.lang_pred == lang and row.score == pytest.approx(score, abs=1e-5), texts[row.doc_id]
+
+
+def test_machine_reaches_the_least_loss():
+    """Against plain gradient descent with small steps."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=40) > 0.1, 1.0, -1.0)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    slack = lambda w: np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+    loss = lambda w: 0.005 * (w[:-1] ** 2).sum() + (weight * slack(w) ** 2).sum()
+    slow = np.zeros(6)
+    for _ in range(20_000):
+        pull = weight * y * slack(slow)
+        slow -= 0.05 * np.append(0.01 * slow[:-1] - 2 * pull @ x, -2 * pull.sum())
+    assert loss(language_id.svm(x, y, 0.01, 2_000)) == pytest.approx(loss(slow), abs=1e-5)
+
+
+def slow_rating(model, text):
+    """Expected grade and tail probability of the best grade by loops over a dictionary."""
+    raw = text.encode()
+    tokens = re.findall(rb"[a-z\x80-\xff]+|[0-9]+|[^a-z0-9\x80-\xff\s]+", raw.lower())
+    counts = Counter()
+    for token in tokens:
+        counts[zlib.crc32(token) % 65536] += 1
+        for part, size in ((1, 4), (2, 5)):
+            if len(token) > size:
+                counts[65536 * part + zlib.crc32(token[:size]) % 65536] += 1
+    words = [w.lower() for w in raw.split()]
+    n, size = max(1, len(words)), max(1, len(raw))
+    every_other = words[::2]
+    rates = [
+        sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n,
+        sum(every_other[i] == every_other[i + 1] for i in range(len(every_other) - 1)) / n,
+        max([words.count(w) for w in set(words)], default=0) / n,
+        sum(w.isupper() for w in raw.split()) / n,
+        sum(48 <= b <= 57 for b in raw) / size,
+        sum(33 <= b <= 126 and not chr(b).isalnum() for b in raw) / size,
+        1 - len(set(words)) / n,
+        min(1.0, (raw.count(b"\n") + 1) / n),
+    ]
+    score = sum(math.log1p(c) * float(np.float32(model.weights[k])) for k, c in counts.items())
+    score += sum(4 * r * float(np.float32(w)) for r, w in zip(rates, model.weights[-8:]))
+    tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+    return sum(tails), tails[-1]
+
+
+def test_ratings_by_plain_loops(spark):
+    rng = random.Random(9)
+    docs, labels = rated(rng, 300)
+    texts = [d[1] for d in docs] + ["", "A A a 12 12 %% \n\n É é", "x", "!!!", "wordy\u00a0words"]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    model = ordinal_quality.train(frame, spark.createDataFrame(labels, LABELS))
+    for row in ordinal_quality.rate(frame, model).collect():
+        expected, best = slow_rating(model, texts[row.doc_id])
+        assert (row.expected_grade, row.p_clean) == pytest.approx((expected, best), abs=1e-5), texts[row.doc_id]
+        assert row.keep == (row.p_clean >= ordinal_quality.KEEP)
+
+
+def test_fit_reaches_the_least_loss():
+    """Against a search that moves one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    grades = np.digitize(x @ [1.0, -0.5, 0.0] + rng.normal(size=60), [-0.5, 0.7])
+
+    def loss(point):
+        score, ends = x @ point[:3], np.concatenate([[-50], point[3:], [50]])
+        if point[4] - point[3] < ordinal_quality.GAP:
+            return math.inf
+        at = lambda k: 1 / (1 + np.exp(-(ends[k] - score)))
+        return -np.log(at(grades + 1) - at(grades)).mean() + 0.01 * np.abs(point[:3]).sum()
+
+    point, step = np.array([0, 0, 0, -0.5, 0.5]), 0.5
+    while step > 1e-6:
+        moves = [point + s * step * np.eye(5)[i] for i in range(5) for s in (1, -1)]
+        best = min(moves, key=loss)
+        point, step = (best, step) if loss(best) < loss(point) else (point, step / 2)
+    model = ordinal_quality.fit([(np.arange(3), row) for row in x], grades, 3, 0.01, 3_000)
+    found = np.r_[model.weights[:3], model.thresholds]
+    assert loss(found) == pytest.approx(loss(point), abs=1e-5)
+    assert found == pytest.approx(point, abs=0.02)
+
+
+def test_one_id_on_many_rows_gives_a_sample_of_its_size(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", None, None) for i in range(500)] + [(2, "other", "en", None, None)], SCHEMA)
+    sample = sampling.sampled_ids(docs.select("doc_id", "lang"), "doc_id", ["lang"], 10)
+    assert sample.count() <= 2
+    assert sorted(sampling.texts_of(docs, spark.createDataFrame([(1, "en"), (3, "de")], "doc_id bigint, lang string"), "doc_id", "text").collect()) == [(1, "en", "text 0")]
+    assert sampling.hashed_share(docs.select("doc_id"), "doc_id", 1_000).count() == 2
+    assert sampling.hashed_share(docs.select("doc_id"), "doc_id", 100).count() <= 2
+
+
+def test_columns_named_like_results_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "7", "8")], SCHEMA)
+    model = ordinal_quality.train(docs, spark.createDataFrame([], LABELS))
+    with pytest.raises(ValueError, match="grade"):
+        ordinal_quality.rate(docs, model, keep=("doc_id", "grade"))
+    with pytest.raises(ValueError, match="score"):
+        language_id.identify(docs, None, keep=("score",))

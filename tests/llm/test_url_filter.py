@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from strandline.llm import url_filter as uf
 
 SCHEMA = "page_id bigint, url string, host string, rule string, url_lower string"
@@ -56,3 +58,27 @@ def test_other_rules_and_no_vocabulary(spark):
     assert uf.filter_urls(pages, rules=rules, strict=(), soft={}).first().rule == "a.b/c/d"
     assert uf.filter_urls(pages, rules=(), strict=(), soft={}).first().verdict == "allow"
     assert uf.filter_urls(pages.limit(0)).collect() == []
+
+
+def test_vocabulary_of_thousands_from_a_table(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcdefg", k=rng.randint(2, 6))) for _ in range(6_000)})
+    terms = [(w, "strict" if i % 10 == 0 else "soft", None if i % 3 else 0.5) for i, w in enumerate(words[::2])]
+    odd = [(None, "strict", 1.0), ("", "soft", 1.0), ("zzz", "other", 1.0), (words[0].upper(), "soft", 9.0), (words[2], "soft", 0.25)]
+    strict, soft = uf.read_vocabulary(spark.createDataFrame(terms + odd, "term string, kind string, weight double"))
+    assert set(strict) == {t for t, k, _ in terms if k == "strict"}
+    assert soft == {t: max(w or 1.0, 0.25 if t == words[2] else 0) for t, k, w in terms if k == "soft"}
+    urls = ["http://h.net/" + "".join(rng.choice(words) + rng.choice("/-._") for _ in range(rng.randint(0, 5))) for _ in range(500)]
+    pages = spark.createDataFrame([(i, u, None, None, None) for i, u in enumerate(urls)], SCHEMA)
+    for row in uf.filter_urls(pages, rules=(), strict=strict, soft=soft, keep=("page_id",)).collect():
+        held = set(re.split("[^a-z0-9]", urls[row.page_id]))
+        weight = sum(soft[t] for t in held & set(soft))
+        assert (row.strict_hits, row.soft_hits) == (len(held & set(strict)), len(held & set(soft)))
+        assert row.verdict == ("block" if held & set(strict) or weight >= uf.SOFT_LIMIT else "allow")
+    with pytest.raises(ValueError, match="more than 5"):
+        uf.read_vocabulary(spark.createDataFrame(terms, "term string, kind string, weight double"), most=5)
+
+
+def test_kept_columns_named_like_results_are_refused(spark):
+    with pytest.raises(ValueError, match="host"):
+        uf.filter_urls(spark.createDataFrame([(1, "u", "h", None, None)], SCHEMA), keep=("page_id", "host"))
