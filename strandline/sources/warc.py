@@ -10,8 +10,9 @@ records begin; the sink writes one beside each file, and ``write_offsets`` makes
 for others in one pass.  A file without it, or a tar, is one task.
 
 Filters on the kind of record and on the URL (equal, one of, beginning with) are
-taken over by the reader where ``spark.sql.python.filterPushdown.enabled`` is set:
-other records are skipped after their header.
+taken over by the reader where ``spark.sql.python.filterPushdown.enabled`` is set when
+``register`` is called: other records are skipped after their header.  Without it Spark
+filters the rows.
 """
 
 from __future__ import annotations
@@ -408,7 +409,10 @@ class Files(InputPartition):
         return [path for path, *_ in self.parts]
 
 
-class WarcReader(DataSourceReader):
+class WarcScan(DataSourceReader):
+    """Reads the files and leaves all filters to Spark, which refuses a reader that takes
+    filters over where that is not enabled."""
+
     def __init__(self, options: dict[str, str]):
         self.files = list_files(options["path"])
         self.decode = options.get("decode", "false").lower() == "true"
@@ -417,23 +421,6 @@ class WarcReader(DataSourceReader):
         self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
         self.pushed: list[tuple[str, str, tuple[str, ...]]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes over tests of the kind and the URL; gives back all others."""
-        for test in filters:
-            column = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
-            if column not in ("rec_type", "url"):
-                yield test
-            elif isinstance(test, EqualTo) and isinstance(test.value, str):
-                self.pushed.append((column, "in", (test.value,)))
-            elif isinstance(test, In) and all(isinstance(v, str) for v in test.value):
-                self.pushed.append((column, "in", tuple(test.value)))
-            elif isinstance(test, StringStartsWith):
-                self.pushed.append((column, "starts", (test.value,)))
-            elif isinstance(test, IsNotNull):
-                self.pushed.append((column, "known", ()))
-            else:
-                yield test
-
     def wanted(self, rec_type: str | None, url: str | None) -> bool:
         if self.types and rec_type not in self.types:
             return False
@@ -477,6 +464,27 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
+class WarcReader(WarcScan):
+    """Takes filters over."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over tests of the kind and the URL; gives back all others."""
+        for test in filters:
+            column = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
+            if column not in ("rec_type", "url"):
+                yield test
+            elif isinstance(test, EqualTo) and isinstance(test.value, str):
+                self.pushed.append((column, "in", (test.value,)))
+            elif isinstance(test, In) and all(isinstance(v, str) for v in test.value):
+                self.pushed.append((column, "in", tuple(test.value)))
+            elif isinstance(test, StringStartsWith):
+                self.pushed.append((column, "starts", (test.value,)))
+            elif isinstance(test, IsNotNull):
+                self.pushed.append((column, "known", ()))
+            else:
+                yield test
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -603,8 +611,8 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+    def reader(self, schema) -> WarcScan:
+        return WarcScan(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         if overwrite:
@@ -612,8 +620,15 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
+class FilteringWarcSource(WarcSource):
+    def reader(self, schema) -> WarcReader:
+        return WarcReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``format("warc")`` known.  The code travels with the plan, so
+    """Make ``format("warc")`` known, with pushed filters if the session has them enabled;
+    call it again after that setting changes.  The code travels with the plan, so
     executors need not have this package."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.dataSource.register(WarcSource)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower() == "true"
+    spark.dataSource.register(FilteringWarcSource if pushed else WarcSource)
