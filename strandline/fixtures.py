@@ -99,7 +99,6 @@ join pages p on p.page_id = t.dst""",
     "redirects": """
 select page_id as src, case when page_id % 11 = 5 then page_id + 1 when page_id % 11 = 6 then page_id - 1
   when page_id % 7 in (1, 2, 3) then page_id + 1 else page_id end as dst from pages""",
-    "part_sitemap": "select loc, lastmod from sitemap where lastmod is not null",
     "hops": """
 select -1 - a.page_id as capture_id, e.ts, a.url, cast(case a.page_id % 5 when 0 then 301 when 1 then 302 when 2 then 307 when 3 then 308 else 200 end as int) as status,
   cast(100 as bigint) as bytes, md5(a.url) as digest, cast(0 as bigint) as attempt,
@@ -158,7 +157,6 @@ NEEDS = {
     "moved": ("captures",),
     "scoped_edges": ("edges",),
     "url_redirects": ("redirects",),
-    "part_sitemap": ("sitemap",),
     "hops": ("redirects",),
     "crawl_updates": ("captures",),
     "convert_updates": ("captures",),

@@ -48,3 +48,10 @@ def test_registered_warc_queries_in_a_session_without_pushdown(spark, tmp_path):
         assert QUERIES["S2_warc_to_dedup"](spark, str(tmp_path)).count() == 9
         assert {r.host for r in QUERIES["S2_warc_to_ua_audit"](spark, str(tmp_path)).collect()} <= {"h0.org", "h1.org", "h2.org"}
     warc.register(spark)
+
+
+def test_sitemap_seeds_hold_undated_pages(spark, tmp_path):
+    pages = [(i, f"https://h{i % 2}.org/{lang}/{i}", "") for i, lang in enumerate(("es", "de", "en", "en", "fr", "en", "en", "fr"))]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = QUERIES["S4_sitemap_seeds"](spark, str(tmp_path)).collect()
+    assert sorted(r.url for r in found) == sorted(u for _, u, _ in pages)
