@@ -301,6 +301,7 @@ def _score_by_tables(docs: DataFrame, model: PairTables, text_col: str, keep: tu
 
 EVENTS_A_PART = 4_000_000  # occurrences of bigrams that are counted and scored together
 BYTES_A_WORD = 6
+RANGE_EVENTS = 500_000  # of those, how many are unfolded at a time
 
 
 @dataclass
@@ -372,13 +373,24 @@ def _word_rows(side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = side * side
         for chunk in _chunks(batches):
-            keys, place = np.unique(np.r_[chunk.word, chunk.before], return_inverse=True)
             part = _part_of(chunk, side)
-            code, at = np.unique(place * parts + np.r_[part, part], return_inverse=True)
-            ends = at[: len(part)]
-            counts = [np.bincount(ends, chunk.times[chunk.text, i], len(code)) for i in (0, 1)]
-            columns = keys[code // parts], (code % parts).astype(np.int32), *(c.astype(np.int64) for c in counts)
+            chunk.before = None
+            keys, place = np.unique(chunk.word, return_inverse=True)
+            before = np.unique(np.roll(place, 1) * parts + part)  # a text ends with the edge, so the word before is the event before
+            ends = place * parts + part
+            chunk.word = place = part = None
+            order = np.argsort(ends, kind="stable")
+            ends, text = ends[order], chunk.text[order]
+            first = _starts(ends)
+            counts = [np.add.reduceat(chunk.times[:, i][text], first) for i in (0, 1)]
+            ends = ends[first]
+            other = np.setdiff1d(before, ends, assume_unique=True)
+            code = np.r_[ends, other]
+            columns = keys[code // parts], (code % parts).astype(np.int32), *(np.r_[c, np.zeros(len(other), np.int64)] for c in counts)
+            before = ends = text = None
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "part", "target", "background"])
+            other = code = columns = None
+            give_back()
 
     return run
 
@@ -417,13 +429,17 @@ def _part_rows(side: int):
             edges = np.r_[_starts(part), len(part)]
             for i, j in zip(edges[:-1], edges[1:]):
                 pair = _starts(before[i:j], word[i:j])
-                words, place = np.unique(np.r_[before[i:j][pair], word[i:j][pair]], return_inverse=True)
-                own, at = np.unique(text[i:j], return_inverse=True)
-                steps = np.diff(place[: len(pair)], prepend=0)
+                starts, ends = before[i:j][pair], word[i:j][pair]
+                words = np.union1d(starts[_starts(starts)], ends)
+                steps = np.diff(np.searchsorted(words, starts), prepend=0)
+                held = np.zeros(len(chunk.tags), bool)
+                held[text[i:j]] = True
+                own, at = np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - 1)[text[i:j]]
                 columns = {
-                    "tags": chunk.tags[own].ravel(), "times": chunk.times[own].ravel(), "words": words, "before": steps, "word": place[len(pair) :],
+                    "tags": chunk.tags[own].ravel(), "times": chunk.times[own].ravel(), "words": words, "before": steps, "word": np.searchsorted(words, ends),
                     "texts": np.diff(np.r_[pair, j - i]), "text": at, "often": often[i:j],
                 }
+                starts = ends = None
                 packed = {f: [_packed(columns[f].astype(k))] for f, k in FIELDS.items()}
                 yield pa.RecordBatch.from_pydict({"part": [part[i]], "kind": [1], "key": [None], "target": [None], "background": [None], **packed}, schema)
             part = before = word = text = first = often = columns = None
@@ -441,17 +457,45 @@ class Totals:
 
 
 def _part_losses(keys: np.ndarray, counts: np.ndarray, rows: list[dict], totals: Totals) -> pa.RecordBatch:
-    """Per text of a part: its events there, those that are its end, and their losses."""
+    """Per text of a part: its events there, those that are its end, and their losses.
+    A row's bigrams are in order, so they are taken by ranges of the word before, of some
+    RANGE_EVENTS occurrences at a time."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[:, order].astype(np.float64)
-    codes, seen = [], []
     for row in rows:
-        place = np.searchsorted(keys, row["words"])
-        code = place[np.cumsum(row["before"].astype(np.int64))] * len(keys) + place[row["word"]]
-        of_pair = np.repeat(np.arange(len(code)), row["texts"])
-        times = row["times"].reshape(-1, 2)[row["text"]] * row["often"][:, None]
-        seen.append([np.bincount(of_pair, times[:, side], len(code)) for side in (0, 1)])
-        codes.append(code)
+        place = np.searchsorted(keys, row["words"]).astype(np.uint32)
+        row["before"], row["word"] = place[np.cumsum(row["before"], dtype=np.uint32)], place[row["word"]]
+        row["first"] = np.r_[0, np.cumsum(row["texts"], dtype=np.int64)]
+        row["sums"] = np.zeros((4, len(row["tags"]) // 2))
+    edges = _range_edges(rows, len(keys))
+    for low, high in zip(edges[:-1], edges[1:]):
+        _add_losses(low, high, keys, counts, rows, totals)
+    tags = [row["tags"].reshape(-1, 2) for row in rows]
+    sums = np.concatenate([row["sums"] for row in rows], axis=1)
+    columns = np.concatenate([t[:, 0] for t in tags]), np.concatenate([t[:, 1] for t in tags]), *sums[:2].astype(np.int64), *sums[2:]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lm_tag", "lm_tag2", "events", "texts", "t", "b"])
+
+
+def _range_edges(rows: list[dict], size: int) -> np.ndarray:
+    """Where to cut the places of the words before."""
+    sizes = np.zeros(size, np.int64)
+    for row in rows:
+        sizes += np.bincount(row["before"], row["texts"], size).astype(np.int64)
+    ranges = (np.cumsum(sizes) - sizes) // RANGE_EVENTS
+    return np.r_[_starts(ranges), size]
+
+
+def _add_losses(low: int, high: int, keys: np.ndarray, counts: np.ndarray, rows: list[dict], totals: Totals) -> None:
+    """The bigrams after the words of places [low, high)."""
+    codes, seen, spans = [], [], []
+    for row in rows:
+        i, j = np.searchsorted(row["before"], np.array([low, high], row["before"].dtype))
+        a, b = row["first"][i], row["first"][j]
+        spans.append((i, j, a, b))
+        codes.append(row["before"][i:j].astype(np.int64) * len(keys) + row["word"][i:j])
+        of_pair = np.repeat(np.arange(j - i), row["texts"][i:j])
+        times, often = row["times"].reshape(-1, 2), row["often"][a:b]
+        seen.append([np.bincount(of_pair, times[:, side][row["text"][a:b]] * often, j - i) for side in (0, 1)])
     pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
     before, word = pairs // len(keys), pairs % len(keys)
     losses = []
@@ -460,14 +504,13 @@ def _part_losses(keys: np.ndarray, counts: np.ndarray, rows: list[dict], totals:
         count = np.bincount(at, np.concatenate([s[side] for s in seen]), len(pairs))
         losses.append(-np.log((count + MASS * p1) / (counts[side][before] + MASS)))
     ends = (keys[word] == EDGE).astype(np.float64)
-    out, start = [], 0
-    for row, code in zip(rows, codes):
-        own = np.repeat(at[start : start + len(code)], row["texts"])
-        start += len(code)
-        tags, often = row["tags"].reshape(-1, 2), row["often"].astype(np.float64)
-        sums = [np.bincount(row["text"], often * v, len(tags)) for v in (np.ones(len(own)), ends[own], losses[0][own], losses[1][own])]
-        out.append([tags[:, 0], tags[:, 1], sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["lm_tag", "lm_tag2", "events", "texts", "t", "b"])
+    start = 0
+    for row, (i, j, a, b) in zip(rows, spans):
+        own = np.repeat(at[start : start + j - i], row["texts"][i:j])
+        start += j - i
+        text, often = row["text"][a:b], row["often"][a:b].astype(np.float64)
+        for total, v in zip(row["sums"], (np.ones(len(own)), ends[own], losses[0][own], losses[1][own])):
+            total += np.bincount(text, often * v, len(total))
 
 
 def _part_sums(totals: Totals):
