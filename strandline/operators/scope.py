@@ -152,7 +152,7 @@ def block(
     return replace_blocked(df, F.coalesce(blocked, F.lit(False)), message)
 
 
-GRAM = 3
+GRAMS = (3, 6, 12)  # lengths of the texts that rules are looked up by
 RULES_A_ROW = 64
 
 #: What makes it doubtful which characters a pattern needs: flags, quoting, codes.
@@ -160,9 +160,9 @@ DOUBT = r"\(\?[a-zA-Z-]|\\[0-9QEcxuUpPkNX]"
 CUT = "\x00"  # in place of what is not a plain character
 
 
-def required_literal(pattern: Column) -> Column:
-    """The longest text that is in whatever the pattern matches, as far as is plain
-    from outside of its groups and classes; '' if none is."""
+def required_literals(pattern: Column) -> Column:
+    """The texts that are in whatever the pattern matches, as far as is plain from
+    outside of its groups and classes; '' may be among them."""
     plain = F.regexp_replace(pattern, r"\\.", CUT)
     plain = F.regexp_replace(plain, r"\[\^?\]?[^\]]*\]", CUT)
     for _ in range(3):  # groups in groups
@@ -170,28 +170,39 @@ def required_literal(pattern: Column) -> Column:
     unclear = pattern.rlike(DOUBT) | plain.rlike(r"[|()\[\]\\]") | pattern.contains("&&")
     plain = F.regexp_replace(plain, r"(?s).(?:[*?]|\{[^}]*\})[+?]?", CUT)
     runs = F.split(F.regexp_replace(plain, r"[.^$+*?{}]", CUT), CUT)
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    return F.when(unclear, F.lit("")).otherwise(F.coalesce(longest, F.lit("")))
+    return F.when(unclear, F.array(F.lit(""))).otherwise(runs)
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest of them; '' if there is none."""
+    runs = F.transform(required_literals(pattern), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+    return F.coalesce(F.array_max(runs)["run"], F.lit(""))
 
 
 def _grams(text: Column) -> Column:
-    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: text.substr(i, F.lit(GRAM))))
+    """Its distinct parts of each length in :data:`GRAMS`."""
 
+    def parts(size: int) -> Column:
+        places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: text.substr(i, F.lit(size)))
 
-def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, always, texts) of each distinct ``url`` that rules (pattern, text) match:
-    does one without a text pattern, and the text patterns of the others.
+    return F.array_distinct(F.concat(*map(parts, GRAMS)))
 
-    A rule is looked up by the rarest three characters, among all URLs, of a text that
-    its matches need.  Only URLs that hold them are tested.  Rules that need no such
-    text meet every URL, in rows of some :data:`RULES_A_ROW`.  Rules without a pattern
-    match nothing; a rule that needs what no URL holds is left out."""
+
+def tested_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, pattern, text): each distinct ``url`` with the rules that it has to be
+    tested with.
+
+    A rule is looked up by the rarest part, among all URLs, of the texts that its matches
+    need; a part has one of the lengths in :data:`GRAMS`, so rules with longer texts keep to
+    few URLs however many there are.  Only URLs that hold them are tested.  Rules that need
+    no such text meet every URL, in rows of some :data:`RULES_A_ROW`.  Rules without a
+    pattern match nothing; a rule that needs what no URL holds is left out."""
     urls = urls.filter("url is not null").distinct()
     seen = urls.select(F.explode(_grams(F.col("url"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_urls"))
     seen = written(seen, "grams")
     given = rules.select("pattern", "text").filter("pattern is not null").distinct()
-    needs = given.withColumn("grams", _grams(required_literal(F.col("pattern"))))
+    needs = given.withColumn("grams", F.array_distinct(F.flatten(F.transform(required_literals(F.col("pattern")), _grams))))
     free = needs.filter(F.size("grams") == 0).select("pattern", "text", F.lit("").alias("gram"))
     bound = needs.select("pattern", "text", F.explode("grams").alias("gram"))
     bound = lookup_join(bound, seen, ["gram"], "left", ["pattern"])
@@ -204,7 +215,13 @@ def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     rows = written(rows.agg(F.collect_list(F.struct("pattern", "text")).alias("rules")), "rules")
     met = urls.select("url", F.explode(F.array_union(_grams(F.col("url")), F.array(F.lit("")))).alias("gram"))
     met = lookup_join(met, rows, ["gram"], "inner", ["url"])
-    hit = met.select("url", F.inline("rules")).filter(F.regexp_like(F.col("url"), F.col("pattern")))
+    return met.select("url", F.inline("rules"))
+
+
+def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, always, texts) of each distinct ``url`` that rules (pattern, text) match:
+    does one without a text pattern, and the text patterns of the others."""
+    hit = tested_rules(urls, rules).filter(F.regexp_like(F.col("url"), F.col("pattern")))
     return hit.groupBy("url").agg(F.bool_or(F.col("text").isNull()).alias("always"), F.collect_set("text").alias("texts"))
 
 

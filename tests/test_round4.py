@@ -5,6 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import scope
 from strandline.plans.queries import QUERIES
 from strandline.sources import warc
 
@@ -55,3 +56,14 @@ def test_sitemap_seeds_hold_undated_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = QUERIES["S4_sitemap_seeds"](spark, str(tmp_path)).collect()
     assert sorted(r.url for r in found) == sorted(u for _, u, _ in pages)
+
+
+def test_rules_are_tested_with_few_urls(spark):
+    n = 600
+    urls = spark.range(100, 100 + n).select(F.concat(F.lit("http://www.h.org/en/"), "id", F.lit("/")).alias("url"))
+    pattern = F.concat(F.lit("^https?://(?:www|blog)[.].*/"), F.col("id"), F.lit("[^0-9]"))
+    deep = F.concat(F.lit("/en/"), F.col("id"), F.lit("([/?.#]|$)"))
+    rules = spark.range(100, 100 + n).select(F.explode(F.array(pattern, deep)).alias("pattern"), F.lit(None).cast("string").alias("text"))
+    tested = scope.tested_rules(urls, rules)
+    assert tested.count() <= 12 * n
+    assert scope.matching_rules(urls, rules).filter("always").count() == n
