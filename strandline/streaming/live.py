@@ -10,10 +10,10 @@ from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, IntegralType, StructType, TimestampType
 
 from strandline.operators.report import latest_progress, progress_updates
 from strandline.operators.skew import SALTS
@@ -74,29 +74,93 @@ def firsts_per_window(
     return firsts.select(*key, F.col("first.t").alias(ts), F.col("first.u").alias(uid))
 
 
-def first_of_key(firsts: DataFrame, key: Sequence[str], horizon: str = "30 days", ts: str = "ts", uid: str = "capture_id") -> DataFrame:
+KEY_GROUPS = 4096  # groups of keys, each with one call and one state for all its keys
+
+
+def _text(column: str, kind: DataType) -> Column:
+    """A key column as text: equal where grouping holds values for equal."""
+    value = F.col(column)
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.when(value == 0, F.lit(0).cast(kind)).otherwise(value).cast("string")
+    if isinstance(kind, BinaryType):
+        return F.hex(value)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.to_json(F.struct(value.alias("value")), _EXACT)
+    return value.cast("string")
+
+
+def _valued(column: str, kind: DataType) -> Column:
+    """The value that :func:`_text` has as text."""
+    text = F.col(column)
+    if isinstance(kind, BinaryType):
+        return F.unhex(text)
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(text.cast("bigint"))
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.from_json(text, StructType().add("value", kind), _EXACT)["value"]
+    return text.cast(kind)
+
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def first_of_key(
+    firsts: DataFrame, key: Sequence[str], horizon: str = "30 days", ts: str = "ts", uid: str = "capture_id", groups: int = KEY_GROUPS
+) -> DataFrame:
     """The earliest capture of each key, once; a key not seen for ``horizon`` is
     forgotten, which bounds the state.
 
     ``firsts`` is a stream over the table that :func:`firsts_per_window` fills: one
     row per key and window, and windows close in order, so the first row of a key
-    is its earliest.  The state of a key is one flag."""
+    is its earliest.  Keys are handled in ``groups`` by their hash, as a call and a
+    state for each key cost more than all the rest; a group's state lists its keys and
+    until when each is known.  A stream that goes on must keep to its ``groups``."""
     columns = [*key, ts, uid]
     schema = firsts.select(*columns).schema
     keep_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
-
-    def watch(names: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    names = [f"key_{i}" for i in range(len(key))]
+    whole = isinstance(schema[uid].dataType, IntegralType)  # which pandas keeps as floats beside a null
+    uid_kind = "decimal(20,0)" if whole else schema[uid].dataType.simpleString()
+
+    def place(row: tuple) -> tuple:
+        """Rows in order of time and id, those without an id last."""
+        return row[0], row[1] is None or row[1] != row[1], row[1]
+
+    def watch(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *known, until = state.get if state.exists else [[] for _ in [*names, ts]]
+        seen = dict(zip(zip(*known), until))
+        now = state.getCurrentWatermarkMs()
+        first: dict[tuple, tuple] = {}
+        last: dict[tuple, pd.Timestamp] = {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for row in zip(zip(*(frame[n].tolist() for n in names)), frame["first_ts"].tolist(), frame["first_uid"].tolist()):
+                    name, found = row[0], row[1:]
+                    if name not in seen and (name not in first or place(found) < place(first[name])):
+                        first[name] = found
+                    if name not in last or found[0] > last[name]:
+                        last[name] = found[0]
+        seen = {name: end for name, end in seen.items() if end >= now or name in last}
+        seen.update((name, max(int(t.timestamp() * 1000), now) + keep_ms) for name, t in last.items())
+        if seen:
+            state.update((*map(list, zip(*seen)), list(seen.values())))
+            state.setTimeoutTimestamp(min(seen.values()))
+        else:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values([ts, uid], ignore_index=True)
-        if not state.exists:
-            yield rows.iloc[:1][columns]
-        state.update((True,))
-        state.setTimeoutTimestamp(max(int(rows[ts].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-
-    seen = firsts.select(*columns).withWatermark(ts, "0 seconds")
-    return seen.groupBy(*key).applyInPandasWithState(watch, schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        if first:
+            found = {n: list(values) for n, values in zip(names, zip(*first))}
+            yield pd.DataFrame(found | {"first_ts": [t for t, _ in first.values()], "first_uid": [u for _, u in first.values()]})
+
+    rows = firsts.select(*columns).withWatermark(ts, "0 seconds")
+    texts = [_text(k, schema[k].dataType).alias(n) for k, n in zip(key, names)]
+    rows = rows.select(F.pmod(F.xxhash64(*texts), F.lit(groups)).alias("key_group"), *texts, F.col(ts).alias("first_ts"), F.col(uid).cast(uid_kind).alias("first_uid"))
+    out = ", ".join([*(f"{n} string" for n in names), f"first_ts {schema[ts].dataType.simpleString()}", f"first_uid {uid_kind}"])
+    kept = ", ".join([*(f"{n} array<string>" for n in names), "until array<bigint>"])
+    found = rows.groupBy("key_group").applyInPandasWithState(watch, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    values = [_valued(n, schema[k].dataType).alias(k) for k, n in zip(key, names)]
+    return found.select(*values, F.col("first_ts").alias(ts), F.col("first_uid").cast(schema[uid].dataType).alias(uid))
 
 
 class FirstCaptures:
