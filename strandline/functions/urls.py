@@ -75,7 +75,15 @@ def bad_url(url: Column | str) -> Column:
     hold no address, or a host that normalisation would cut elsewhere."""
     url = _col(url)
     brackets = url.rlike(UNPAIRED) | url.rlike(INNER_BRACKET) | (url.rlike(BRACKETED) & ~url.rlike(GOOD_BRACKETS))
-    return (url.rlike(HAS_PORT) & ~url.rlike(GOOD_PORT)) | brackets | url.rlike(TURNED_MARK)
+    brackets = (url.contains("[") | url.contains("]")) & brackets  # byte tests come first
+    turned = (F.octet_length(url) != F.length(url)) & url.rlike(TURNED_MARK)
+    return (url.rlike(HAS_PORT) & ~url.rlike(GOOD_PORT)) | brackets | turned
+
+
+def unusable(url: Column | str) -> Column:
+    """Does :func:`clean_url` give null for this URL, which is not null?"""
+    url = _col(url)
+    return url.isNotNull() & ~_plain(url) & bad_url(F.regexp_replace(url, EDGE_SPACE, ""))
 
 
 def _plain(url: Column) -> Column:

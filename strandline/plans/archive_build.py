@@ -130,6 +130,8 @@ def decide(
     (with ``revisit_of`` if the policy is revisit).  Redirects (src, dst) are followed
     on the way from the seeds and are no hops."""
     thin = allowed.select(*[c for c in THIN if c in allowed.columns])
+    if links is not None or (recipe.max_retries is not None and "attempt" in thin.columns):
+        thin = written(thin, "allowed")  # read several times: URLs are cleaned and tested once
     if links is not None:
         seeds = seeds.withColumn("url", _address("url", recipe))
         links = links.select(*[_address(c, recipe).alias(c) for c in ("src", "dst")])
@@ -200,7 +202,7 @@ def build_archive(
         last = seeds.agg(F.max("pos")).first()[0] or 0  # after the seeds given, so the homepage stays
         seeds = written(seeds.select("pos", "url").unionByName(more.select(F.lit(last + 1).alias("pos"), "url")), "seeds")
     found = positions.located(captures)
-    bad_urls = captures.filter(F.col("url").isNotNull() & U.clean_url("url").isNull()).count()
+    bad_urls = captures.filter(U.unusable("url")).count()
     allowed = candidates(captures if found is None else found, seeds, recipe, hosts, mapping, hopping=links is not None and recipe.extra_hops > 0)
     redirects = None
     if links is not None and {"redirect_to", "status", "ts"} <= set(captures.columns):
