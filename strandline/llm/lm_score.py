@@ -326,9 +326,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     sizes = 0
 
     def chunk() -> Chunk:
-        before, word = (np.concatenate([e[i] for e in held]) for i in (slice(None, -1), slice(1, None)))
         text = np.repeat(np.arange(len(held), dtype=np.int32), [len(e) - 1 for e in held])
-        return Chunk(np.array(list(places), np.int64), np.array(times, np.int64), before, word, text)
+        ends = np.cumsum([len(e) for e in held])
+        events = np.concatenate(held)
+        held.clear()  # the caller sorts: nothing but the chunk is held meanwhile
+        hashes.memo = {}
+        inner = np.ones(len(events), bool)
+        inner[ends - 1] = False
+        before = events[inner]
+        inner[ends - 1] = True
+        inner[np.r_[0, ends[:-1]]] = False
+        return Chunk(np.array(list(places), np.int64), np.array(times, np.int64), before, events[inner], text)
 
     for batch in small(batches):
         for text, target, *tag in zip(*(c.to_pylist() for c in batch.columns)):
@@ -352,8 +360,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 def _part_of(chunk: Chunk, side: int) -> np.ndarray:
     """Parts are a square: its rows by the hash of the word before, its columns by that
     of the word.  A word meets the parts of one row and one column."""
-    before, word = (((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(side) for h in (chunk.before, chunk.word))
-    return (before * np.uint64(side) + word).astype(np.int32)
+
+    def line(hashes: np.ndarray) -> np.ndarray:
+        found = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        found >>= np.uint64(32)
+        found %= np.uint64(side)
+        return found.astype(np.int32)
+
+    part = line(chunk.before)
+    part *= np.int32(side)
+    part += line(chunk.word)
+    return part
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -420,12 +437,18 @@ def _part_rows(side: int):
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("key", "target", "background")), *((f, pa.binary()) for f in FIELDS)])
         for chunk in _chunks(batches):
             part = _part_of(chunk, side)
-            order = np.lexsort((chunk.text, chunk.word, chunk.before, part))
-            part, before, word, text = (c[order] for c in (part, chunk.before, chunk.word, chunk.text))
-            chunk.before = chunk.word = chunk.text = order = None
-            first = _starts(part, before, word, text)
-            often = np.diff(np.r_[first, len(part)])
-            part, before, word, text = (c[first] for c in (part, before, word, text))
+            columns = [part, chunk.before, chunk.word, chunk.text]
+            part = chunk.before = chunk.word = chunk.text = None
+            order = np.lexsort(columns[::-1])
+            for i in range(len(columns)):  # one at a time: the unsorted column goes
+                columns[i] = columns[i][order]
+            order = None
+            first = _starts(*columns)
+            often = np.diff(np.r_[first, len(columns[0])]).astype(np.uint32)
+            for i in range(len(columns)):
+                columns[i] = columns[i][first]
+            part, before, word, text = columns
+            columns = first = None
             edges = np.r_[_starts(part), len(part)]
             for i, j in zip(edges[:-1], edges[1:]):
                 pair = _starts(before[i:j], word[i:j])

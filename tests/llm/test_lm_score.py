@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,30 @@ def test_many_parts_and_chunks(spark, monkeypatch):
             assert got is None if loss is None else got == pytest.approx(loss)
     packed = lm_score._packed(lm_score.np.array([3, 1 << 40, -1]))
     assert lm_score._unpacked(packed, lm_score.np.int64).tolist() == [3, 1 << 40, -1]
+
+
+def test_a_chunk_is_all_that_is_held_while_it_is_sorted(monkeypatch):
+    """On large groups of copies an executor went over its memory in this step."""
+    monkeypatch.setattr(lm_score, "HELD", 100_000)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(800)).encode() for _ in range(490)]
+    batch = pa.RecordBatch.from_pydict({"lm_text": texts, "lm_target": [i % 3 == 0 for i in range(490)], "lm_tag": range(490), "lm_tag2": range(490)})
+    held = list(lm_score._chunks(iter([batch])))
+    assert [len(c.word) for c in held] == [801 * 490] and (held[0].before != lm_score.EDGE).sum() == 800 * 490 == (held[0].word != lm_score.EDGE).sum()
+    assert all((held[0].before[1:] == held[0].word[:-1])) and held[0].text.tolist() == [i for i in range(490) for _ in range(801)]
+    words = 0
+    held = None
+    tracemalloc.start()
+    found = lm_score._chunks(iter([batch]))
+    chunk = next(found)
+    words = len(chunk.word)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    monkeypatch.setattr(lm_score, "_chunks", lambda batches: iter([chunk]))
+    rows = lm_score._part_rows(4)(iter([]))
+    parts = [next(rows).column("part")[0].as_py()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts + [r.column("part")[0].as_py() for r in rows] == list(range(16))
+    assert kept < 30 * words  # 20 bytes an event; the hashes and the memo of words were held too
+    assert most - kept < 50 * words
