@@ -11,6 +11,7 @@ from strandline.llm import bpe_transducer, exact_dedup, mixing, near_copies, ord
 from strandline.session import written
 
 MEMO = 120_000  # stretches a worker keeps: the other stages' models are in its memory too
+BATCH = 1_000  # whole texts that Spark hands to a worker at a time: in its memory and in the executor's
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,6 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row of the mix, the number and digests of its token ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return bpe_transducer.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "source"), memo=MEMO)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandline.llm.batches import KEPT, refuse_clash, small
 
 MEMO = 200_000  # stretches kept; then the next generation starts
-STATES = 120_000  # states kept; others are worked out again whenever they are met
+STATES = 120_000  # states kept at most; others are worked out again whenever they are met
 PAIRS = 300_000
 DECODE_TOKENS = 8192
 
@@ -67,8 +67,8 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.ranks, self.most, self.most_pairs = ranks, max(1, int(STATES * share)), max(1, int(PAIRS * share))
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: list[dict[int, int]] = [{}]  # the trie of all tokens
         self.ends: list[int] = [-1]
@@ -94,7 +94,7 @@ class Transducer:
         """Does BPE leave these two tokens side by side?  -1 is the word's start."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             before = b"" if left < 0 else self.tokens[left]
             want = [right] if left < 0 else [left, right]
@@ -126,7 +126,7 @@ class Transducer:
         following = self.states.get(key)
         if following is None:
             following = State(*key)
-            if len(self.states) >= STATES:
+            if len(self.states) >= self.most:
                 self.unkept += 1
                 return following, emitted
             self.states[key] = following
@@ -134,7 +134,7 @@ class Transducer:
         return following, emitted
 
     def encode_word(self, word: bytes) -> list[int]:
-        if self.unkept > 16 * STATES:  # the words are others than when the states were met
+        if self.unkept > 16 * self.most:  # the words are others than when the states were met
             self.restart()
         state, out = self.start, []
         for byte in word:
@@ -151,7 +151,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int | None = None):
         self.most = MEMO if memo is None else memo
-        self.machine = Transducer(ranks)
+        self.machine = Transducer(ranks, min(1.0, self.most / MEMO))  # a smaller memo, a smaller machine
         self.words = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}  # () stands for a stretch that cannot be looked up
         self.older: dict[str, tuple[int, ...]] = {}
@@ -238,7 +238,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
 
     Null and empty texts have no ids.  One scan, no shuffle; memory is bounded by
     the longest text, ``memo`` (stretches a worker keeps, some 250 bytes each, twice)
-    and the bounds above.  No rows give no rows.
+    and the bounds above, of which a smaller memo takes its share.  No rows give no rows.
     ``keep`` may not hold one of the names added.
     """
     refuse_clash(keep, SCHEMA + ", ids array<int>" * ids)

@@ -96,3 +96,13 @@ def test_table(spark, whole):
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert len(found) == len(texts)
     assert bpe.encode_decode(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_smaller_memo_has_a_smaller_machine(ranks, whole, monkeypatch):
+    """The pipeline's workers went over an executor's memory with a whole machine behind a part of the memo."""
+    for name, most in (("MEMO", 400), ("STATES", 400), ("PAIRS", 400)):
+        monkeypatch.setattr(bpe, name, most)
+    small = bpe.Codec(ranks, public_tokenizers.PATTERN, 100)
+    text = " ".join(f"{i * 7919} wörd{i} incomprehensibilities" for i in range(400))
+    assert small.encode(text) == whole.encode_ordinary(text)
+    assert len(small.machine.states) <= 100 and len(small.machine.pairs) <= 100
