@@ -2,9 +2,9 @@
 
 The target model counts the documents that a condition names, the background model
 all others.  Both share one vocabulary and one list of bigrams.  By default these
-are all words and all bigrams.  What is gathered grows with the input: each task brings
-its distinct bigrams with the texts they are in to parts by the bigram's hash, where
-they are counted and the texts' losses summed.
+are all words and all bigrams.  What is gathered grows with the input: texts are held in
+chunks of bounded size, which send their distinct words and bigrams to be counted and get
+the counts in all chunks back.
 
 Given shares instead, words of at least ``word_share`` and bigrams of at least
 ``pair_share`` of all events of either side are listed; other words are one unknown
@@ -22,7 +22,6 @@ Loss is the mean of -log p over the events; a low difference is like the target.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -567,25 +566,255 @@ def _part_sums(totals: Totals):
     return run
 
 
-def _score_own(model: PairTables, keep: tuple[str, ...]) -> DataFrame:
-    """Bigrams are spread over parts by both words, so a frequent word is in many.  A part gets the
-    counts of the words in its bigrams, and what each task holds of it packed in a few
-    rows; it counts the bigrams and gives every text the sum of its losses there."""
-    docs, text = model.docs, F.coalesce(F.col(model.text_col), F.lit(""))
-    tags = {"lm_tag": F.xxhash64(text), "lm_tag2": F.xxhash64(text, F.lit(1))}
-    texts = docs.select(text.cast("binary").alias("lm_text"), F.coalesce(model.target, F.lit(False)).alias("lm_target"), *(c.alias(n) for n, c in tags.items()))
-    texts = texts.filter("length(lm_text) > 0")
-    length = texts.agg(F.sum(F.length("lm_text"))).first()[0] or 0
-    side = math.isqrt(length // (BYTES_A_WORD * EVENTS_A_PART)) + 1
-    found = texts.mapInArrow(_word_rows(side), "key bigint, part int, target bigint, background bigint")
+def _one_part(texts: DataFrame) -> DataFrame:
+    """Sums of texts whose bigrams fit one part.  It gets the counts of all words, and what
+    each task holds packed in a few rows."""
+    found = texts.mapInArrow(_word_rows(1), "key bigint, part int, target bigint, background bigint")
     sums = [F.sum(c).alias(c) for c in ("target", "background")]
     words = found.repartition("key").groupBy("key", "part").agg(*sums).groupBy("key").agg(*sums, F.collect_list("part").alias("parts"))
     words = written(words, "word-counts")
     target, background, size = words.agg(F.sum("target"), F.sum("background"), F.count(F.when(F.col("key") != EDGE, 1))).first()
     totals = Totals((target or 0, background or 0), size)
     of_part = words.select(F.explode("parts").alias("part"), F.lit(0).alias("kind"), "key", "target", "background", *(F.lit(None).cast("binary").alias(f) for f in FIELDS))
-    both = of_part.unionAll(texts.mapInArrow(_part_rows(side), PART_ROWS)).repartition("part").sortWithinPartitions("part", "kind")
-    each = both.mapInArrow(_part_sums(totals), "lm_tag bigint, lm_tag2 bigint, events bigint, texts bigint, t double, b double")
+    both = of_part.unionAll(texts.mapInArrow(_part_rows(1), PART_ROWS)).repartition("part").sortWithinPartitions("part", "kind")
+    return both.mapInArrow(_part_sums(totals), SUMS)
+
+
+SUMS = "lm_tag bigint, lm_tag2 bigint, events bigint, texts bigint, t double, b double"
+
+# --- texts of more than one part --------------------------------------------
+
+LEAST_SLICES = 256  # into which keys are cut; a slice is counted at a time
+
+#: A stored chunk: its distinct texts (two tags, two times, events); of each event the place
+#: of its word by frequency, and those places by hash; hashes (as steps) and counts of words.
+CHUNK = {
+    "tags": np.int64, "times": np.int64, "lengths": np.uint32, "events": np.uint32, "order": np.uint32,
+    "words": np.uint64, "target": np.int64, "background": np.int64,
+}
+SLICE_ROWS = "slice int, chunk bigint, `keys` binary, target binary, background binary"
+#: What a chunk gets back: the places of its keys among all of the slice, and their counts in
+#: all chunks.  A slice of words adds a row without a chunk, with its words and events.
+TOTAL_ROWS = "slice int, chunk bigint, kind int, places binary, target binary, background binary, size bigint, n_target bigint, n_background bigint"
+
+
+def _rows_of(columns: dict, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.strip().replace("`", "").split() for f in schema.split(",")]
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), kinds[k]) for c, k in fields], [c for c, _ in fields])
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(batches):
+        chunk.before = None
+        words, place, often = np.unique(chunk.word.view(np.uint64), return_inverse=True, return_counts=True)
+        chunk.word = None
+        counts = [np.bincount(place, chunk.times[:, side][chunk.text]) for side in (0, 1)]
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        lengths = np.bincount(chunk.text, minlength=len(chunk.tags))
+        columns = chunk.tags.ravel(), chunk.times.ravel(), lengths, rank[place], order, np.diff(words, prepend=np.uint64(0)), *counts
+        place = None
+        yield pa.RecordBatch.from_pydict({f: [_packed(c.astype(k))] for (f, k), c in zip(CHUNK.items(), columns)})
+        chunk = columns = counts = None
+        give_back()
+
+
+def _cut(chunk: int, keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], shift: int) -> pa.RecordBatch:
+    """Sorted keys of a chunk by slices, which are ranges: so steps stay small, however
+    many slices there are."""
+    of = keys >> np.uint64(shift)
+    edges = np.r_[_starts(of), len(keys)]
+    rows: dict[str, list] = {"slice": [], "chunk": [], "keys": [], "target": [], "background": []}
+    for i, j in zip(edges[:-1], edges[1:]):
+        own = np.diff(keys[i:j], prepend=of[i] << np.uint64(shift)), *(c[i:j].astype(np.int64) for c in counts)
+        for name, value in zip(rows, (int(of[i]), chunk, *map(_packed, own))):
+            rows[name].append(value)
+    return _rows_of(rows, SLICE_ROWS)
+
+
+def _word_slices(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                steps, *counts = (_unpacked(row[f], CHUNK[f]) for f in ("words", "target", "background"))
+                yield _cut(row["chunk"], np.cumsum(steps, dtype=np.uint64), counts, shift)
+
+    return run
+
+
+def _slice_totals(kind: int):
+    """Rows come by slice.  Kind 0, of words, tells places and sizes as well."""
+
+    def totals(number: int, rows: list[dict]) -> pa.RecordBatch:
+        keys = [np.cumsum(_unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        ends = np.cumsum([0, *map(len, keys)])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = None
+        sums = []
+        for side in ("target", "background"):
+            sums.append(np.bincount(place, np.concatenate([_unpacked(r[side], np.int64) for r in rows]), len(distinct)).astype(np.int64))
+        out = {"slice": [number] * len(rows), "chunk": [r["chunk"] for r in rows], "kind": [kind] * len(rows), "places": [None] * len(rows)}
+        for side, total in zip(("target", "background"), sums):
+            out[side] = [_packed(total[place[i:j]]) for i, j in zip(ends[:-1], ends[1:])]
+        if kind == 0:
+            out["places"] = [_packed(np.diff(place[i:j], prepend=0).astype(np.uint32)) for i, j in zip(ends[:-1], ends[1:])]
+            for column, value in zip(out.values(), (number, None, kind, None, None, None)):
+                column.append(value)
+            for name, value in zip(("size", "n_target", "n_background"), (len(distinct), *(int(s.sum()) for s in sums))):
+                out[name] = [None] * len(rows) + [value]
+        return _rows_of(out, TOTAL_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["slice"] != number:
+                    if rows:
+                        yield totals(number, rows)
+                    number, rows = row["slice"], []
+                rows.append(row)
+        if rows:
+            yield totals(number, rows)
+        rows = []
+        give_back()
+
+    return run
+
+
+@dataclass
+class Numbering:
+    """Words are numbered over all slices: those of a slice from its start on."""
+
+    totals: Totals
+    starts: dict[int, int]
+    words: int
+    slice_bits: int
+
+    @property
+    def bits(self) -> int:
+        return min(64, max(self.slice_bits, (self.words * self.words - 1).bit_length()))
+
+    @property
+    def shift(self) -> int:
+        return self.bits - self.slice_bits
+
+    def pairs(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """A number of ``bits`` bits for two words, one to one (up to 2 ** 32 words) and
+        mixed, so that the bigrams of a frequent word are in all slices."""
+        bits, mask = self.bits, np.uint64((1 << self.bits) - 1)
+        x = before.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64)
+        x = x * np.uint64(0x9E3779B97F4A7C15) & mask
+        x ^= x >> np.uint64(max(1, bits // 2))
+        return x * np.uint64(0xC2B2AE3D27D4EB4F) & mask
+
+
+@dataclass
+class Events:
+    """Of a chunk: its texts' tags and times; of its events the text, the place of the word
+    among those of the chunk, and that of the bigram; the distinct bigrams, sorted; and
+    either side's counts of its words in all chunks."""
+
+    tags: np.ndarray
+    times: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    pairs: np.ndarray
+    counts: list[np.ndarray]
+
+
+def _events(chunk: pa.Table, found: list[dict], numbering: Numbering) -> Events:
+    own = {f: _unpacked(v, CHUNK[f]) for f, v in chunk.drop_columns("chunk").to_pylist()[0].items()}
+    rows = [r for r in found if r["kind"] == 0]
+    ids = np.concatenate([np.cumsum(_unpacked(r["places"], np.uint32), dtype=np.int64) + numbering.starts[r["slice"]] for r in rows])
+    counts = [np.concatenate([_unpacked(r[side], np.int64) for r in rows]) for side in ("target", "background")]
+    word = own["order"][own["events"]]
+    ids = ids[word]
+    pairs, pair = np.unique(numbering.pairs(np.roll(ids, 1), ids), return_inverse=True)  # a text ends with the edge, which is before the next
+    text = np.repeat(np.arange(len(own["lengths"]), dtype=np.int32), own["lengths"])
+    return Events(own["tags"].reshape(-1, 2), own["times"].reshape(-1, 2), text, word, pair, pairs, counts)
+
+
+def _by_slice(found: pa.Table) -> list[dict]:
+    return sorted(found.to_pylist(), key=lambda r: r["slice"])
+
+
+def _pair_slices(numbering: Numbering):
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        e = _events(chunk, _by_slice(found), numbering)
+        counts = [np.bincount(e.pair, e.times[:, side][e.text], len(e.pairs)) for side in (0, 1)]
+        rows = _cut(chunk["chunk"][0].as_py(), e.pairs, counts, numbering.shift)
+        e = counts = None
+        give_back()
+        return pa.Table.from_batches([rows])
+
+    return run
+
+
+def _chunk_sums(numbering: Numbering):
+    """Per text of a chunk: its events, its ends (one), and its losses."""
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        found = _by_slice(found)
+        e = _events(chunk, found, numbering)
+        n, totals = len(e.tags), numbering.totals
+        sums = []
+        for side, column in enumerate(("target", "background")):
+            count = np.concatenate([_unpacked(r[column], np.int64) for r in found if r["kind"] == 1])
+            of_word = e.counts[side][e.word].astype(np.float64)
+            p1 = (of_word + 1.0) / float(totals.events[side] + totals.size + 2)
+            loss = -np.log((count[e.pair] + MASS * p1) / (np.roll(of_word, 1) + MASS))
+            sums.append(np.bincount(e.text, loss, n))
+        columns = e.tags[:, 0], e.tags[:, 1], np.bincount(e.text, minlength=n), np.ones(n, np.int64), *sums
+        rows = _rows_of(dict(zip(("lm_tag", "lm_tag2", "events", "texts", "t", "b"), columns)), SUMS)
+        e = found = columns = sums = None
+        give_back()
+        return pa.Table.from_batches([rows])
+
+    return run
+
+
+def _by_chunks(texts: DataFrame, events: int) -> DataFrame:
+    """Sums of texts, in whose chunks all is stored once.  A chunk sends its distinct words,
+    then its distinct bigrams, by slices of their numbers; a slice counts those of all chunks
+    and sends each chunk the counts of its own.  So a text is scored in one place, and what
+    moves is a few bytes for each distinct bigram of a chunk, whatever the input."""
+    bits = max(LEAST_SLICES - 1, events // EVENTS_A_PART).bit_length()
+    fields = ", ".join(f"`{f}` binary" for f in CHUNK)
+    chunks = written(texts.mapInArrow(_chunk_rows, fields).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+    def counted(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_slice_totals(kind), TOTAL_ROWS)
+
+    words = chunks.select("chunk", "words", "target", "background").mapInArrow(_word_slices(64 - bits), SLICE_ROWS)
+    words = written(counted(words, 0), "word-counts")
+    sizes = sorted(words.filter("chunk is null").select("slice", "size", "n_target", "n_background").collect())
+    starts, size = {}, 0
+    for row in sizes:
+        starts[row[0]] = size
+        size += row[1]
+    totals = Totals((sum(r[2] for r in sizes), sum(r[3] for r in sizes)), max(0, size - 1))  # the edge is none of the vocabulary
+    numbering = Numbering(totals, starts, max(1, size), bits)
+    words = words.filter("chunk is not null").drop("size", "n_target", "n_background")
+    own = chunks.select("chunk", "tags", "times", "lengths", "events", "order").groupBy("chunk")
+    pairs = own.cogroup(words.groupBy("chunk")).applyInArrow(_pair_slices(numbering), SLICE_ROWS)
+    both = words.unionByName(counted(pairs, 1).select(*words.columns))
+    return own.cogroup(both.groupBy("chunk")).applyInArrow(_chunk_sums(numbering), SUMS)
+
+
+def _score_own(model: PairTables, keep: tuple[str, ...]) -> DataFrame:
+    """Events are counted over all documents, and every distinct text gets the sum of its
+    losses: in one part if they are few, else by chunks."""
+    docs, text = model.docs, F.coalesce(F.col(model.text_col), F.lit(""))
+    tags = {"lm_tag": F.xxhash64(text), "lm_tag2": F.xxhash64(text, F.lit(1))}
+    texts = docs.select(text.cast("binary").alias("lm_text"), F.coalesce(model.target, F.lit(False)).alias("lm_target"), *(c.alias(n) for n, c in tags.items()))
+    texts = texts.filter("length(lm_text) > 0")
+    length = texts.agg(F.sum(F.length("lm_text"))).first()[0] or 0
+    events = length // BYTES_A_WORD
+    each = _one_part(texts) if events < EVENTS_A_PART else _by_chunks(texts, events)
     return _per_text(docs.select(*keep, *(c.alias(n) for n, c in tags.items())), each, tuple(tags), keep)
 
 

@@ -157,3 +157,53 @@ def test_a_chunk_is_all_that_is_held_while_it_is_sorted(monkeypatch):
     assert parts + [r.column("part")[0].as_py() for r in rows] == list(range(16))
     assert kept < 30 * words  # 20 bytes an event; the hashes and the memo of words were held too
     assert most - kept < 50 * words
+
+
+def test_a_text_has_one_row_of_sums(spark, monkeypatch):
+    """There was one for each part that a text has bigrams in, so they grew faster than the input."""
+    rng = random.Random(12)
+    words = ["the", "of", *(f"w{i}" for i in range(400))]
+    rows = [(i, f"id{i} " + " ".join(rng.choices(words, k=150)), rng.choice("ab"), None, None) for i in range(60)]
+    rows += [(100 + i, rows[0][1], "a", None, None) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    want = by_definition(rows, 0, 0)
+    made, per_text = [], lm_score._per_text
+    monkeypatch.setattr(lm_score, "_per_text", lambda docs, sums, *rest: made.append(sums) or per_text(docs, sums, *rest))
+    for events, slices in ((1_000, 256), (100, 2)):
+        monkeypatch.setattr(lm_score, "EVENTS_A_PART", events)
+        monkeypatch.setattr(lm_score, "LEAST_SLICES", slices, raising=False)
+        found = lm_score.score(docs, lm_score.train(docs, F.col("source") == "a")).collect()
+        assert made.pop().count() == 60
+        assert len(found) == 80
+        for row in found:
+            assert (row.target_loss, row.background_loss) == pytest.approx(want[row.doc_id])
+
+
+def test_pair_numbers_are_one_to_one_and_spread():
+    np = lm_score.np
+    for size in (1, 2, 3, 100, 257):
+        numbering = lm_score.Numbering(lm_score.Totals((1, 1), size), {}, size, 8)
+        before, word = (c.ravel() for c in np.meshgrid(np.arange(size), np.arange(size)))
+        pairs = numbering.pairs(before, word)
+        assert len(np.unique(pairs)) == size * size and int(pairs.max()) >> numbering.bits == 0
+    numbering = lm_score.Numbering(lm_score.Totals((1, 1), 10**6), {}, 10**6, 8)
+    for before, word in ((7, np.arange(0, 10**6, 50)), (np.arange(20_000), 7)):  # a frequent word's bigrams
+        of = np.bincount((numbering.pairs(np.broadcast_to(before, 20_000), np.broadcast_to(word, 20_000)) >> np.uint64(numbering.shift)).astype(int))
+        assert len(of) == 256 and of.max() < 3 * of.mean()
+    numbering = lm_score.Numbering(lm_score.Totals((1, 1), 1), {}, (1 << 32) - 1, 8)
+    assert numbering.bits == 64 and len(set(numbering.pairs(np.array([1, 2, 1 << 31]), np.array([2, 1, 5])).tolist())) == 3
+
+
+def test_slices_hold_the_same_bytes_however_many():
+    np = lm_score.np
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 44, 200_000).astype(np.uint64))
+    counts = np.ones(len(keys)), np.zeros(len(keys))
+    sizes = []
+    for bits in (1, 4, 8):
+        rows = lm_score._cut(5, keys, counts, 44 - bits).to_pylist()
+        assert [r["slice"] for r in rows] == list(range(1 << bits)) and {r["chunk"] for r in rows} == {5}
+        back = [np.cumsum(lm_score._unpacked(r["keys"], np.uint64), dtype=np.uint64) + np.uint64(r["slice"] << (44 - bits)) for r in rows]
+        assert np.array_equal(np.concatenate(back), keys)
+        sizes.append(sum(len(r["keys"]) for r in rows))
+    assert max(sizes) < 1.1 * min(sizes) < 1.1 * 5 * len(keys)
