@@ -100,36 +100,37 @@ def lookup(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 def nearest(index: DataFrame, queries: DataFrame, uid: str = "capture_id", url: str = "url") -> DataFrame:
     """The capture nearest in time to each query (``url``, ``ts`` and what else it has):
     the query's columns, ``key``, ``nearest_id`` and ``nearest_ts`` (null if the URL was
-    never captured).  Of two at one distance the earlier is taken, then the smaller id.
+    never captured: URLs of one key, as with other fragments, are told apart).  Of two at
+    one distance the earlier is taken, then the smaller id.
 
     An as-of join in cells of one URL and hour, so a URL with most of the captures is
     many groups.  Within a cell rows are put in order; what lies beyond it comes from
     the first and last capture of the URL's other cells, one row each."""
     own = F.struct(*queries.columns).alias("query")
-    asked = queries.select(own, U.sort_key(url).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    known = index.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col(uid).cast("bigint").alias("id")).filter("ts is not null")
-    known = lookup_join(known, asked.select("key").distinct(), ["key"], "left_semi", spread=["id"])
+    asked = queries.select(own, F.col(url).alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    known = index.select("url", F.col("ts").cast("timestamp").alias("ts"), F.col(uid).cast("bigint").alias("id")).filter("ts is not null")
+    known = lookup_join(known, asked.select("url").distinct(), ["url"], "left_semi", spread=["id"])
     cell = F.date_trunc("hour", "ts").alias("cell")
-    rows = known.select("key", cell, "ts", F.struct("ts", (-F.col("id")).alias("less")).alias("before"), F.struct("ts", "id").alias("after"), F.lit(None).cast(asked.schema["query"].dataType).alias("query"), F.lit(0).alias("asks"))
+    rows = known.select("url", cell, "ts", F.struct("ts", (-F.col("id")).alias("less")).alias("before"), F.struct("ts", "id").alias("after"), F.lit(None).cast(asked.schema["query"].dataType).alias("query"), F.lit(0).alias("asks"))
     none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
-    rows = rows.unionByName(asked.select("key", cell, "ts", none("before"), none("after"), "query", F.lit(1).alias("asks")))
-    cells = rows.groupBy("key", "cell").agg(F.max("before").alias("last"), F.min("after").alias("first"))
-    by_cell = Window.partitionBy("key").orderBy("cell")  # a row per hour in which the URL was captured
+    rows = rows.unionByName(asked.select("url", cell, "ts", none("before"), none("after"), "query", F.lit(1).alias("asks")))
+    cells = rows.groupBy("url", "cell").agg(F.max("before").alias("last"), F.min("after").alias("first"))
+    by_cell = Window.partitionBy("url").orderBy("cell")  # a row per hour in which the URL was captured
     cells = cells.select(
-        "key", "cell", F.max("last").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        "url", "cell", F.max("last").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
         F.min("first").over(by_cell.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
     )
-    inside = Window.partitionBy("key", "cell").orderBy("ts", "asks")
+    inside = Window.partitionBy("url", "cell").orderBy("ts", "asks")
     placed = rows.select(
-        "key", "cell", "ts", "query", "asks", F.max("before").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
+        "url", "cell", "ts", "query", "asks", F.max("before").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
         F.min("after").over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     ).filter("asks = 1")
-    same = placed["key"].eqNullSafe(cells["key"]) & placed["cell"].eqNullSafe(cells["cell"])
-    found = placed.join(cells, same).select(placed["key"], placed["ts"], "query", F.coalesce("before", "earlier").alias("b"), F.coalesce("after", "later").alias("a"))
+    same = placed["url"].eqNullSafe(cells["url"]) & placed["cell"].eqNullSafe(cells["cell"])
+    found = placed.join(cells, same).select(placed["url"], placed["ts"], "query", F.coalesce("before", "earlier").alias("b"), F.coalesce("after", "later").alias("a"))
     apart = lambda c: F.abs(F.unix_micros(f"{c}.ts") - F.unix_micros("ts"))
     take_before = F.col("a").isNull() | (apart("b") <= apart("a"))
     return found.select(
-        *[F.col(f"query.{c}").alias(c) for c in queries.columns], "key",
+        *[F.col(f"query.{c}").alias(c) for c in queries.columns], U.sort_key(found["url"]).alias("key"),
         F.when(take_before, -F.col("b.less")).otherwise(F.col("a.id")).alias("nearest_id"),
         F.when(take_before, F.col("b.ts")).otherwise(F.col("a.ts")).alias("nearest_ts"),
     )

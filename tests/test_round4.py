@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import scope
 from strandline.plans.queries import QUERIES
-from strandline.sources import warc
+from strandline.sources import sinks, warc
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -67,3 +67,16 @@ def test_rules_are_tested_with_few_urls(spark):
     tested = scope.tested_rules(urls, rules)
     assert tested.count() <= 12 * n
     assert scope.matching_rules(urls, rules).filter("always").count() == n
+
+
+def test_nearest_tells_urls_of_one_key_apart(spark, tmp_path):
+    """The key has neither scheme nor fragment, so captures of other URLs were found."""
+    rows = [(1, 100, "https://a.org/p"), (2, 150, "https://a.org/p#top"), (3, 160, "http://a.org/p"), (4, 900, "https://a.org/p"), (5, 8_000, "https://a.org/p#end"), (6, 155, None)]
+    captures = spark.createDataFrame(rows, "capture_id bigint, s bigint, url string").select("capture_id", F.timestamp_seconds("s").alias("ts"), "url")
+    sinks.write_index(captures, str(tmp_path / "index"))
+    asked = [(i, 155, u) for i, u in enumerate(("https://a.org/p", "https://a.org/p#top", "http://a.org/p", "https://a.org/p#end", "https://a.org/p#none", None))]
+    asked.append((6, 900, "https://a.org/p#top"))
+    queries = spark.createDataFrame(asked, "n int, s bigint, url string").select("n", "url", F.timestamp_seconds("s").alias("ts"))
+    found = sinks.nearest(spark.read.parquet(str(tmp_path / "index")), queries).collect()
+    assert {r.n: r.nearest_id for r in found} == {0: 1, 1: 2, 2: 3, 3: 5, 4: None, 5: None, 6: 2} and len(found) == 7
+    assert {r.key for r in found if r.n != 5} == {"org,a)/p"}
